@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, toxicity
-from .common import held_out, table
+from . import bpe, decontam, langid, pii, toxicity, warc
+from .common import held_out, scratch_path, table
+
+
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "archives")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.fit(documents))
+
+    def shown(spans: str) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents.filter(~held_out()))
@@ -25,5 +45,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
 ORACLE: dict[str, str] = {}
