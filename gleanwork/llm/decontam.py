@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 ITEMS_AT_ONCE = 4000
 LEAST_WORDS = 5
 SAMPLED = 2
-MOST_KEYS = 64
+MOST_KEYS = 128
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, toxicity, warc
+from . import bpe, decontam, langid, ngram_join, pii, pivot_index, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -13,6 +13,10 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "archives")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -33,6 +37,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents.filter(~held_out()))
@@ -45,5 +53,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
 ORACLE: dict[str, str] = {}
