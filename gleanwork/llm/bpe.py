@@ -331,13 +331,14 @@ def decode(df: DataFrame, ids: str = "ids", vocabulary: str | None = None, text:
     return _with(df, [T.StructField(text, T.StringType())], ids, make)
 
 
-def token_digests(df: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``df`` plus n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass."""
+def token_digests(df: DataFrame, text: str = "text", vocabulary: str | None = None, ids: str | None = None) -> DataFrame:
+    """``df`` plus n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass; with ``ids``, also the tokens under that name."""
     spec = _spec(df, vocabulary)
 
     def make(texts):
         for raw, decoded in _bpe(spec.value).encode_many(texts):
-            yield len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+            own = (np.frombuffer(raw, dtype="<u4").astype(np.int32),) if ids else ()
+            yield *own, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
-    columns = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    columns = [T.StructField(ids, T.ArrayType(T.IntegerType()))] * bool(ids) + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _with(df, columns, text, make)

@@ -244,6 +244,25 @@ def matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return reduce(DataFrame.union, parts) if parts else documents.sparkSession.createDataFrame([], MATCH_SCHEMA)
 
 
+def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``documents`` plus boolean ``contaminated``: the text holds some benchmark item.  Nothing is shuffled."""
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).filter("i is not null and t is not null")
+    out = documents.withColumn("contaminated", F.lit(False))
+    names = out.columns
+    place, last = names.index(text), len(names) - 1
+    for block in _blocks(items):
+        shared = documents.sparkSession.sparkContext.broadcast(build_index(block))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before = batch.column(last).to_pylist()
+                found = [b or bool(shared.value.find(words_of(t))) for b, t in zip(before, batch.column(place).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(found, pa.bool_())], names=names)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
 def _search(rows: DataFrame, index: ItemIndex) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index)
 

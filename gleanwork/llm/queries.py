@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, ngram_join, pii, pivot_index, suffix_dedup, toxicity, warc
+from . import bpe, decontam, langid, licenses, ngram_join, pii, pivot_index, suffix_dedup, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -17,6 +17,10 @@ def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -58,5 +62,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
 ORACLE: dict[str, str] = {}
