@@ -230,7 +230,9 @@ def _ranges(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(key, lo, span) of runs of consecutive places of one key."""
     order = np.lexsort((place, key))
     key, place = key[order], place[order]
-    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)])) if len(key) else np.zeros(0, int)
+    if not len(key):
+        return key, place, place
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)]))
     stop = np.append(start[1:], len(key)) - 1
     return key[start], place[start], place[stop] - place[start]
 
