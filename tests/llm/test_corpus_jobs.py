@@ -245,7 +245,7 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
     texts = [noise(rng.randrange(400)) + rng.choice(shared) + noise(rng.randrange(300)) for _ in range(40)]
     texts += [noise(100) + shared[4][: rng.randrange(150, 600)] + noise(100) for _ in range(20)]
     texts += [None, "", "short", "short", "ab" * 400, "for " * 300, "x" * 200, "x" * 199, "y" * 201, texts[0], texts[0]]
-    rows = list(enumerate(texts)) + [(70, texts[5])]
+    rows = list(enumerate(texts)) + [(900, texts[5])]
     df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, key string").repartition(3)
     got = suffix_dedup.remove_repeats(df).collect()
     truth = brute_removed(rows)
