@@ -11,15 +11,20 @@ as many parts as sets of a size level need, so a set has about as many
 combinations as tokens; a set is indexed for its own size level and, if a
 partner may be one level up, for that one too.
 
-Equal sets are one node.  Signatures are dealt by hash as packed arrays; each
-task links the nodes of a signature in a star, and the components of these
-candidate links are verified whole by exact overlap counts from inverted
-lists, in blocks of bounded size: no list of all pairs is ever made, and no
-link between different sets is lost.
+Where rare tokens suffice, prefixes are longer by ``n // 10`` tokens, of which
+a partner must then share as many: a passage in common is not enough.
+
+Equal sets are one node.  Signatures are dealt by hash as packed arrays.  In a
+list of up to SHORT nodes pairs are counted, and pairs with too few shared
+signatures over all lists go; longer lists link their nodes in a star.  The
+components of these candidate links are verified whole by exact overlap counts
+from inverted lists, in blocks of bounded size: no list of all pairs of a
+group is ever made, and no link between different sets is lost.
 
 What counts as frequent comes from repeats seen inside a task, summed over all
 documents: it steers the order and so the speed, never the result.  The
-frequent table is bounded: a token needs a 2**-20 share of all tokens.
+frequent table is bounded: the least count that counts as frequent is raised
+until at most MOST_FREQUENT tokens have it.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 rows with a null id keep a null component and link with nothing; rows that
@@ -43,9 +48,11 @@ from .graph import connected_components
 WORDS = 5
 PERCENT = 75
 TOKENS_AT_ONCE = 1 << 20
-LEAST_FREQUENT = 64
+COUNTED_AT_ONCE = 1 << 22
+LEAST_FREQUENT = 4
 MOST_FREQUENT = 1 << 20
 BLOCK = 1024
+SHORT = 64
 CACHE_WORDS = 300_000
 _ODD = (np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64))
 
@@ -118,15 +125,16 @@ class Frequent:
         return tokens[~hot], tokens[hot][np.argsort(self.rank[place[hot]], kind="stable")]
 
 
-def signatures(tokens: np.ndarray, frequent: Frequent) -> np.ndarray:
-    """Signatures of one set: single rare tokens, 2-combinations of frequent ones."""
+def signatures(tokens: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, int]:
+    """Signatures of one set (single rare tokens, 2-combinations of frequent ones), and how many a partner must share."""
     n = len(tokens)
-    need = most_missing(n) + 1
+    missing = most_missing(n)
     rare, hot = frequent.split(tokens)
-    if len(rare) >= need:
-        return rare[:need]
+    if len(rare) > missing:
+        rare = rare[: missing + max(1, n // 10)]
+        return rare, len(rare) - missing
     made = [rare]
-    need -= len(rare)
+    need = missing + 1 - len(rare)
     levels = [level(n)] + [level(n) + 1] * (4 * n >= 3 << (level(n) + 1))
     for lev in levels:
         part = (_mixed(hot + np.uint64(lev)) % np.uint64(classes_at(lev))).astype(np.int64)
@@ -144,17 +152,33 @@ def signatures(tokens: np.ndarray, frequent: Frequent) -> np.ndarray:
                 break
             a, b = token[gap:][same], token[:-gap][same]
             made.append(_mixed(np.minimum(a, b) * _ODD[1] + np.maximum(a, b) * _ODD[2] + np.uint64(lev + 1)))
-    return np.unique(np.concatenate(made))
+    return np.unique(np.concatenate(made)), 1
 
 
-def star_links(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (least node, node) within each key, as a spanning forest of all of them."""
+def list_links(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) linked by long lists, as a spanning forest; then (a, b, shared) for pairs within short lists."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    head = np.repeat(nodes[start], np.diff(np.append(start, len(keys))))
-    apart = head != nodes
-    return forest(head[apart], nodes[apart])
+    one = np.ones(len(keys), dtype=bool)
+    one[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[one], nodes[one]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    size = np.diff(np.append(start, len(keys)))
+    length = np.repeat(size, size)
+    head = np.repeat(nodes[start], size)
+    far = (length > SHORT) & (head != nodes)
+    star = forest(head[far], nodes[far])
+    near = (length > 1) & (length <= SHORT)
+    keys, nodes = keys[near], nodes[near]
+    names, place = np.unique(nodes, return_inverse=True)
+    codes = []
+    for gap in range(1, SHORT):
+        same = keys[gap:] == keys[:-gap]
+        if not same.any():
+            break
+        codes.append(place[:-gap][same] * len(names) + place[gap:][same])
+    code, shared = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return *star, names[code // max(1, len(names))], names[code % max(1, len(names))], shared
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +260,7 @@ def _facts(rows: DataFrame) -> DataFrame:
                     seen.add(nodes[-1])
                     held.append(tokens)
                     size += len(tokens)
-                if size >= TOKENS_AT_ONCE:
+                if size >= COUNTED_AT_ONCE:
                     yield repeats()
                     held, seen, size = [], set(), 0
             none = [None] * len(sizes)
@@ -246,10 +270,18 @@ def _facts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, node long, token long, repeats long")
 
 
-def _frequent(facts: DataFrame, total: int) -> Frequent:
-    """Tokens whose summed repeats reach max(LEAST_FREQUENT, total / MOST_FREQUENT): at most MOST_FREQUENT of them."""
-    bound = max(LEAST_FREQUENT, total // MOST_FREQUENT)
-    hot = facts.filter("token is not null").groupBy("token").agg(F.sum("repeats").alias("n")).filter(F.col("n") >= bound).toPandas()
+def _frequent(facts: DataFrame) -> Frequent:
+    """The most repeated tokens: all whose summed repeats reach the least count that at most MOST_FREQUENT tokens reach."""
+    counts = materialize(facts.filter("token is not null").groupBy("token").agg(F.sum("repeats").alias("n")).filter(F.col("n") >= LEAST_FREQUENT), "token-repeats")
+    # Counts above 2**16 fall together, so this histogram is small whatever the input.
+    histogram = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect()
+    bound, kept = 1 << 17, 0
+    for row in histogram:
+        kept += row["tokens"]
+        if kept > MOST_FREQUENT:
+            break
+        bound = row["n"]
+    hot = counts.filter(F.col("n") >= bound).toPandas()
     token, count = hot["token"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)
     order = np.argsort(token)
     rank = np.empty(len(token), np.int64)
@@ -258,24 +290,28 @@ def _frequent(facts: DataFrame, total: int) -> Frequent:
 
 
 def _candidates(rows: DataFrame, frequent: Frequent, buckets: int) -> DataFrame:
-    """Links (a, b) between nodes that share a signature, a spanning forest for each bucket of signatures."""
+    """Links (a, b) between nodes that share enough signatures.
+
+    A signature is its bucket and 32 more bits of its hash: at any size of
+    input a bucket holds about as many, so chance matches stay as rare.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    entry = np.dtype([("key", "<u4"), ("place", "<u4")])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, held, seen, size = Shingler(), [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
-            nodes = np.repeat(np.array([n for _, n in held], np.int64), [len(k) for k, _ in held]) if held else np.zeros(0, np.int64)
-            bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            keys = np.concatenate([k for k, _, _ in held])
+            rows = np.zeros(len(keys), entry)
+            rows["key"] = (keys >> np.uint64(32)).astype(np.uint32)
+            rows["place"] = np.repeat(np.arange(len(held)), [len(k) for k, _, _ in held])
+            table = np.array([(n, m) for _, n, m in held], np.int64).tobytes()
+            bucket = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            keys, nodes, bucket = keys[order], nodes[order], bucket[order]
-            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-            stop = np.append(start[1:], len(bucket))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[start], pa.int32()), pa.array([keys[s:e].tobytes() for s, e in zip(start, stop, strict=True)], pa.binary()), pa.array([nodes[s:e].tobytes() for s, e in zip(start, stop, strict=True)], pa.binary())],
-                names=["bucket", "keys", "nodes"],
-            )
+            rows, cut = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), pa.array([table] * len(some), pa.binary())], names=["bucket", "entries", "nodes"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -284,25 +320,31 @@ def _candidates(rows: DataFrame, frequent: Frequent, buckets: int) -> DataFrame:
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                own = signatures(tokens, shared.value)
-                held.append((own, node))
+                own, need = signatures(tokens, shared.value)
+                held.append((own, node, need))
                 size += len(own)
                 if size >= TOKENS_AT_ONCE:
                     yield flush()
                     held, size = [], 0
                     if len(seen) > CACHE_WORDS:
                         seen = set()
-        if held:
+        if size:
             yield flush()
 
     def link(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
-        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), dtype=np.int64)
-        a, b = star_links(keys, nodes)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        entries = [np.frombuffer(e, entry) for e in table.column("entries").to_pylist()]
+        facts = [np.frombuffer(n, np.int64).reshape(-1, 2) for n in table.column("nodes").to_pylist()]
+        keys = np.concatenate([e["key"] for e in entries])
+        nodes = np.concatenate([f[e["place"], 0] for e, f in zip(entries, facts, strict=True)])
+        known = np.unique(np.concatenate(facts), axis=0)
+        a, b, x, y, count = list_links(keys, nodes)
+        need = np.minimum(known[np.searchsorted(known[:, 0], x), 1], known[np.searchsorted(known[:, 0], y), 1])
+        return pa.table({"a": pa.array(np.concatenate([a, x]), pa.int64()), "b": pa.array(np.concatenate([b, y]), pa.int64()), "missing": pa.array(np.concatenate([np.zeros(len(a), np.int64), need - count]), pa.int64()), "need": pa.array(np.concatenate([np.zeros(len(a), np.int64), need]), pa.int64())})
 
-    packed = rows.select("text").mapInArrow(post, "bucket int, keys binary, nodes binary")
-    return packed.groupBy("bucket").applyInArrow(link, "a long, b long")
+    packed = rows.select("text").mapInArrow(post, "bucket int, entries binary, nodes binary")
+    pairs = packed.groupBy("bucket").applyInArrow(link, "a long, b long, missing long, need long")
+    # The lists of one pair may lie in several buckets: what they share adds up.
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("need") - F.col("missing")).alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
 def _tasks(clustered: DataFrame) -> DataFrame:
@@ -374,8 +416,7 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     facts = materialize(_facts(rows), "shingle-facts")
     documents = facts.filter("token is null").select("doc_id", "n", "node")
-    total = documents.agg(F.sum("n")).first()[0] or 0
-    links = materialize(_candidates(rows.filter("doc_id is not null"), _frequent(facts, total), max(8, partitions(spark))), "candidates")
+    links = materialize(_candidates(rows.filter("doc_id is not null"), _frequent(facts), max(8, partitions(spark))), "candidates")
     nodes = materialize(documents.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")), "nodes")
     clustered = materialize(connected_components(links).withColumnRenamed("component", "cluster").join(nodes, "node").select("doc_id", "node", "n", "cluster"), "clustered")
     tasks = materialize(_tasks(clustered).groupBy("doc_id", "node").agg(F.collect_list(F.struct("task", "side")).alias("tasks")), "tasks")
