@@ -63,4 +63,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
-ORACLE: dict[str, str] = {}
+_DIGEST = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 1)::INT, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 2)::INT, 1)) - 1) >> (3 - (5 * i) % 4)::INT) & 31)::INT + 1, 1)), '')"
+ORACLE: dict[str, str] = {
+    "op1_arc_to_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+     t AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_DIGEST} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN t USING (h)""",
+    "op2_pivot_index": """
+WITH RECURSIVE l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op7_ngram_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT doc_id, n, i, concat_ws(' ', word, lead(word, 1) OVER k, lead(word, 2) OVER k, lead(word, 3) OVER k, lead(word, 4) OVER k) AS g FROM u WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT DISTINCT doc_id, g FROM g WHERE i <= greatest(n - 4, 1)),
+z AS (SELECT doc_id, count(*) AS size FROM e GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * c >= 75 * (a.size + b.size - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT r.x AS doc_id, coalesce(any_value(z.size), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN z ON z.doc_id = r.x GROUP BY r.x""",
+}
