@@ -47,7 +47,7 @@ def digest(payload: bytes) -> str:
 
 
 def _member(record: bytes) -> bytes:
-    packer = zlib.compressobj(2, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(record) + packer.flush()
 
 
