@@ -5,9 +5,9 @@ import datetime
 import duckdb
 import pytest
 
-from gleanwork.plans import relational, scalars
+from gleanwork.plans import evidence, relational, scalars
 
-QUERIES = scalars.QUERIES | relational.QUERIES
+QUERIES = scalars.QUERIES | relational.QUERIES | evidence.QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
