@@ -420,7 +420,8 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     nodes = materialize(documents.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")), "nodes")
     clustered = materialize(connected_components(links).withColumnRenamed("component", "cluster").join(nodes, "node").select("doc_id", "node", "n", "cluster"), "clustered")
     tasks = materialize(_tasks(clustered).groupBy("doc_id", "node").agg(F.collect_list(F.struct("task", "side")).alias("tasks")), "tasks")
-    found = materialize(_verify(tasks.join(rows, "doc_id").select("node", "tasks", "text")), "similar")
+    # A merge join at every size: the texts are dealt by id once, whatever share of them is a candidate.
+    found = materialize(_verify(tasks.join(rows.hint("merge"), "doc_id").select("node", "tasks", "text")), "similar")
     reached = connected_components(found).join(nodes.select("node", "doc_id"), "node")
     least = materialize(reached.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     by_node = reached.select("node", "component").join(least, "component").select("node", "component_id")
