@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleanwork.functions import dates, taxonomy, text, urls
 from gleanwork.operators import clustering, dedup, gates, html, tables
 from gleanwork.sources import landing
-from gleanwork.streaming import jobs
+from gleanwork.streaming import clusters, jobs
 
 
 def one(spark, value, use, kind="string"):
@@ -174,3 +174,16 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     query.stop()
     batch = events.groupBy(F.window("ts", "24 hours").start.alias("start"), F.col("event_type").alias("category")).agg(F.count("*").alias("n"))
     assert {tuple(r) for r in spark.table("w").collect()} == {tuple(r) for r in batch.select("start", "category", "n").collect()}
+
+
+def test_clustering_a_stream_equals_the_batch(spark, tmp_path):
+    rng = random.Random(4)
+    names = ["Acme Corp", "Blue River", "North Bank"]
+    rows = [(str(k), f"{rng.choice(names)} unveils {rng.choice(['giant', 'small'])} {rng.choice(['battery', 'solar'])} plant", [rng.choice(["A", "B"])], rng.choice(["a.com", "b.com"]), f"2024-01-0{1 + k // 12} {k % 12:02d}:00:00") for k in range(60)]
+    df = spark.createDataFrame(rows, "item_id string, title string, categories array<string>, publisher string, at string").select("*", F.to_timestamp("at").alias("published_at"), F.lit("x").alias("block"))
+    batch = {(r.item_id, r.story_id) for r in clustering.cluster_stories(df, ["block"]).collect()}
+    for day in range(5):
+        df.filter(F.dayofmonth("published_at") == day + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = jobs.drained(clusters.cluster_stream(stream, "block"), f"{tmp_path}/out", f"{tmp_path}/c")
+    assert {(r.item_id, r.story_id) for r in got.collect()} == batch
