@@ -273,15 +273,15 @@ def _facts(rows: DataFrame) -> DataFrame:
 def _frequent(facts: DataFrame) -> Frequent:
     """The most repeated tokens: all whose summed repeats reach the least count that at most MOST_FREQUENT tokens reach."""
     counts = materialize(facts.filter("token is not null").groupBy("token").agg(F.sum("repeats").alias("n")).filter(F.col("n") >= LEAST_FREQUENT), "token-repeats")
-    # Counts above 2**16 fall together, so this histogram is small whatever the input.
-    histogram = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect()
-    bound, kept = 1 << 17, 0
-    for row in histogram:
+    # Sixteenths of a power of two: about a thousand rows at most, whatever the input.
+    counts = counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    bound, kept = 1 << 30, 0
+    for row in counts.groupBy("level").agg(F.count("*").alias("tokens")).orderBy(F.desc("level")).collect():
         kept += row["tokens"]
         if kept > MOST_FREQUENT:
             break
-        bound = row["n"]
-    hot = counts.filter(F.col("n") >= bound).toPandas()
+        bound = row["level"]
+    hot = counts.filter(F.col("level") >= bound).select("token", "n").toPandas()
     token, count = hot["token"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)
     order = np.argsort(token)
     rank = np.empty(len(token), np.int64)
