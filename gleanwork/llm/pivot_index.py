@@ -1,12 +1,17 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Reference points (pivots) are drawn from the vectors by hash.  A vector is
-described by its ``PREFIX`` nearest pivots in order; the index is the inverted
+Reference points (pivots) are drawn from the vectors by hash and thinned, so
+that a group of near copies supplies one pivot and not its share of them.  A
+vector is described by its nearest pivots in order; the index is the inverted
 list of each pivot, within each label.  Two vectors are candidates if their
 descriptions share at least ``SHARED`` pivots, counted over the lists; a
 candidate pair is verified once, in the list of its least shared pivot, by
 cosine in double precision.
 
+The length of descriptions is ``PREFIX`` or more: links of ``TRIALS`` sampled
+vectors with all others, and pairs made to lie just at the threshold, must be
+candidates at a rate of ``RECALL``.
+
 A list may be very long (a third of all rows may be near copies): lists are
 cut into blocks of ``BLOCK`` members and pairs of blocks become tasks of their
 own, so no task holds more than two blocks.  Bit-equal vectors are one class
@@ -34,6 +39,11 @@ PREFIX = 10
 SHARED = 2
 BLOCK = 512
 FEWEST_PIVOTS, MOST_PIVOTS = 64, 2048
+RECALL = 0.995
+TRIALS = 256
+#: Of the links that a batch of rows has with the sampled vectors, so many are looked at.
+LINKS_AT_ONCE = 512
+ROUNDS = 8
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -43,10 +53,10 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def describe(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def describe(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
     """The nearest pivots of each unit vector, nearest first; ties go to the lower pivot."""
     near = vectors @ pivots.T
-    take = min(PREFIX, len(pivots))
+    take = min(prefix, len(pivots))
     return np.argsort(-near, axis=1, kind="stable")[:, :take].astype(np.int32)
 
 
@@ -54,9 +64,99 @@ def number_of_pivots(n: int) -> int:
     return max(FEWEST_PIVOTS, min(MOST_PIVOTS, 2 * math.isqrt(max(1, n))))
 
 
-def linked(x: np.ndarray, y: np.ndarray, seen_x: np.ndarray, seen_y: np.ndarray, pivot: int, least: float) -> np.ndarray:
+def apart(least: float) -> float:
+    """Pivots are less alike than this: about two links away from each other."""
+    return min(least, max(0.5, 2 * least * least - 1))
+
+
+def thinned(kept: np.ndarray, drawn: np.ndarray, most: float, wanted: int) -> np.ndarray:
+    """``kept`` and those of ``drawn``, in order, that are less than ``most`` alike to all before them."""
+    out = list(kept)
+    for v in drawn:
+        if len(out) == wanted:
+            break
+        if not out or (np.array(out) @ v).max() < most:
+            out.append(v)
+    return np.array(out)
+
+
+def needed_prefix(x: np.ndarray, y: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The shortest descriptions with which x_i and y_i are candidates."""
+    rank = [np.argsort(np.argsort(-(v @ pivots.T), axis=1, kind="stable"), axis=1) for v in (x, y)]
+    shared = min(SHARED, len(pivots)) - 1
+    return np.partition(np.maximum(*rank), shared, axis=1)[:, shared] + 1
+
+
+def enough(needed: np.ndarray, weight: np.ndarray, target: float = RECALL) -> int:
+    """The shortest prefix that suffices for a share of ``target`` of the weight."""
+    order = np.argsort(needed)
+    return int(needed[order][np.searchsorted(np.cumsum(weight[order]), target * weight.sum() * (1 - 1e-12))])
+
+
+def _draw(classes: DataFrame, n: int, dim: int, least: float) -> np.ndarray:
+    """Pivots by hash; drawn again from the vectors far from all so far until there are enough or none is left."""
+    wanted, most = number_of_pivots(n), apart(least)
+    spots = classes.select(F.pmod(F.xxhash64("bits"), F.lit(1 << 30)).alias("s"), "v")
+    share = min(1.0, 3 * wanted / max(1, classes.count()))
+    left = spots.filter(F.col("s") < int(share * (1 << 30)) + 1)
+    kept = np.zeros((0, dim))
+    for _ in range(ROUNDS):
+        drawn = left.orderBy("s").limit(2 * wanted).collect()
+        if drawn:
+            kept = thinned(kept, unit_rows(np.array([r["v"] for r in drawn])), most, wanted)
+        if len(kept) == wanted or (not drawn and len(kept)):
+            break
+        shared = classes.sparkSession.sparkContext.broadcast(kept)
+
+        def far(batches, shared=shared):
+            for batch in batches:
+                if batch.num_rows and len(shared.value):
+                    x = unit_rows(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, dim))
+                    batch = batch.filter(pa.array((x @ shared.value.T).max(axis=1) < most))
+                yield batch
+
+        left = spots.mapInArrow(far, spots.schema)
+    return kept
+
+
+def _prefix_for_recall(classes: DataFrame, pivots: np.ndarray, dim: int, least: float) -> int:
+    """Prefix that makes links candidates at the target rate: of all sampled links, of a sampled vector on average, and at the threshold."""
+    labels = classes.withColumn("h", F.xxhash64("label"))
+    trials = labels.select("rep", "h", "v").orderBy(F.xxhash64("rep", F.lit(1))).limit(TRIALS).collect()
+    q = unit_rows(np.array([r["v"] for r in trials]))
+    rep, h = np.array([r["rep"] for r in trials]), np.array([r["h"] for r in trials])
+    prefix = min(PREFIX, len(pivots))
+    if dim > 1:
+        u = np.random.default_rng(5).normal(size=q.shape)
+        u -= (u * q).sum(axis=1, keepdims=True) * q
+        edge = least * q + math.sqrt(max(0.0, 1 - least * least)) * u / np.sqrt((u * u).sum(axis=1, keepdims=True))
+        prefix = max(prefix, enough(needed_prefix(q, edge, pivots), np.ones(len(q))))
+    shared = classes.sparkSession.sparkContext.broadcast((q, rep, h, pivots))
+
+    def links(batches):
+        q, rep, h, pivots = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit_rows(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, dim))
+            same = (batch.column("h").to_numpy()[:, None] == h) & (batch.column("rep").to_numpy()[:, None] != rep)
+            i, j = np.nonzero((x @ q.T >= least) & same)
+            if len(i):
+                take = np.linspace(0, len(i) - 1, min(len(i), LINKS_AT_ONCE)).astype(int)
+                needed = needed_prefix(x[i[take]], q[j[take]], pivots)
+                yield pa.RecordBatch.from_arrays([pa.array(j[take], pa.int64()), pa.array(needed, pa.int64()), pa.array(np.full(len(take), len(i) / len(take)))], names=["q", "needed", "weight"])
+
+    found = labels.select("rep", "h", "v").mapInArrow(links, "q long, needed long, weight double").groupBy("q", "needed").agg(F.sum("weight").alias("weight")).collect()
+    if found:
+        q, needed, weight = np.array([tuple(r) for r in found]).T
+        each = weight / np.bincount(q.astype(int), weight)[q.astype(int)]
+        prefix = max(prefix, enough(needed, weight), enough(needed, each))
+    return prefix
+
+
+def linked(x: np.ndarray, y: np.ndarray, seen_x: np.ndarray, seen_y: np.ndarray, pivot: int, least: float, shared: int = SHARED) -> np.ndarray:
     """Whether x_i and y_j are candidates that belong to ``pivot``'s list, and at least ``least`` alike."""
-    candidate = (seen_x @ seen_y.T >= SHARED) & (seen_x[:, :pivot] @ seen_y[:, :pivot].T == 0)
+    candidate = (seen_x @ seen_y.T >= shared) & (seen_x[:, :pivot] @ seen_y[:, :pivot].T == 0)
     return candidate & (x @ y.T >= least)
 
 
@@ -86,18 +186,16 @@ def near_duplicates(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id",
     # Bit-equal vectors of a label: one class with a weight.
     classes = materialize(good.groupBy("bits").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-classes")
 
-    wanted = number_of_pivots(n)
-    spot = F.pmod(F.xxhash64("bits"), F.lit(1 << 30))
-    share = min(1.0, 1.5 * wanted / max(1, classes.count()))
-    drawn = classes.filter(spot < int(share * (1 << 30)) + 1).select(spot.alias("s"), "v").orderBy("s").limit(wanted).collect()
-    pivots = spark.sparkContext.broadcast(unit_rows(np.array([r["v"] for r in drawn])))
+    drawn = _draw(classes, n, dim, least)
+    prefix = _prefix_for_recall(classes, drawn, dim, least)
+    pivots = spark.sparkContext.broadcast(drawn)
 
     def post(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit_rows(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, dim))
-            near = describe(x, pivots.value)
+            near = describe(x, pivots.value, prefix)
             k = near.shape[1]
             owner = np.repeat(np.arange(batch.num_rows), k)
             own = [x[i].tobytes() for i in range(len(x))]
@@ -113,7 +211,7 @@ def near_duplicates(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id",
     placed = postings.join(long_lists.select("label", "pivot", "blocks"), ["label", "pivot"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Every pair of blocks is one task: a row goes to all pairs that its block is in.
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    width = number_of_pivots(n)
+    width, shared = len(drawn), min(SHARED, len(drawn))
 
     def verify(table: pa.Table) -> pa.Table:
         pivot = table.column("pivot")[0].as_py()
@@ -126,7 +224,7 @@ def near_duplicates(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id",
         seen[np.arange(len(rep))[:, None], near] = 1
         a = np.flatnonzero(own == low)
         b = np.flatnonzero(own == high)
-        hit = linked(x[a], x[b], seen[a], seen[b], pivot, least)
+        hit = linked(x[a], x[b], seen[a], seen[b], pivot, least, shared)
         if low == high:
             hit &= ~np.eye(len(a), dtype=bool)
         links = np.zeros(len(rep), np.int64)

@@ -104,6 +104,26 @@ def test_pivot_index_against_brute_force(spark, monkeypatch):
     assert pivot_index.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pivot_index_with_a_third_of_the_vectors_in_one_group(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=64)
+    centre /= np.sqrt(centre @ centre)
+    x = rng.normal(size=(9000, 64))
+    x[::3] = centre + x[::3] * np.sqrt((1 / 0.96 - 1) / 64)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in pivot_index.near_duplicates(df).collect()}
+    unit = pivot_index.unit_rows(x)
+    alike = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert all(got[i] <= n for i, n in enumerate(alike.tolist()))
+    assert sum(got.values()) >= 0.99 * alike.sum()
+
+
+def test_pivot_index_where_all_vectors_are_near(spark):
+    x = np.random.default_rng(3).normal(size=(60, 16)) * 0.01 + 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in pivot_index.near_duplicates(df).collect()} == {(59, 0)}
+
+
 # -- n-gram join
 
 
