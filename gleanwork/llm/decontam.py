@@ -10,7 +10,8 @@ word edits of the item's n words.
    a CGK random walk, which maps edit distance to Hamming distance; repeated
    bit sampling of the embeddings makes LSH keys.  The number of repetitions
    is raised until simulated edits of the items reach the target recall.
-3. Windows that share a key with the item are verified by exact edit distance.
+3. Windows that share a key with the item, and those that an end of the text
+   cuts, are verified by exact edit distance.
 
 Items are taken in blocks of ``ITEMS_AT_ONCE``, so a broadcast has at most that
 many.  Defined results: null or empty texts hold nothing; items of fewer than
@@ -178,13 +179,16 @@ class ItemIndex:
         for n, first, last in self._diagonals(doc):
             item = self.items[n]
             size, k = len(item), most_edits(len(item))
+            # All diagonals are below -k: less than n - k words of the item are in the text.
+            if last < 0:
+                continue
             low = max(0, first - k)
             high = min(last + k, len(doc) - 1)
-            zone = np.concatenate([doc[low : high + size], np.zeros(max(0, high + size - len(doc)), np.int64)])
-            windows = np.lib.stride_tricks.sliding_window_view(zone, size)
-            alike = (self.codes(windows) == self.item_codes[n]).any(axis=1)
-            if not alike.any():
-                continue
+            # Windows that the text's ends cut are few and far from what the keys were tuned on: verified at once.
+            if first >= k and high + size <= len(doc):
+                windows = np.lib.stride_tricks.sliding_window_view(doc[low : high + size], size)
+                if not (self.codes(windows) == self.item_codes[n]).any():
+                    continue
             edits, start, end = best_stretch(item, doc[low : high + size + k])
             if edits <= k and (n not in best or edits < best[n][0]):
                 best[n] = edits, low + start, low + end

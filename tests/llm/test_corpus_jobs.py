@@ -240,6 +240,20 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_texts_that_begin_or_end_within_an_item(spark):
+    items = {n: " ".join(f"w{n}x{k}" for k in range(n)) for n in (6, 15, 40)}
+    texts = {}
+    for n, item in items.items():
+        words = item.split()
+        for keep in range(1, n + 1):
+            texts[len(texts)] = " ".join(words[-keep:])
+            texts[len(texts)] = " ".join([*words[-keep:], *["other"] * 30])
+            texts[len(texts)] = " ".join([*["other"] * 30, *words[:keep]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == brute_matches(texts, items)
+
+
 # -- suffixes
 
 
