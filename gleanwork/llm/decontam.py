@@ -1,7 +1,7 @@
 """Benchmark decontamination by embedded edit distance.
 
-Items and documents are rows of words (lower case, letters and digits only).
-A document holds an item if some stretch of it is within ``floor(0.25 n)``
+Items and documents are rows of words (lower case, letters and digits only; in
+scripts written without blanks every character is a word).  A document holds an item if some stretch of it is within ``floor(0.25 n)``
 word edits of the item's n words.
 
 1. The q-gram lemma bounds where that can be: a stretch within k edits keeps
@@ -14,9 +14,9 @@ word edits of the item's n words.
    cuts, are verified by exact edit distance.
 
 Items are taken in blocks of ``ITEMS_AT_ONCE``, so a broadcast has at most that
-many.  Defined results: null or empty texts hold nothing; items of fewer than
-``LEAST_WORDS`` words prove nothing and are ignored; an item found several
-times in a document is one row, with its best place; repeated rows of
+many.  Items of fewer than ``KEYED_WORDS`` words need no keys: what the lemma
+leaves is verified at once, and up to three words must be there exactly.
+Defined results: null or empty texts hold nothing; an item found several times in a document is one row, with its best place; repeated rows of
 documents give repeated rows.
 """
 
@@ -34,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEMS_AT_ONCE = 4000
-LEAST_WORDS = 5
+LEAST_WORDS = 1
+KEYED_WORDS = 5
 SAMPLED = 2
 MOST_KEYS = 128
-_WORD = re.compile(r"[^\W_]+")
+#: Chinese, Japanese, Thai, Lao, Burmese and Khmer letters and signs.
+_NO_BLANKS = "\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1050-\u108f\u1780-\u17d3"
+_WORD = re.compile(rf"[{_NO_BLANKS}]|[^\W_{_NO_BLANKS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -134,7 +137,8 @@ class ItemIndex:
     def _needed(self, rng: np.random.Generator) -> int:
         """Keys after which simulated stretches with the most edits allowed share one, at the target rate."""
         found = []
-        for item in self.items[:: max(1, len(self.items) // 100)]:
+        keyed = [i for i in self.items if len(i) >= KEYED_WORDS]
+        for item in keyed[:: max(1, len(keyed) // 100)]:
             changed = np.stack([_edited(item, most_edits(len(item)), len(self.vocabulary), rng) for _ in range(8)])
             found.append(self.codes(changed, MOST_KEYS) == self.codes(item[None, :], MOST_KEYS))
         if not found:
@@ -172,7 +176,7 @@ class ItemIndex:
 
     def find(self, words: list[str]) -> list[tuple[int, int, int, int, float]]:
         """(item id, start, end, edits, similarity) of each item that a document holds; places count words."""
-        if len(words) < LEAST_WORDS or not self.items:
+        if not words or not self.items:
             return []
         doc = self.symbols(words)
         best: dict[int, tuple[int, int, int]] = {}
@@ -180,12 +184,12 @@ class ItemIndex:
             item = self.items[n]
             size, k = len(item), most_edits(len(item))
             # All diagonals are below -k: less than n - k words of the item are in the text.
-            if last < 0:
+            if last < 0 or n in best and not best[n][0]:
                 continue
             low = max(0, first - k)
             high = min(last + k, len(doc) - 1)
             # Windows that the text's ends cut are few and far from what the keys were tuned on: verified at once.
-            if first >= k and high + size <= len(doc):
+            if size >= KEYED_WORDS and first >= k and high + size <= len(doc):
                 windows = np.lib.stride_tricks.sliding_window_view(doc[low : high + size], size)
                 if not (self.codes(windows) == self.item_codes[n]).any():
                     continue

@@ -254,6 +254,16 @@ def test_decontamination_of_texts_that_begin_or_end_within_an_item(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == brute_matches(texts, items)
 
 
+def test_decontamination_by_short_items_and_scripts_without_blanks(spark):
+    items = {1: "Xylophone", 2: "blue whale", 3: "who was first", 4: "where is the hotel", 5: "one small step for man", 6: "中国的首都是哪个城市", 7: "กรุงเทพ", 8: "日本"}
+    texts = {1: "a xylophone", 2: "xylophones", 3: "the blue whale", 4: "blue or whale", 5: "Who was first?", 6: "who is first", 7: "so where is that hotel now", 8: "small step for man", 9: "one small step man", 10: "问题:中国的首都是那个城市?", 11: "ไปกรุงเทพมา", 12: "日本語", 13: "日 本", 14: "step", 15: "本日", 16: "the hotel"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(1, 1), (3, 2), (5, 3), (7, 4), (8, 5), (9, 5), (10, 6), (11, 7), (12, 8), (13, 8)}
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == found
+    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect() if r.contaminated} == {d for d, _ in found}
+
+
 # -- suffixes
 
 
