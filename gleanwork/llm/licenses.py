@@ -1,16 +1,17 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Text and templates are normalised alike (lower case, words only, one spelling
-of "licence", no copyright lines).  A stretch of whole lines matches a template
-if ``2 |A & B| / (|A| + |B|)`` over their distinct word bigrams reaches
+of "licence", with and without copyright lines).  A stretch of words, which may
+lie within a line, matches a template if ``2 |A & B| / (|A| + |B|)`` over their distinct word bigrams reaches
 ``least``.  That bounds sizes: ``|A|`` lies between ``|B| t / (2 - t)`` and
 ``|B| (2 - t) / t``, and a stretch of at most that many words must hold
 ``|B| t / (2 - t)`` of the template's bigrams; templates without such a place
 are pruned before any comparison.
 
 Defined results: null and empty texts match nothing; one row for each document
-and template, with the best stretch (earliest of equals); repeated rows give
-repeated rows.
+and template, with the best stretch (earliest of equals; places count the words
+of the text without copyright lines, unless only the text with them matches as
+well); repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ _COPYRIGHT = re.compile(r"^\W*(?:copyright\b|©|\(c\)).*\d{4}.*$|^.*\ball rights
 _TOKEN = re.compile(r"[^\W_]+|\n")
 
 
-def normalized(text: str) -> list[str]:
+def normalized(text: str, copyright_lines: bool = False) -> list[str]:
     """Words and line ends of a text."""
     text = text.lower().replace("licence", "license")
-    if "copyright" in text or "©" in text or "(c)" in text or "all rights" in text:
+    if not copyright_lines and ("copyright" in text or "©" in text or "(c)" in text or "all rights" in text):
         text = _COPYRIGHT.sub("", text)
     return _TOKEN.findall(text)
 
@@ -84,9 +85,23 @@ class LicenseMatcher:
         """Code of each word pair; pairs with a word that no template has get codes of their own, below 0."""
         return np.where((words[:-1] > 0) & (words[1:] > 0), words[:-1] * self.base + words[1:], -1 - np.arange(max(0, len(words) - 1)))
 
+    def match_anywhere(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """As ``match``, over all stretches of words; a copyright line may also hold the licence itself."""
+        if not text:
+            return []
+        tokens = normalized(text)
+        found = {m[0]: m for m in self._match(tokens, whole_lines=False)}
+        if len(every := normalized(text, copyright_lines=True)) > len(tokens):
+            for m in self._match(every, whole_lines=False):
+                if m[0] not in found or m[1] > found[m[0]][1]:
+                    found[m[0]] = m
+        return [found[name] for name in self.names if name in found]
+
     def match(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, Dice, first word, word after the last) of the best stretch for each template that matches."""
-        tokens = normalized(text) if text else []
+        """(template, Dice, first word, word after the last) of the best stretch of whole lines for each template that matches."""
+        return self._match(normalized(text) if text else [], whole_lines=True)
+
+    def _match(self, tokens: list[str], whole_lines: bool) -> list[tuple[str, float, int, int]]:
         ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(0)), dtype=np.int64, count=len(tokens))
         ends = np.flatnonzero(ids == -1)
         words = ids[ids != -1]
@@ -106,11 +121,37 @@ class LicenseMatcher:
             # So many hits must lie within a stretch of ``most`` words; in a text that repeats itself it may be longer.
             if len(place) < few or not repeating and (place[few - 1 :] - place[: len(place) - few + 1]).min() > most:
                 continue
-            best = self._best(codes, place, edges, grams, need, most)
+            best = self._best(codes, place, edges, grams, need, most) if whole_lines else self._best_anywhere(codes, place, len(grams), few, need, most)
             if best:
                 found.append((name, *best))
         return found
 
+    def _best_anywhere(self, codes: np.ndarray, place: np.ndarray, size: int, few: int, need: float, most: float) -> tuple[float, int, int] | None:
+        """The best stretch begins and ends with a bigram of the template: cutting others off can only help."""
+        if len(np.unique(codes[place])) < few:
+            return None
+        order = np.argsort(codes, kind="stable")
+        same = codes[order[1:]] == codes[order[:-1]]
+        before = np.full(len(codes), -1)
+        before[order[1:][same]] = order[:-1][same]
+        # A stretch has at least as many distinct bigrams as bigrams that are new to the text.
+        new = np.concatenate([[0], np.cumsum(before < 0)])
+        stop = np.searchsorted(new, new[place] + most, "right") - 1
+        starts = np.flatnonzero(np.searchsorted(place, stop) - np.arange(len(place)) >= few)
+        hit = np.zeros(len(codes), dtype=bool)
+        hit[place] = True
+        best: tuple[float, int, int] | None = None
+        for start, end in zip(place[starts].tolist(), stop[starts].tolist(), strict=True):
+            first = before[start:end] < start
+            distinct, shared = np.cumsum(first), np.cumsum(first & hit[start:end])
+            dice = np.where(first & hit[start:end] & (shared >= need) & (distinct <= most), 2 * shared / (distinct + size), 0.0)
+            k = int(dice.argmax())
+            if dice[k] >= self.least and (best is None or dice[k] > best[0]):
+                best = float(dice[k]), start, start + k + 2
+                if best[0] == 1:
+                    break
+        return best
+
     def _best(self, codes: np.ndarray, place: np.ndarray, edges: np.ndarray, grams: np.ndarray, need: float, most: float) -> tuple[float, int, int] | None:
         best: tuple[float, int, int] | None = None
         lines = np.unique(np.searchsorted(edges, place, "right") - 1)
@@ -139,7 +180,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d, *m) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in shared.value.match(t)]
+            found = [(d, *m) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in shared.value.match_anywhere(t)]
             columns = list(zip(*found, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "license", "dice", "word_start", "word_end"])

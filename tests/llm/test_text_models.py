@@ -193,3 +193,40 @@ def test_licenses_edges(spark, odd):
     assert licenses.scan(odd).count() == 0
     df = spark.createDataFrame([(1, "Copyright (c) 2020 A\n" + licenses.TEMPLATES["MIT"], 0.5)] * 2, "doc_id long, text string, dice double")
     assert [(r.license, r.dice) for r in licenses.scan(df).collect()] == [("MIT", 1.0)] * 2
+
+
+def brute_anywhere(text):
+    """Every stretch of words against every template."""
+    words = [w for w in licenses.normalized(text) if w != "\n"]
+    best = {}
+    for name, template in licenses.TEMPLATES.items():
+        t = [w for w in licenses.normalized(template) if w != "\n"]
+        grams = set(zip(t, t[1:], strict=False))
+        for i in range(len(words)):
+            own = set()
+            for pair in zip(words[i:], words[i + 1 :], strict=False):
+                own.add(pair)
+                dice = 2 * len(own & grams) / (len(own) + len(grams))
+                if dice >= licenses.LEAST:
+                    best[name] = max(best.get(name, 0), dice)
+    return best
+
+
+def test_licenses_within_lines_equal_brute_force():
+    matcher = licenses.LicenseMatcher()
+    rng = random.Random(5)
+    short = [t for t in licenses.TEMPLATES.values() if len(t) < 700]
+    for n in range(30):
+        own = [f"w{n}x{k}" for k in range(60)]
+        copy = [w for w in rng.choice(short).split() if rng.random() < (1 if n % 2 else 0.96)]
+        at = rng.randrange(len(own))
+        text = (" " if n % 3 else "\n").join([" ".join(own[:at]), *[" ".join(copy)] * rng.choice([1, 1, 2]), " ".join(own[at:])])
+        assert {m: d for m, d, _, _ in matcher.match_anywhere(text)} == pytest.approx(brute_anywhere(text))
+
+
+def test_licenses_in_documents_without_line_breaks(spark):
+    mit = licenses.TEMPLATES["MIT"].replace("\n", " ")
+    filler = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, f"{filler} Released under the MIT License. {filler}"), (2, f"{filler} {mit} {filler}"), (3, f"Copyright (c) 2020 A {mit}"), (4, "Copyright 2020 A. Released under the MIT License."), (5, f"{filler} under the license {filler}")]
+    got = {(r.doc_id, r.license, r.dice) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT notice", 1.0), (2, "MIT", 1.0), (3, "MIT", 1.0), (4, "MIT notice", 1.0)}
