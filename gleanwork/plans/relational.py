@@ -79,7 +79,7 @@ def f09(s, d):
 def f17(s, d):
     turns = read(s, d, "conversations")
     first = turns.filter("turn = 0").select("conv_id", C("text").alias("seed"))
-    return turns.filter("turn > 0").join(first, "conv_id").select("conv_id", "turn", gates.subject_survives(F.left("seed", F.lit(60)), C("text")).alias("survives"))
+    return turns.filter("turn > 0").join(first, "conv_id").select("conv_id", "turn", gates.subject_survives(C("seed"), C("text")).alias("survives"))
 
 
 def f26(s, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import dates, taxonomy, text, urls
 from gleanwork.operators import clustering, dedup, gates, html, tables
+from gleanwork.plans import relational
 from gleanwork.sources import landing
 from gleanwork.streaming import clusters, jobs
 
@@ -187,3 +188,10 @@ def test_clustering_a_stream_equals_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = jobs.drained(clusters.cluster_stream(stream, "block"), f"{tmp_path}/out", f"{tmp_path}/c")
     assert {(r.item_id, r.story_id) for r in got.collect()} == batch
+
+
+def test_subject_survival_reads_the_whole_seed(spark, tmp_path):
+    seed = "the " * 20 + "Harbour Bridge Reopening"
+    rows = [(1, 0, seed), (1, 1, "Harbour Bridge Reopening"), (1, 2, "nothing of it")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.turn: r.survives for r in relational.f17(spark, str(tmp_path)).collect()} == {1: True, 2: False}
