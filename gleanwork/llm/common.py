@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that setting
-    is absent (tests, a laptop) a temporary folder is made and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Without that setting a
+    session with a local master (tests, a laptop), which is one machine, gets a
+    temporary folder; on any other master that is an error, as executors would
+    write where nobody reads.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="gleanwork-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -36,7 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.gleanwork_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of materialised tables that no plan reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.gleanwork_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
