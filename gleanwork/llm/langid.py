@@ -12,26 +12,28 @@ Prediction reads whole texts in blocks and needs the text alone.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; rows without a language are not learned from; with no labelled row at all
-every text is ``und``.  Repeated rows get equal answers.
+every text is ``und``.  Repeated rows get equal answers; an empty table gives
+an empty one, and columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1 << 13
 BLOCK = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category: number signs and digits in circles are none.
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, other ASCII as blanks; bytes of other letters stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -166,6 +168,3 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
     return source.mapInArrow(run, T.StructType([source.schema[c] for c in kept] + new))
 
-
-def has_letter(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
