@@ -13,7 +13,8 @@ with an end-of-word suffix); its path is a parameter.  It is read once on the
 driver and broadcast: its size is that of the file.
 
 Defined results: null text counts as empty, empty text has no tokens; repeated
-rows give equal results; extra columns stay untouched.
+rows give equal results; an empty table gives an empty one; extra columns stay
+untouched, but for those with the name of a new column, which it replaces.
 """
 
 from __future__ import annotations
@@ -84,6 +85,8 @@ class WordBpe:
         key = (left << 20) | right
         order = np.argsort(key, kind="stable")
         self._pair_key, self._pair_rank = key[order], order.astype(np.int64)
+        # The same merges as a plain table, for words that are merged alone.
+        self._rank_of = dict(zip(self._pair_key.tolist(), self._pair_rank.tolist(), strict=True))
         self._words: dict[str, tuple[bytes, str]] = {}
         self._chunk_ids: dict[str, bytes] = {}
         self._chunk_text: dict[str, str] = {}
@@ -156,7 +159,7 @@ class WordBpe:
         tree = [none] * leaves + initial.tolist() + [none] * (leaves - n + 1)
         for node in range(leaves - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
-        key_at = dict(zip(self._pair_key.tolist(), self._pair_rank.tolist(), strict=True))
+        key_at = self._rank_of
 
         def put(leaf: int) -> None:
             a, b = sym[leaf], sym[after[leaf]]
@@ -340,5 +343,6 @@ def token_digests(df: DataFrame, text: str = "text", vocabulary: str | None = No
             own = (np.frombuffer(raw, dtype="<u4").astype(np.int32),) if ids else ()
             yield *own, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
-    columns = [T.StructField(ids, T.ArrayType(T.IntegerType()))] * bool(ids) + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    columns = [T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []
+    columns += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _with(df, columns, text, make)

@@ -37,6 +37,21 @@ def test_bpe_equals_the_tokenizers_library(spark, sf_dir, odd):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) in expected[r.doc_id]
 
 
+def test_bpe_of_scripts_without_blanks_equals_the_library():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_vocabulary())
+    lib.no_truncation(), lib.no_padding()
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.choice([20, 30, 90]))) for _ in range(100)) for _ in range(4)]
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        model = bpe.WordBpe(f.read())
+    for text, (raw, decoded) in zip(texts, model.encode_many(texts), strict=True):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == ids and decoded == lib.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_encode_then_decode_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "Hello there, world", "old")], "doc_id long, text string, ids string")
     out = bpe.decode(bpe.encode(df)).first()
@@ -79,6 +94,8 @@ def test_language_id_edges(spark, odd):
     nothing = langid.fit(odd.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
     assert langid.identify(odd.limit(0), model).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ ③ 12"), (2, "½ a"), (3, "the dog " * 200_000)], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(signs, model).orderBy("doc_id").collect()] == [True, False, False]
 
 
 def test_codewords_lie_apart():
@@ -153,7 +170,7 @@ def test_pii_edges_and_redaction(spark, odd):
     model = pii.PiiModel(None)
     rows = pii.find(odd, model).collect()
     assert len(rows) == odd.count() and all(r.spans == [] for r in rows if r.doc_id in (0, 1, 2))
-    text = "mail me@x.org or 10.0.0.1 or +1 (523) 555-1055 " + "9" * 20000
+    text = "mail me@x.org or 10.0.0.1 or +1 (523) 555-1055 x" + "9" * 20000
     df = spark.createDataFrame([(1, text, "keep"), (2, None, None)], "doc_id long, text string, spans string")
     assert [r.text and r.text[:30] for r in pii.redact(df, model).orderBy("doc_id").collect()] == ["mail [EMAIL] or [IP] or [PHONE", None]
     assert pii.fit(odd.limit(0)).tagger is None
