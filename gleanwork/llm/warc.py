@@ -6,13 +6,17 @@
 digests) and ``read_warc`` reads those back.  Records are gzip members of
 their own, as both formats ask; uncompressed archives are read as well.
 
-Payloads travel inside archive files only: what decides about revisits (digest,
-id, place) is a narrow table.  Files have bounded sizes and names that depend
-on the partition alone, so a task that runs again replaces its own files.
+Payloads travel inside archive files only: tasks open the archives by name and
+stream them member by member, and what decides about revisits (digest, id,
+place) is a narrow table.  Every attempt of a task writes files of its own, and
+the manifest, a table that Spark commits, names the files that count; so a
+task that runs again, or twice at a time, leaves no record double.
 
 Defined results: a null payload is an empty one, a null url is written ``-``
 and a null id stays null.  Of equal payloads the one with the largest id is
-the response, among equal ids the first in the archives.
+the response, among equal ids the first in the archives.  An empty table gives
+no archive and no row; repeated rows are records of their own; columns other
+than the three named ones are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from io import BytesIO
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -29,9 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
-ROLL_BYTES = 4 << 20
+ROLL_BYTES = 32 << 20
+READ_BYTES = 1 << 20
 ID_HEADER = "X-Archive-Orig-Id"
 REFERS_HEADER = "X-Refers-To-Id"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,30 +58,31 @@ def _member(record: bytes) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-def _members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of each gzip member; an uncompressed archive is one piece."""
+def _members(stream: BinaryIO) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member, read in blocks; an uncompressed archive is one piece."""
+    data = stream.read(READ_BYTES)
     if data[:2] != b"\x1f\x8b":
-        yield 0, data
+        yield 0, data + stream.read()
         return
-    view, at = memoryview(data), 0
-    while at < len(data):
-        unpacker = zlib.decompressobj(31)
-        parts, start = [], at
-        while not unpacker.eof and at < len(data):
-            parts.append(unpacker.decompress(view[at : at + 65536]))
-            at += min(65536, len(data) - at) - len(unpacker.unused_data)
+    start = 0
+    while data:
+        unpacker, parts, size = zlib.decompressobj(31), [], 0
+        while data and not unpacker.eof:
+            parts.append(unpacker.decompress(data))
+            size += len(data) - len(unpacker.unused_data)
+            data = unpacker.unused_data if unpacker.eof else stream.read(READ_BYTES)
         yield start, b"".join(parts)
+        start += size
+        data = data or stream.read(READ_BYTES)
 
 
 class _Files:
-    """Writes members into numbered files of bounded size; each appears under its final name only when whole."""
+    """Writes members into numbered files of bounded size under names that no other attempt uses."""
 
     def __init__(self, folder: str, prefix: str, suffix: str):
-        from pyarrow.fs import FileSystem
-
-        self.fs, self.folder = FileSystem.from_uri(folder)
+        self.fs, self.folder = _opened(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.prefix, self.suffix, self.number, self.written = prefix, suffix, 0, 0
+        self.prefix, self.suffix, self.number, self.written = f"{prefix}-{uuid.uuid4().hex[:12]}", suffix, 0, 0
         self.out = None
 
     def name(self) -> str:
@@ -84,22 +92,34 @@ class _Files:
         """Start a file if none is open; True if a new one was started."""
         if self.out is not None:
             return False
-        self.draft = f"{self.folder}/.{self.name()}.{uuid.uuid4().hex}"
-        self.out, self.written = self.fs.open_output_stream(self.draft, compression=None), 0
+        self.out, self.written = self.fs.open_output_stream(f"{self.folder}/{self.name()}", compression=None), 0
         return True
 
     def write(self, member: bytes) -> None:
         self.out.write(member)
         self.written += len(member)
 
-    def close(self) -> str | None:
+    def close(self) -> tuple[str, int] | None:
+        """Name and size of the file that was open."""
         if self.out is None:
             return None
         self.out.close()
-        name, self.out = self.name(), None
-        self.fs.move(self.draft, f"{self.folder}/{name}")
+        done, self.out = (self.name(), self.written), None
         self.number += 1
-        return name
+        return done
+
+
+def _opened(folder: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(folder)
+
+
+MANIFEST_SCHEMA = "archive string, bytes long, records long"
+
+
+def _manifest_row(name: str, size: int, records: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], names=["archive", "bytes", "records"])
 
 
 # -- ARC -----------------------------------------------------------------
@@ -118,10 +138,10 @@ def arc_record(version: int, url: str | None, date: str, page_id: int | None, pa
     return " ".join(values[f] for f in ARC_FIELDS[version]).encode() + b"\n" + block + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, int, int, dict, bytes]]:
+def parse_arc(data: bytes | BinaryIO) -> Iterator[tuple[int, int, int, dict, bytes]]:
     """(version, member offset, place inside the member, header fields, block) of each record after the version block."""
     version = 1
-    for offset, piece in _members(data):
+    for offset, piece in _members(BytesIO(data) if isinstance(data, bytes) else data):
         at = 0
         while at < len(piece):
             end = piece.find(b"\n", at)
@@ -165,8 +185,8 @@ def _number(text: str | None) -> int | None:
     return int(text) if text not in (None, "") else None
 
 
-def write_arc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", date: str = "20260101000000") -> int:
-    """Write one ARC record for each row; returns the number of records."""
+def write_arc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", date: str = "20260101000000") -> DataFrame:
+    """Write one ARC record for each row; returns the manifest (archive, bytes, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, count = _Files(folder, f"part-{TaskContext.get().partitionId():06d}", ".arc.gz"), 0
@@ -179,37 +199,58 @@ def write_arc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
                 files.write(_member(arc_record(version, u, date, i, raw, files.name(), files.written)))
                 count += 1
                 if files.written >= ROLL_BYTES:
-                    files.close()
-        files.close()
-        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
+                    yield _manifest_row(*files.close(), count)
+                    count = 0
+        if count:
+            yield _manifest_row(*files.close(), count)
 
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("i"), F.col(f"`{url}`").cast("string").alias("u"), F.col(f"`{payload}`").alias("p"))
-    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return materialize(rows.mapInArrow(run, MANIFEST_SCHEMA), "manifest")
 
 
-def _archives(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """A manifest of archives that others wrote: names and sizes, no content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("archive"), "content")
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("archive"), F.col("length").alias("bytes"), F.lit(None).cast("long").alias("records"))
+
+
+def _tasks(manifest: DataFrame) -> int:
+    """So many tasks that each reads about ROLL_BYTES of archives."""
+    size, files = manifest.agg(F.sum("bytes"), F.count("*")).first()
+    return max(1, min(files, -(-(size or 0) // ROLL_BYTES) + partitions(manifest.sparkSession)))
 
 
 ARC_SCHEMA = "archive string, member long, place long, version int, url string, archive_date string, page_id long, payload_bytes long, payload_digest string"
 
 
-def read_arc(spark: SparkSession, folder: str) -> DataFrame:
+def _table(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+
+
+ROWS_AT_ONCE = 4096
+
+
+def read_arc(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """One row for each record: where it is, what its header says, size and digest of its payload."""
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _opened(folder)
         for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for archive in batch.column(0).to_pylist():
                 rows = []
-                for version, member, place, fields, block in parse_arc(content.as_py()):
-                    _, headers, payload = split_http(block)
-                    rows.append((archive, member, place, version, fields["URL"], fields["Archive-date"], _number(headers.get(ID_HEADER.lower())), len(payload), digest(payload)))
-                columns = list(zip(*rows, strict=True)) or [[] for _ in range(9)]
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in ARC_SCHEMA.split(", ")])
+                with fs.open_input_stream(f"{base}/{archive}", compression=None) as stream:
+                    for version, member, place, fields, block in parse_arc(stream):
+                        _, headers, payload = split_http(block)
+                        rows.append((archive, member, place, version, fields["URL"], fields["Archive-date"], _number(headers.get(ID_HEADER.lower())), len(payload), digest(payload)))
+                        if len(rows) == ROWS_AT_ONCE:
+                            yield _table(rows, ARC_SCHEMA, types)
+                            rows = []
+                yield _table(rows, ARC_SCHEMA, types)
 
-    return _archives(spark, folder, "*.arc*").mapInArrow(run, ARC_SCHEMA)
+    files = manifest if manifest is not None else listed(spark, folder, "*.arc*")
+    return files.select("archive").repartition(_tasks(files)).mapInArrow(run, ARC_SCHEMA)
 
 
 # -- WARC ----------------------------------------------------------------
@@ -252,32 +293,34 @@ def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     return found.filter("not (archive = top.a and member = -top.m and place = -top.p)").select("archive", "member", "place", F.col("top.page_id").alias("refers_to"), F.struct(F.col("top.a").alias("archive"), (-F.col("top.m")).alias("member"), (-F.col("top.p")).alias("place")).alias("original"))
 
 
-def convert(spark: SparkSession, arc_folder: str, warc_folder: str, records: DataFrame, least_bytes: int = 0) -> int:
-    """Write a WARC file for each ARC file; returns the number of records."""
+def convert(spark: SparkSession, arc_folder: str, warc_folder: str, records: DataFrame, least_bytes: int = 0, manifest: DataFrame | None = None) -> DataFrame:
+    """Write a WARC file for each ARC file; returns their manifest.  Only names and decisions are shuffled."""
     # A file's own decisions: at most one small row for each of its records.
     by_archive = revisits(records, least_bytes).groupBy("archive").agg(F.collect_list(F.struct("member", "place", "refers_to", "original")).alias("revisits"))
-    work = _archives(spark, arc_folder, "*.arc*").join(by_archive, "archive", "left")
+    files = manifest if manifest is not None else listed(spark, arc_folder, "*.arc*")
+    work = files.join(by_archive, "archive", "left").select("archive", "revisits").repartition(_tasks(files))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _opened(arc_folder)
         for batch in batches:
-            for archive, content, decided in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for archive, decided in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 originals = {(r["member"], r["place"]): {"page_id": r["refers_to"], "record": record_id(**r["original"])} for r in decided or ()}
                 out, count = _Files(warc_folder, archive.split(".arc")[0], ".warc.gz"), 0
                 out.open()
                 info = b"software: gleanwork\r\nformat: WARC File Format 1.1\r\n"
                 out.write(_member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(archive, -1, 0)}\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"))
-                for _, member, place, fields, block in parse_arc(content.as_py()):
-                    out.write(_member(warc_record(archive, member, place, fields, block, originals.get((member, place)))))
-                    count += 1
-                out.close()
-                yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
+                with fs.open_input_stream(f"{base}/{archive}", compression=None) as stream:
+                    for _, member, place, fields, block in parse_arc(stream):
+                        out.write(_member(warc_record(archive, member, place, fields, block, originals.get((member, place)))))
+                        count += 1
+                yield _manifest_row(*out.close(), count)
 
-    return work.select("archive", "content", "revisits").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return materialize(work.mapInArrow(run, MANIFEST_SCHEMA), "manifest")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(lower-cased headers, block) of each record, by declared lengths."""
-    for _, piece in _members(data):
+    for _, piece in _members(BytesIO(data) if isinstance(data, bytes) else data):
         at = 0
         while at < len(piece):
             cut = piece.find(b"\r\n\r\n", at)
@@ -293,32 +336,38 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 WARC_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """One row for each response, resource or revisit record; size and digest are those of the full payload."""
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _opened(folder)
         for batch in batches:
-            for content in batch.column(1):
+            for archive in batch.column(0).to_pylist():
                 rows = []
-                for headers, block in parse_warc(content.as_py()):
-                    kind = headers["warc-type"]
-                    if kind not in ("response", "resource", "revisit"):
-                        continue
-                    _, http, payload = split_http(block)
-                    size, sum_ = (int(http["content-length"]), headers["warc-payload-digest"].removeprefix("sha1:")) if kind == "revisit" else (len(payload), digest(payload))
-                    rows.append((_number(http.get(ID_HEADER.lower())), size, sum_, kind, _number(headers.get(REFERS_HEADER.lower())), headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-date"]))
-                columns = list(zip(*rows, strict=True)) or [[] for _ in range(8)]
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in WARC_SCHEMA.split(", ")])
-
-    return _archives(spark, folder, "*.warc*").mapInArrow(run, WARC_SCHEMA)
+                with fs.open_input_stream(f"{base}/{archive}", compression=None) as stream:
+                    for headers, block in parse_warc(stream):
+                        kind = headers["warc-type"]
+                        if kind not in ("response", "resource", "revisit"):
+                            continue
+                        _, http, payload = split_http(block)
+                        size, sum_ = (int(http["content-length"]), headers["warc-payload-digest"].removeprefix("sha1:")) if kind == "revisit" else (len(payload), digest(payload))
+                        rows.append((_number(http.get(ID_HEADER.lower())), size, sum_, kind, _number(headers.get(REFERS_HEADER.lower())), headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-date"]))
+                        if len(rows) == ROWS_AT_ONCE:
+                            yield _table(rows, WARC_SCHEMA, types)
+                            rows = []
+                yield _table(rows, WARC_SCHEMA, types)
+
+    files = manifest if manifest is not None else listed(spark, folder, "*.warc*")
+    return files.select("archive").repartition(_tasks(files)).mapInArrow(run, WARC_SCHEMA)
 
 
 def pages_through_archives(pages: DataFrame, root: str, least_bytes: int = 0) -> DataFrame:
     """Pages to ARC files, those to WARC files, and the rows that the WARC files give; all under ``root``."""
     spark = pages.sparkSession
-    if not write_arc(pages, f"{root}/arc"):
+    arcs = write_arc(pages, f"{root}/arc")
+    if not arcs.limit(1).count():
         return spark.createDataFrame([], WARC_SCHEMA)
-    records = materialize(read_arc(spark, f"{root}/arc"), "arc-records")
-    convert(spark, f"{root}/arc", f"{root}/warc", records, least_bytes)
-    return read_warc(spark, f"{root}/warc")
+    records = materialize(read_arc(spark, f"{root}/arc", arcs), "arc-records")
+    warcs = convert(spark, f"{root}/arc", f"{root}/warc", records, least_bytes, arcs)
+    return read_warc(spark, f"{root}/warc", warcs)

@@ -333,3 +333,12 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert step.text.endswith("[EMAIL]") and step.n_chars == len(step.text)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_archives_of_other_writers_and_of_tasks_that_ran_twice(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "x"), (3, "http://c", "y")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/arc"
+    first, second = warc.write_arc(df, folder), warc.write_arc(df, folder)
+    assert first.join(second, "archive").count() == 0
+    assert sorted(r.page_id for r in warc.read_arc(spark, folder, second).collect()) == [1, 2, 3]
+    assert sorted(r.page_id for r in warc.read_arc(spark, folder).collect()) == [1, 1, 2, 2, 3, 3]
