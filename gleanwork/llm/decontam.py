@@ -1,43 +1,64 @@
 """Benchmark decontamination by embedded edit distance.
 
 Items and documents are rows of words (lower case, letters and digits only; in
-scripts written without blanks every character is a word).  A document holds an item if some stretch of it is within ``floor(0.25 n)``
-word edits of the item's n words.
+scripts written without blanks every character is a word).  A document holds an
+item if some stretch of it is within ``floor(0.25 n)`` word edits of the item's
+n words.
 
 1. The q-gram lemma bounds where that can be: a stretch within k edits keeps
    at least ``(n - q + 1) - k q`` of the item's word q-grams near one diagonal.
 2. Windows of the item's size around such diagonals, and the items, go through
-   a CGK random walk, which maps edit distance to Hamming distance; repeated
-   bit sampling of the embeddings makes LSH keys.  The number of repetitions
-   is raised until simulated edits of the items reach the target recall.
+   CGK random walks, which map edit distance to Hamming distance; repeated
+   bit sampling of the embeddings makes LSH keys, ``KEYS_A_WALK`` of each walk.
+   Whether a walk's pointer moves on is a hash of walk, step and word, so no
+   table grows with the vocabulary.  For items of each size class walks are
+   added until stretches with as many edits as allowed share a key at the
+   target rate, over ``TRIALS`` simulated edits however few the items are; an
+   index that cannot reach it is an error.
 3. Windows that share a key with the item, and those that an end of the text
    cuts, are verified by exact edit distance.
 
-Items are taken in blocks of ``ITEMS_AT_ONCE``, so a broadcast has at most that
-many.  Items of fewer than ``KEYED_WORDS`` words need no keys: what the lemma
-leaves is verified at once, and up to three words must be there exactly.
-Defined results: null or empty texts hold nothing; an item found several times in a document is one row, with its best place; repeated rows of
-documents give repeated rows.
+Items are dealt by hash into blocks of about ``BLOCK_WORDS`` words; Spark tasks
+build each block's index and write it to the shared folder.  Documents are read
+once: a task holds some texts and takes one block's index after another, so its
+memory depends on neither table.  Items of fewer than ``KEYED_WORDS`` words need
+no keys: what the lemma leaves is verified at once, and up to three words must
+be there exactly.
+
+Defined results: null or empty texts hold nothing and null or empty items are
+in no text; an item found several times in a document is one row, with its best
+place (the first of equals); repeated rows of documents give repeated rows,
+repeated items as well; an empty table on either side gives no match;
+``contaminated`` keeps all columns and replaces one of that name.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ITEMS_AT_ONCE = 4000
+from .common import materialize
+
+BLOCK_WORDS = 200_000
+CHARS_AT_ONCE = 4 << 20
 LEAST_WORDS = 1
 KEYED_WORDS = 5
 SAMPLED = 2
-MOST_KEYS = 128
+KEYS_A_WALK = 8
+MOST_WALKS = 512
+TRIALS = 4096
+TRIAL_WORDS = 2_000_000
+_MIX = np.array([0x9E3779B97F4A7C15 - (1 << 64), 0xBF58476D1CE4E5B9 - (1 << 64), 0x94D049BB133111EB - (1 << 64)], dtype=np.int64)
 #: Chinese, Japanese, Thai, Lao, Burmese and Khmer letters and signs.
 _NO_BLANKS = "\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1050-\u108f\u1780-\u17d3"
 _WORD = re.compile(rf"[{_NO_BLANKS}]|[^\W_{_NO_BLANKS}]+")
@@ -85,12 +106,13 @@ class ItemIndex:
     ids: list[int]
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    target: float = 0.99
+    target: float = 0.995
     seed: int = 7
+    walks: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.sizes = sorted({len(i) for i in self.items})
         rng = np.random.default_rng(self.seed)
+        self.sizes = sorted({len(i) for i in self.items})
         self.mix = rng.integers(1, 1 << 62, size=3, dtype=np.int64) * 2 + 1
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for q in (1, 2, 3):
@@ -102,50 +124,55 @@ class ItemIndex:
                 present = np.zeros(1 << 20, dtype=bool)
                 present[keys.view(np.uint64) >> np.uint64(44)] = True
                 self.grams[q] = keys[order], owner[order], offset[order], present
-        longest = 2 * max(self.sizes, default=1)
-        self.walks = 4
-        # One random bit for each walk, step and word: does the pointer move on?
-        self.moves = rng.integers(0, 2, size=(self.walks, longest, len(self.vocabulary) + 2), dtype=np.int8)
-        self.samples = {n: np.sort(rng.integers(0, 2 * n, size=(MOST_KEYS, SAMPLED)), axis=1) for n in self.sizes}
-        self.keys_used = self._needed(rng)
-        self.item_codes = [self.codes(i[None, :]) for i in self.items]
+        by_class: dict[int, list[np.ndarray]] = {}
+        for item in self.items:
+            if len(item) >= KEYED_WORDS:
+                by_class.setdefault(len(item).bit_length(), []).append(item)
+        self.walks = {c: self._needed(items, rng) for c, items in sorted(by_class.items())}
+        self.item_codes: list[list[np.ndarray]] = [[] for _ in self.items]
+        for size in self.sizes:
+            alike = [k for k, i in enumerate(self.items) if len(i) == size]
+            for walk in range(self.walks.get(size.bit_length(), 0)):
+                for k, own in zip(alike, self.codes(np.stack([self.items[k] for k in alike]), walk), strict=True):
+                    self.item_codes[k].append(own)
 
     def _gram_keys(self, words: np.ndarray, q: int) -> np.ndarray:
         n = len(words) - q + 1
         with np.errstate(over="ignore"):
             return reduce(np.add, (words[j : j + n] * self.mix[j] for j in range(q))) if n > 0 else np.zeros(0, np.int64)
 
-    def codes(self, windows: np.ndarray, keys: int | None = None) -> np.ndarray:
-        """LSH keys (windows x keys) of windows of one size: CGK walks, then sampled symbols."""
+    def codes(self, windows: np.ndarray, walk: int) -> np.ndarray:
+        """LSH keys (windows x KEYS_A_WALK) of windows of one size: a CGK walk, then sampled symbols."""
         count, n = windows.shape
-        keys = keys or self.keys_used
         padded = np.hstack([windows, np.full((count, 1), len(self.vocabulary) + 1, windows.dtype)])
-        rows, out = np.arange(count), np.zeros((count, keys), np.int64)
-        for walk in range(self.walks):
-            mine = np.arange(walk, keys, self.walks)
-            if not len(mine):
-                continue
-            spots = self.samples[n][mine]
-            at = np.zeros(count, np.int64)
-            for step in range(int(spots.max()) + 1):
-                symbol = padded[rows, at]
-                for k, s in zip(*np.nonzero(spots == step), strict=True):
-                    out[:, mine[k]] = out[:, mine[k]] * 1_000_003 + symbol + 1
-                at = np.minimum(at + self.moves[walk, step, symbol], n)
+        rows, out = np.arange(count), np.zeros((count, KEYS_A_WALK), np.int64)
+        spots = np.sort(np.random.default_rng((self.seed, n, walk)).integers(0, 2 * n, size=(KEYS_A_WALK, SAMPLED)), axis=1)
+        at = np.zeros(count, np.int64)
+        for step in range(int(spots.max()) + 1):
+            symbol = padded[rows, at]
+            for k in np.nonzero(spots == step)[0]:
+                out[:, k] = out[:, k] * 1_000_003 + symbol + 1
+            at = np.minimum(at + _moves(symbol, walk, step), n)
         return out
 
-    def _needed(self, rng: np.random.Generator) -> int:
-        """Keys after which simulated stretches with the most edits allowed share one, at the target rate."""
-        found = []
-        keyed = [i for i in self.items if len(i) >= KEYED_WORDS]
-        for item in keyed[:: max(1, len(keyed) // 100)]:
-            changed = np.stack([_edited(item, most_edits(len(item)), len(self.vocabulary), rng) for _ in range(8)])
-            found.append(self.codes(changed, MOST_KEYS) == self.codes(item[None, :], MOST_KEYS))
-        if not found:
-            return 1
-        recall = np.logical_or.accumulate(np.concatenate(found), axis=1).mean(axis=0)
-        enough = np.flatnonzero(recall >= self.target)
-        return int(enough[0]) + 1 if len(enough) else MOST_KEYS
+    def shares_key(self, windows: np.ndarray, item: int) -> bool:
+        """Whether some window shares a key with the item; one walk after another."""
+        return any((self.codes(windows, w) == own).any() for w, own in enumerate(self.item_codes[item]))
+
+    def _needed(self, items: list[np.ndarray], rng: np.random.Generator) -> int:
+        """Walks after which simulated stretches with the most edits allowed share a key, at the target rate."""
+        trials = max(256, min(TRIALS, TRIAL_WORDS // max(map(len, items))))
+        each = max(1, trials // len(items))
+        drawn = items[:: max(1, len(items) // trials)]
+        changed = [np.stack([_edited(item, most_edits(len(item)), len(self.vocabulary), rng) for _ in range(each)]) for item in drawn]
+        total, recall = sum(map(len, changed)), 0.0
+        for walk in range(MOST_WALKS):
+            # Copies that share a key by now need no further walk.
+            changed = [c[~(self.codes(c, walk) == self.codes(i[None, :], walk)).any(axis=1)] if len(c) else c for c, i in zip(changed, drawn, strict=True)]
+            recall = 1 - sum(map(len, changed)) / total
+            if recall >= self.target:
+                return walk + 1
+        raise ValueError(f"items of {min(map(len, items))} to {max(map(len, items))} words reach a recall of {recall:.3f} only")
 
     def symbols(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
@@ -191,7 +218,7 @@ class ItemIndex:
             # Windows that the text's ends cut are few and far from what the keys were tuned on: verified at once.
             if size >= KEYED_WORDS and first >= k and high + size <= len(doc):
                 windows = np.lib.stride_tricks.sliding_window_view(doc[low : high + size], size)
-                if not (self.codes(windows) == self.item_codes[n]).any():
+                if not self.shares_key(windows, n):
                     continue
             edits, start, end = best_stretch(item, doc[low : high + size + k])
             if edits <= k and (n not in best or edits < best[n][0]):
@@ -199,6 +226,13 @@ class ItemIndex:
         return [(self.ids[n], s, e, d, 1 - d / len(self.items[n])) for n, (d, s, e) in sorted(best.items())]
 
 
+def _moves(symbol: np.ndarray, walk: int, step: int) -> np.ndarray:
+    """The random bit of each word at a walk's step."""
+    h = (symbol * _MIX[0] + np.int64((walk << 32) + step)) * _MIX[1]
+    h = (h ^ (h >> 29)) * _MIX[2]
+    return (h >> 61) & 1
+
+
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     if not len(values):
         return
@@ -233,51 +267,83 @@ def build_index(items: list[tuple[int, str | None]]) -> ItemIndex:
 MATCH_SCHEMA = "doc_id long, item_id long, word_start long, word_end long, edits long, similarity double"
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
-    for row in items.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == ITEMS_AT_ONCE:
-            yield block
-            block = []
-    if block:
-        yield block
+def _index_files(items: DataFrame) -> list[str]:
+    """Files with the blocks' indexes, built by tasks and written to the shared folder; ``items`` has (i, t)."""
+    rows = items.filter("i is not null and t is not null")
+    # Characters bound words from above; scripts without blanks have as many of both.
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-size // (5 * BLOCK_WORDS)))
 
+    def build(table: pa.Table) -> pa.Table:
+        index = build_index(sorted(zip(table.column("i").to_pylist(), table.column("t").to_pylist(), strict=True)))
+        return pa.table({"index": pa.array([pickle.dumps(index)], pa.large_binary())}).cast(pa.schema([("index", pa.binary())]))
 
-def matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document and benchmark item that it holds, over whole texts."""
-    rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).filter("i is not null and t is not null")
-    parts = [_search(rows, build_index(block)) for block in _blocks(items)]
-    return reduce(DataFrame.union, parts) if parts else documents.sparkSession.createDataFrame([], MATCH_SCHEMA)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    return materialize(dealt.groupBy("block").applyInArrow(build, "index binary"), "item-indexes").inputFiles()
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``documents`` plus boolean ``contaminated``: the text holds some benchmark item.  Nothing is shuffled."""
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).filter("i is not null and t is not null")
-    out = documents.withColumn("contaminated", F.lit(False))
-    names = out.columns
-    place, last = names.index(text), len(names) - 1
-    for block in _blocks(items):
-        shared = documents.sparkSession.sparkContext.broadcast(build_index(block))
+@lru_cache(maxsize=1)
+def _loaded(path: str, row: int) -> ItemIndex:
+    return pickle.loads(_blobs(path)[row])
+
+
+@lru_cache(maxsize=1)
+def _blobs(path: str) -> list[bytes]:
+    from pyarrow import parquet
+    from pyarrow.fs import FileSystem
+
+    fs, place = FileSystem.from_uri(path)
+    return parquet.read_table(place, filesystem=fs, columns=["index"]).column("index").to_pylist()
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                before = batch.column(last).to_pylist()
-                found = [b or bool(shared.value.find(words_of(t))) for b, t in zip(before, batch.column(place).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(found, pa.bool_())], names=names)
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+def _finder(files: list[str]) -> Callable[[list[str | None]], list[list[tuple]]]:
+    """What each text of a batch holds; some texts at a time meet one block after another."""
 
+    def find(texts: list[str | None]) -> list[list[tuple]]:
+        out: list[list[tuple]] = []
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= CHARS_AT_ONCE):
+                size += len(texts[stop] or "")
+                stop += 1
+            words = [words_of(t) for t in texts[start:stop]]
+            found: list[list[tuple]] = [[] for _ in words]
+            for path in files:
+                for row in range(len(_blobs(path))):
+                    index = _loaded(path, row)
+                    for own, w in zip(found, words, strict=True):
+                        own += index.find(w)
+            out += found
+            start = stop
+        return out
+
+    return find
 
-def _search(rows: DataFrame, index: ItemIndex) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+
+def matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row for each document and benchmark item that it holds, over whole texts."""
+    rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    find = _finder(_index_files(benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in shared.value.find(words_of(t))]
+            found = [(d, *m) for d, own in zip(batch.column(0).to_pylist(), find(batch.column(1).to_pylist()), strict=True) for m in own]
             columns = list(zip(*found, strict=True)) or [[] for _ in range(6)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=[f.split()[0] for f in MATCH_SCHEMA.split(", ")])
 
     return rows.mapInArrow(run, MATCH_SCHEMA)
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``documents`` plus boolean ``contaminated``: the text holds some benchmark item.  No document is shuffled."""
+    find = _finder(_index_files(benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))))
+    kept = [c for c in documents.columns if c.lower() != "contaminated"]
+    source = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__gw_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bool(own) for own in find(batch.column(len(kept)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.bool_())], names=[*kept, "contaminated"])
+
+    return source.mapInArrow(run, T.StructType([source.schema[c] for c in kept] + [T.StructField("contaminated", T.BooleanType())]))

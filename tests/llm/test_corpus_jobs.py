@@ -264,6 +264,32 @@ def test_decontamination_by_short_items_and_scripts_without_blanks(spark):
     assert {r.doc_id for r in decontam.contaminated(docs, bench).collect() if r.contaminated} == {d for d, _ in found}
 
 
+@pytest.mark.parametrize(("count", "size"), [(1, 6), (1, 13), (1, 40), (3, 40), (20, 25)])
+def test_recall_on_planted_stretches_at_the_edit_limit(count, size):
+    rng = random.Random(count * size)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(size))) for i in range(count)]
+    index, found = decontam.build_index(items), 0
+    for trial in range(300):
+        words = items[trial % count][1].split()
+        for _ in range(decontam.most_edits(size)):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[f"w{rng.randrange(800)}"], [words[k], f"w{rng.randrange(800)}"], [] if len(words) > 1 else ["w"]])
+        noise = [f"x{rng.randrange(300)}" for _ in range(120)]
+        found += trial % count in {m[0] for m in index.find(noise[:60] + words + noise[60:])}
+    assert found >= 0.98 * 300
+
+
+def test_decontamination_in_many_blocks_with_long_texts_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 8)
+    items = {k: " ".join(f"item{k}word{j}" for j in range(7)) for k in range(30)}
+    texts = {k: " ".join([*["filler"] * (60_000 if k == 3 else 40), items[k % 30]]) for k in range(60)}
+    docs = spark.createDataFrame([(k, t, "x", True, 1) for k, t in texts.items()], "doc_id long, text string, item_id string, contaminated boolean, edits int")
+    bench = spark.createDataFrame([(k, t, "y") for k, t in items.items()], "item_id long, text string, doc_id string")
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == {(k, k % 30) for k in texts}
+    marked = decontam.contaminated(docs.union(docs.selectExpr("doc_id + 100", "'clean text'", "item_id", "contaminated", "edits")), bench)
+    assert {r.doc_id for r in marked.collect() if r.contaminated} == set(texts) and "edits" in marked.columns
+
+
 # -- suffixes
 
 
