@@ -124,6 +124,22 @@ def test_pivot_index_where_all_vectors_are_near(spark):
     assert {(r.n_links, r.component_id) for r in pivot_index.near_duplicates(df).collect()} == {(59, 0)}
 
 
+def test_pivot_index_of_mixed_lengths_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0), (3, [2.0, 4.1], 0), (4, [1.0, 0.0, 0.0], 0), (5, [1.0, 0.01, 0.0], 0), (6, [5.0], 0), (7, [2.0], 0), (7, [0.0, 1.0, 0.0], 0), (7, [0.0, 1.0, 0.01], 0), (None, [1.0, 2.0], 0), (8, [], 0), (9, [1.0, 2.0], 1)]
+    df = spark.createDataFrame([(*r, r[0], "x", 3) for r in rows], "vec_id long, embedding array<double>, label int, cid long, near string, n_links int")
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id, r.kept) for r in pivot_index.near_duplicates(df).collect())
+    assert got == [(-1, 0, None, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 0, 9, True)]
+
+
+def test_pivot_index_recall_against_brute_force_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(pivot_index, "BLOCK", 400)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(700, 48))
+    x = centres[rng.integers(0, 700, 6000)] + rng.normal(size=(6000, 48)) * rng.choice([0.1, 0.2, 0.27], size=(6000, 1))
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert pivot_index.recall(df, every=20) >= 0.95
+
+
 # -- n-gram join
 
 
