@@ -14,12 +14,16 @@ partner may be one level up, for that one too.
 Where rare tokens suffice, prefixes are longer by ``n // 10`` tokens, of which
 a partner must then share as many: a passage in common is not enough.
 
-Equal sets are one node.  Signatures are dealt by hash as packed arrays.  In a
+Equal sets (by 128 bits of their hash) are one node.  Signatures are dealt by
+hash as packed arrays, into as many buckets as their number asks for.  In a
 list of up to SHORT nodes pairs are counted, and pairs with too few shared
 signatures over all lists go; longer lists link their nodes in a star.  The
-components of these candidate links are verified whole by exact overlap counts
-from inverted lists, in blocks of bounded size: no list of all pairs of a
-group is ever made, and no link between different sets is lost.
+components of these candidate links are verified by exact overlap counts from
+inverted lists, in blocks of bounded size.  Of a component larger than a block
+every node meets some hubs first, which joins a group of near copies in time
+proportional to its size; blocks whose nodes are then still apart meet in
+pairs.  No list of all pairs of a group is ever made, and no two sets that are
+similar stay apart.
 
 What counts as frequent comes from repeats seen inside a task, summed over all
 documents: it steers the order and so the speed, never the result.  The
@@ -28,7 +32,8 @@ until at most MOST_FREQUENT tokens have it.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 rows with a null id keep a null component and link with nothing; rows that
-repeat an id are documents of their own under one id.
+repeat an id are documents of their own under one id; an empty table gives an
+empty one; columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -52,7 +57,9 @@ COUNTED_AT_ONCE = 1 << 22
 LEAST_FREQUENT = 4
 MOST_FREQUENT = 1 << 20
 BLOCK = 1024
+HUBS = 64
 SHORT = 64
+ENTRIES_AT_ONCE = 1 << 21
 CACHE_WORDS = 300_000
 _ODD = (np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64))
 
@@ -93,8 +100,10 @@ class Shingler:
         return np.unique(_mixed(h))
 
 
-def set_id(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set's hash as two longs."""
+    h = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
 def most_missing(n: int) -> int:
@@ -238,8 +247,15 @@ def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tup
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, int), np.zeros(0, int))
 
 
+FACTS_SCHEMA = "doc_id long, n long, node long, twin long, token long, repeats long"
+
+
 def _facts(rows: DataFrame) -> DataFrame:
-    """One row for each document (doc_id, n, node), and rows (token, repeats) of tokens that repeat inside a task."""
+    """One row for each document (doc_id, n, node, twin), and rows (token, repeats) of tokens that repeat inside a task."""
+    names = [f.split()[0] for f in FACTS_SCHEMA.split(", ")]
+
+    def batch_of(size: int, **known: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([known.get(n, pa.nulls(size, pa.int64())) for n in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, held, seen, size = Shingler(), [], set(), 0
@@ -247,27 +263,25 @@ def _facts(rows: DataFrame) -> DataFrame:
         def repeats() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             token, count = token[count > 1], count[count > 1]
-            none = [None] * len(token)
-            return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=["doc_id", "n", "node", "token", "repeats"])
+            return batch_of(len(token), token=pa.array(token.view(np.int64)), repeats=pa.array(count, pa.int64()))
 
         for batch in batches:
             sizes, nodes = [], []
             for text in batch.column(1):
                 tokens = shingle(text.as_py())
                 sizes.append(len(tokens))
-                nodes.append(set_id(tokens) if len(tokens) else None)
-                if nodes[-1] is not None and nodes[-1] not in seen:
+                nodes.append(set_id(tokens) if len(tokens) else (None, None))
+                if len(tokens) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     held.append(tokens)
                     size += len(tokens)
                 if size >= COUNTED_AT_ONCE:
                     yield repeats()
                     held, seen, size = [], set(), 0
-            none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64())], names=["doc_id", "n", "node", "token", "repeats"])
+            yield batch_of(len(sizes), doc_id=batch.column(0), n=pa.array(sizes, pa.int64()), node=pa.array([n for n, _ in nodes], pa.int64()), twin=pa.array([t for _, t in nodes], pa.int64()))
         yield repeats()
 
-    return rows.mapInArrow(run, "doc_id long, n long, node long, token long, repeats long")
+    return rows.mapInArrow(run, FACTS_SCHEMA)
 
 
 def _frequent(facts: DataFrame) -> Frequent:
@@ -296,22 +310,22 @@ def _candidates(rows: DataFrame, frequent: Frequent, buckets: int) -> DataFrame:
     input a bucket holds about as many, so chance matches stay as rare.
     """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
-    entry = np.dtype([("key", "<u4"), ("place", "<u4")])
+    entry = np.dtype([("key", "<u4"), ("need", "<u4"), ("node", "<i8")])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, held, seen, size = Shingler(), [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _, _ in held])
+            keys, length = np.concatenate([k for k, _, _ in held]), [len(k) for k, _, _ in held]
             rows = np.zeros(len(keys), entry)
             rows["key"] = (keys >> np.uint64(32)).astype(np.uint32)
-            rows["place"] = np.repeat(np.arange(len(held)), [len(k) for k, _, _ in held])
-            table = np.array([(n, m) for _, n, m in held], np.int64).tobytes()
+            rows["node"], rows["need"] = np.repeat([n for _, n, _ in held], length), np.repeat([m for _, _, m in held], length)
             bucket = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            rows, cut = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), pa.array([table] * len(some), pa.binary())], names=["bucket", "entries", "nodes"])
+            rows = rows[order]
+            some, cut = np.unique(bucket[order], return_index=True)
+            cut = np.append(cut, len(rows))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["bucket", "entries"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -321,7 +335,7 @@ def _candidates(rows: DataFrame, frequent: Frequent, buckets: int) -> DataFrame:
                     continue
                 seen.add(node)
                 own, need = signatures(tokens, shared.value)
-                held.append((own, node, need))
+                held.append((own, node[0], need))
                 size += len(own)
                 if size >= TOKENS_AT_ONCE:
                     yield flush()
@@ -332,82 +346,105 @@ def _candidates(rows: DataFrame, frequent: Frequent, buckets: int) -> DataFrame:
             yield flush()
 
     def link(table: pa.Table) -> pa.Table:
-        entries = [np.frombuffer(e, entry) for e in table.column("entries").to_pylist()]
-        facts = [np.frombuffer(n, np.int64).reshape(-1, 2) for n in table.column("nodes").to_pylist()]
-        keys = np.concatenate([e["key"] for e in entries])
-        nodes = np.concatenate([f[e["place"], 0] for e, f in zip(entries, facts, strict=True)])
-        known = np.unique(np.concatenate(facts), axis=0)
-        a, b, x, y, count = list_links(keys, nodes)
-        need = np.minimum(known[np.searchsorted(known[:, 0], x), 1], known[np.searchsorted(known[:, 0], y), 1])
+        entries = np.concatenate([np.frombuffer(e, entry) for e in table.column("entries").to_pylist()])
+        node, first = np.unique(entries["node"], return_index=True)
+        own = entries["need"][first].astype(np.int64)
+        a, b, x, y, count = list_links(entries["key"], entries["node"])
+        need = np.minimum(own[np.searchsorted(node, x)], own[np.searchsorted(node, y)])
         return pa.table({"a": pa.array(np.concatenate([a, x]), pa.int64()), "b": pa.array(np.concatenate([b, y]), pa.int64()), "missing": pa.array(np.concatenate([np.zeros(len(a), np.int64), need - count]), pa.int64()), "need": pa.array(np.concatenate([np.zeros(len(a), np.int64), need]), pa.int64())})
 
-    packed = rows.select("text").mapInArrow(post, "bucket int, entries binary, nodes binary")
+    packed = rows.select("text").mapInArrow(post, "bucket long, entries binary")
     pairs = packed.groupBy("bucket").applyInArrow(link, "a long, b long, missing long, need long")
     # The lists of one pair may lie in several buckets: what they share adds up.
     return pairs.groupBy("a", "b").agg(F.sum(F.col("need") - F.col("missing")).alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
-def _tasks(clustered: DataFrame) -> DataFrame:
-    """(doc_id, node, task, side) of every node to verify; a task holds at most two blocks.
+NODE = ["vid", "doc_id", "node", "twin"]
+
+
+def _size_class(n: str = "n"):
+    """Similar sets lie in the same or the next class: their sizes differ by a third at most."""
+    return F.floor(F.log(n) / float(np.log(100 / PERCENT))).cast("long")
+
+
+def _first_tasks(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their task and side, nodes of large clusters).
 
     Clusters of up to BLOCK nodes are packed together by hash.  Larger ones are
-    cut by size class (partners lie in the same or the next class, as sizes
-    differ by a third at most) and by hash, and pairs of blocks become tasks.
+    cut by size class and by hash; about HUBS nodes of a class, drawn by hash,
+    meet every block of their class and its neighbours.
     """
-    ratio = float(np.log(100 / PERCENT))
-    rows = clustered.withColumn("c", F.floor(F.log("n") / ratio).cast("long"))
+    rows = clustered.withColumn("c", _size_class())
     per_class = rows.groupBy("cluster", "c").agg(F.count("*").alias("m"))
     total = per_class.groupBy("cluster").agg(F.sum("m").alias("total"))
-    blocks = materialize(per_class.join(total, "cluster").filter(F.col("total") > BLOCK).select("cluster", "c", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "blocks")
-    after = blocks.select("cluster", (F.col("c") - 1).alias("c"), F.col("blocks").alias("after"))
-    before = blocks.select("cluster", (F.col("c") + 1).alias("c"), F.col("blocks").alias("before"))
-    plan = materialize(blocks.join(after, ["cluster", "c"], "left").join(before, ["cluster", "c"], "left"), "block-plan")
-    small_nodes = rows.count()
-    packs = max(1, -(-small_nodes // BLOCK))
-    placed = rows.join(plan, ["cluster", "c"], "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    small = placed.filter("blocks is null").select("doc_id", "node", F.concat(F.lit("pack-"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("string")).alias("task"), F.lit(0).alias("side"))
-
-    def pairs(count: str, low_class, low, high_class, high, side) -> DataFrame:
-        wide = placed.filter(F.col(count).isNotNull()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
-        return wide.select("doc_id", "node", F.concat_ws("/", "cluster", low_class, low, high_class, high).alias("task"), side.alias("side"))
-
-    c, own, other = F.col("c"), F.col("own"), F.col("other")
-    same = pairs("blocks", c, F.least(own, other), c, F.greatest(own, other), F.when(own == other, 0).when(own < other, 1).otherwise(2))
-    up = pairs("after", c, own, c + 1, other, F.lit(1))
-    down = pairs("before", c - 1, other, c, own, F.lit(2))
-    return small.union(same).union(up).union(down)
-
-
-def _verify(texts: DataFrame) -> DataFrame:
+    blocks = materialize(per_class.join(total, "cluster").filter(F.col("total") > BLOCK).select("cluster", "c", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "blocks")
+    placed = rows.join(blocks, ["cluster", "c"], "left")
+    packs = max(1, -(-rows.count() // BLOCK))
+    small = placed.filter("blocks is null").select(*NODE, F.concat(F.lit("pack-"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("string")).alias("task"), F.lit(0).alias("side"))
+    large = placed.filter("blocks is not null")
+    own = large.select(*NODE, F.concat_ws("/", "cluster", "c", F.pmod(F.xxhash64("vid"), F.col("blocks"))).alias("task"), F.lit(1).alias("side"))
+    hubs = large.filter(F.pmod(F.xxhash64("vid", F.lit(3)), F.lit(1 << 30)) * F.col("m") <= F.lit(HUBS << 30)).select(*NODE, "cluster", F.explode(F.array(F.col("c") - 1, "c", F.col("c") + 1)).alias("c"))
+    met = hubs.join(blocks.select("cluster", "c", "blocks"), ["cluster", "c"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return small.union(own).union(met.select(*NODE, F.concat_ws("/", "cluster", "c", "k").alias("task"), F.lit(2).alias("side"))), large.select(*NODE, "cluster", "c")
+
+
+def _second_tasks(apart: DataFrame) -> DataFrame:
+    """Nodes of large clusters (vid, ..., cluster, c, component) with the tasks where they meet nodes of other components.
+
+    A component that fills half a block of its class has blocks of its own,
+    the others share blocks; all blocks of neighbouring classes meet but two
+    of one component.
+    """
+    many = apart.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cluster")
+    rows = apart.join(materialize(many, "split-clusters"), "cluster")
+    sizes = rows.groupBy("cluster", "c", "component").agg(F.count("*").alias("m")).withColumn("pure", F.when(F.col("m") >= BLOCK // 2, F.col("component")).otherwise(-1))
+    parts = materialize(sizes, "component-sizes")
+    blocks = parts.groupBy("cluster", "c", "pure").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    numbered = materialize(blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bid", F.monotonically_increasing_id()), "component-blocks")
+    placed = rows.join(parts.select("cluster", "c", "component", "pure"), ["cluster", "c", "component"]).join(blocks, ["cluster", "c", "pure"]).withColumn("k", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    placed = placed.join(numbered.select("cluster", "c", "pure", "k", "bid"), ["cluster", "c", "pure", "k"]).select(*NODE, "bid")
+    left = numbered.select("cluster", F.explode(F.array("c", F.col("c") + 1)).alias("c"), F.col("c").alias("own"), F.col("pure").alias("p"), F.col("bid").alias("a"))
+    pairs = left.join(numbered.select("cluster", "c", "pure", F.col("bid").alias("b")), ["cluster", "c"]).filter("(own < c or a <= b) and (p = -1 or p <> pure)")
+    pairs = materialize(pairs.select("a", "b", F.concat_ws("/", "a", "b").alias("task")), "block-pairs")
+    one = pairs.select(F.col("a").alias("bid"), "task", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))
+    other = pairs.filter("a <> b").select(F.col("b").alias("bid"), "task", F.lit(2).alias("side"))
+    return placed.join(one.union(other), "bid").select(*NODE, "task", "side")
+
+
+def _verify(dealt: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between similar nodes of each task, as a spanning forest."""
+    tasks = materialize(dealt.groupBy(*NODE).agg(F.collect_list(F.struct("task", "side")).alias("tasks")), "tasks")
+    # A merge join at every size: the texts are dealt by id once, whatever share of them is a candidate.
+    texts = tasks.join(rows.hint("merge"), "doc_id").select("vid", "node", "twin", "tasks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
             kept, packed = [], []
-            for k, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
+            for k, (node, twin, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("twin").to_pylist(), batch.column("text"), strict=True)):
                 tokens = shingle(text.as_py())
                 # An id may belong to several rows: only the text with this set counts.
-                if len(tokens) and set_id(tokens) == node:
+                if len(tokens) and set_id(tokens) == (node, twin):
                     kept.append(k)
                     packed.append(tokens.tobytes())
             rows = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("tasks"), pa.array(packed, pa.binary())], names=["node", "tasks", "tokens"])
+            yield pa.RecordBatch.from_arrays([rows.column("vid"), rows.column("tasks"), pa.array(packed, pa.binary())], names=["vid", "tasks", "tokens"])
 
     def check(table: pa.Table) -> pa.Table:
-        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        side = table.column("side").to_numpy()[first]
+        facts = np.column_stack([table.column("vid").to_numpy(), table.column("side").to_numpy()])
+        facts, first = np.unique(facts, axis=0, return_index=True)
+        vid, side = facts.T
         packed = table.column("tokens")
         tokens = [np.frombuffer(packed[int(k)].as_py(), dtype=np.uint64) for k in first]
-        every = np.arange(len(node))
+        every = np.arange(len(vid))
         left, right = (every, every) if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        a, b = verified(tokens, left, right)
-        a, b = forest(node[a], node[b])
+        a, b = verified(tokens, left, right) if len(left) and len(right) else (every[:0], every[:0])
+        a, b = forest(vid[a], vid[b])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    packed = texts.mapInArrow(sets, "node long, tasks array<struct<task: string, side: int>>, tokens binary")
-    dealt = packed.select("node", "tokens", F.explode("tasks").alias("t")).select("node", "tokens", F.col("t.task").alias("task"), F.col("t.side").alias("side"))
-    return dealt.groupBy("task").applyInArrow(check, "a long, b long")
+    packed = texts.mapInArrow(sets, "vid long, tasks array<struct<task: string, side: int>>, tokens binary")
+    dealt = packed.select("vid", "tokens", F.explode("tasks").alias("t")).select("vid", "tokens", F.col("t.task").alias("task"), F.col("t.side").alias("side"))
+    return materialize(dealt.groupBy("task").applyInArrow(check, "a long, b long"), "similar")
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,15 +452,21 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     spark = df.sparkSession
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     facts = materialize(_facts(rows), "shingle-facts")
-    documents = facts.filter("token is null").select("doc_id", "n", "node")
-    links = materialize(_candidates(rows.filter("doc_id is not null"), _frequent(facts), max(8, partitions(spark))), "candidates")
-    nodes = materialize(documents.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")), "nodes")
-    clustered = materialize(connected_components(links).withColumnRenamed("component", "cluster").join(nodes, "node").select("doc_id", "node", "n", "cluster"), "clustered")
-    tasks = materialize(_tasks(clustered).groupBy("doc_id", "node").agg(F.collect_list(F.struct("task", "side")).alias("tasks")), "tasks")
-    # A merge join at every size: the texts are dealt by id once, whatever share of them is a candidate.
-    found = materialize(_verify(tasks.join(rows.hint("merge"), "doc_id").select("node", "tasks", "text")), "similar")
-    reached = connected_components(found).join(nodes.select("node", "doc_id"), "node")
+    documents = facts.filter("token is null").select("doc_id", "n", "node", "twin")
+    # A prefix holds about 0.35 of a set's tokens.
+    buckets = max(8, partitions(spark), int(0.35 * (documents.agg(F.sum("n")).first()[0] or 0)) // ENTRIES_AT_ONCE)
+    links = materialize(_candidates(rows.filter("doc_id is not null"), _frequent(facts), buckets), "candidates")
+    same = documents.filter("node is not null and doc_id is not null").groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    nodes = materialize(same.withColumn("vid", F.monotonically_increasing_id()), "nodes")
+    clustered = materialize(connected_components(links).withColumnRenamed("component", "cluster").join(nodes, "node").select(*NODE, "n", "cluster"), "clustered")
+    tasks, large = _first_tasks(clustered)
+    found = _verify(tasks, rows)
+    if large.limit(1).count():
+        joined = connected_components(found).withColumnRenamed("node", "vid")
+        apart = materialize(large.join(joined, "vid", "left").withColumn("component", F.coalesce("component", "vid")), "apart")
+        found = found.union(_verify(_second_tasks(apart), rows))
+    reached = connected_components(found).withColumnRenamed("node", "vid").join(nodes.select("vid", "node", "twin", "doc_id"), "vid")
     least = materialize(reached.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    by_node = reached.select("node", "component").join(least, "component").select("node", "component_id")
-    classes = materialize(nodes.join(by_node, "node", "left").filter("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
-    return documents.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    by_node = reached.select("node", "twin", "component").join(least, "component").select("node", "twin", "component_id")
+    classes = materialize(nodes.join(by_node, ["node", "twin"], "left").filter("copies > 1 or component_id is not null").select("node", "twin", F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
+    return documents.join(classes, ["node", "twin"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

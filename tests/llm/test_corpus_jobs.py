@@ -192,6 +192,31 @@ def test_ngram_join_of_nothing_and_repeated_ids(spark):
     assert ngram_join.near_classes(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_large_groups_that_hubs_do_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    monkeypatch.setattr(ngram_join, "SHORT", 3)
+    monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", 10**6)
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(30)]
+    # A chain of texts each near to the next only, groups of near copies, and strangers, all with one passage.
+    texts = [" ".join(passage + [f"c{k + j}" for j in range(60)]) for k in range(0, 120, 4)]
+    for g in range(6):
+        texts += edited_group(rng, passage + [f"g{g}w{k}" for k in range(40)], 14, 1)
+    texts += [" ".join(passage + [f"s{n}w{k}" for k in range(rng.randrange(30, 60))]) for n in range(40)]
+    rng.shuffle(texts)
+    rows = dict(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_classes(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)[1]
+
+
+def test_ngram_join_of_a_very_long_text(spark):
+    words = [f"w{k}" for k in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-9000])), (3, " ".join(words[100_000:])), (4, "w1 w2 w3 w4 w5 w6")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (199_996, 1), 2: (190_996, 1), 3: (99_996, 3), 4: (2, 4)}
+
+
 def test_signatures_are_shared_by_similar_sets():
     rng = np.random.default_rng(4)
     for _ in range(300):
