@@ -2,29 +2,37 @@
 
 The base spans (email, ip, card, phone) come from fixed patterns and always
 stay.  A small bidirectional LSTM over character classes with a linear-chain
-CRF on top is trained in numpy from labelled spans (base matches in a bounded
-sample of windows).  Every span has an at-sign or a digit by definition, so
-text further than ``REACH`` characters from both is outside for certain; all
-other text of every document is cut into overlapping windows and decoded by
-Viterbi.  Reconciling is global: each character takes its tag from the window
-in which it lies furthest from an edge, and runs of one kind become spans over
-the document, whatever windows they crossed.  Model spans that touch no base
-span, are sure enough and have the digits of their kind are added.
+CRF on top is trained in numpy from labelled spans: base matches in a bounded
+sample of texts, and the same spans disguised as people write them ("name at
+host dot org", 10[.]0[.]0[.]1, other separators, a missing plus), which the
+patterns do not know.
+
+Every character of every text is decoded: texts are cut into overlapping
+windows and decoded by Viterbi, some windows at a time whatever a text's length.
+Reconciling is global: each character takes its tag from the window in which it
+lies furthest from an edge, and runs of one kind become spans over the document,
+whatever windows they crossed.  Model spans that touch no base span, are sure
+enough and have the shape and digits of their kind are added.
 
 Defined results: null counts as empty, empty text has no spans; offsets are
-code points, end exclusive; repeated rows get equal spans.
+code points, end exclusive; repeated rows get equal spans; of model spans that
+overlap the first stays; without any base span in the sample there is no model
+and nothing is added; an empty table gives an empty one; columns named as the
+new ones are replaced.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,49 +86,62 @@ def base_spans(text: str) -> list[Span]:
 
 # -- the model -----------------------------------------------------------
 
-WINDOW, STRIDE, REACH = 64, 32, 32
+WINDOW, STRIDE = 96, 64
+EDGE = (WINDOW - STRIDE) // 2
+WINDOWS_AT_ONCE = 2048
+DISGUISES = 4
 HIDDEN, DIM = 12, 8
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-_SHOWN = "@.-+()_%/:,=\"#"
-CLASSES = 8 + len(_SHOWN)
-_ASCII = np.array([0 if c < 32 and chr(c) not in "\t\n\r" else 1 if chr(c).isdigit() else 2 if chr(c).islower() else 3 if chr(c).isupper() else 5 if c == 32 else 6 if c < 32 else 8 + _SHOWN.index(chr(c)) if chr(c) in _SHOWN else 7 for c in range(128)], dtype=np.int64)
+_SHOWN = "@.-+()_%/:,=\"#[]"
+_CUES = "adot"
+CLASSES = 8 + len(_SHOWN) + len(_CUES)
+
+
+def _ascii_class(c: int) -> int:
+    """Controls, digits, other lower case, upper case, blanks, line ends and rarer signs are classes; so is each shown sign and each letter of "at" and "dot"."""
+    ch = chr(c)
+    if ch in _SHOWN:
+        return 8 + _SHOWN.index(ch)
+    if ch.lower() in _CUES:
+        return 8 + len(_SHOWN) + _CUES.index(ch.lower())
+    if ch.isdigit():
+        return 1
+    if ch.isalpha():
+        return 2 if ch.islower() else 3
+    return 5 if c == 32 else 6 if ch in "\t\n\r" else 0 if c < 32 else 7
+
+
+_ASCII = np.array([_ascii_class(c) for c in range(128)], dtype=np.uint8)
 
 
 def char_classes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return np.where(points < 128, _ASCII[np.minimum(points, 127)], 4)
+    return np.where(points < 128, _ASCII[np.minimum(points, 127)], np.uint8(4))
 
 
-def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within REACH of a digit or an at-sign."""
-    found: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if found and start <= found[-1][1]:
-            found[-1][1] = end
-        else:
-            found.append([start, end])
-    return [(s, e) for s, e in found]
+def windows_of(size: int) -> range:
+    """Starts of overlapping windows over a text; the last one reaches its end."""
+    return range(0, max(1, size - WINDOW + STRIDE), STRIDE)
 
 
-def windows_of(start: int, end: int) -> list[int]:
-    """Starts of overlapping windows over a zone; the last one ends with the zone."""
-    last = max(start, end - WINDOW)
-    return [*range(start, last, STRIDE), last]
+def owned(start: int, size: int) -> tuple[int, int]:
+    """The characters that lie deeper in the window at ``start`` than in its neighbours."""
+    return start + EDGE if start else 0, start + EDGE + STRIDE if start + WINDOW < size else size
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def _soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): a squashing function that costs a division; its slope is (1 - |soft|) squared."""
+    return x / (1 + np.abs(x))
 
 
 class Tagger:
-    """Embedding, two LSTMs, linear emissions and CRF; parameters in a dict of float32 arrays."""
+    """Embedding, two LSTMs, linear emissions and CRF; parameters in a dict of float32 arrays, gates in the order input, forget, output, cell."""
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
-        p = {"emb": rng.normal(0, 0.4, (CLASSES, DIM)), "out": rng.normal(0, 0.3, (2 * HIDDEN, TAGS)), "out_b": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS)), "first": np.zeros(TAGS)}
+        p = {"emb": rng.normal(0, 0.5, (CLASSES, DIM)), "out": rng.normal(0, 0.3, (2 * HIDDEN, TAGS)), "out_b": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS)), "first": np.zeros(TAGS)}
         for side in ("f", "b"):
-            p |= {f"wx{side}": rng.normal(0, 0.3, (DIM, 4 * HIDDEN)), f"wh{side}": rng.normal(0, 0.2, (HIDDEN, 4 * HIDDEN)), f"bias{side}": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
+            p |= {f"wx{side}": rng.normal(0, 0.4, (4, DIM, HIDDEN)), f"wh{side}": rng.normal(0, 0.25, (4, HIDDEN, HIDDEN)), f"bias{side}": np.array([[0.0], [1.5], [0.0], [0.0]]) + np.zeros((4, HIDDEN))}
         # An inside tag only follows its own begin or inside.
         for k in range(len(KINDS)):
             allowed = {1 + 2 * k, 2 + 2 * k}
@@ -128,45 +149,58 @@ class Tagger:
             p["first"][2 + 2 * k] = -1e4
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
 
-    def _lstm(self, e: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        n, length, _ = e.shape
-        pre = e @ self.p["wx" + side] + self.p["bias" + side]
+    def _lstm(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
+        """States (length x windows x HIDDEN) of one direction; ``trace`` gets what the gradients need."""
+        # What a character adds to the gates depends on its class alone.
+        table = (np.einsum("cd,kdh->kch", self.p["emb"], self.p["wx" + side]) + self.p["bias" + side][:, None]).astype(np.float32)
+        length, n = x.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        out, trace = np.empty((n, length, HIDDEN), np.float32), []
+        z, part = np.empty((4, n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32)
+        out = np.empty((length, n, HIDDEN), np.float32)
         for t in range(length) if side == "f" else range(length - 1, -1, -1):
-            z = pre[:, t] + h @ self.p["wh" + side]
-            gates = _sigmoid(z[:, : 3 * HIDDEN])
-            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
-            before, prior = c, h
-            c = f * c + i * g
-            squashed = np.tanh(c)
-            h = o * squashed
-            out[:, t] = h
-            trace.append((t, i, f, o, g, before, prior, squashed))
-        return out, trace
-
-    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        e = self.p["emb"][x]
-        ahead, trace_f = self._lstm(e, "f")
-        back, trace_b = self._lstm(e, "b")
-        h = np.concatenate([ahead, back], axis=2)
-        return h @ self.p["out"] + self.p["out_b"], (e, h, trace_f, trace_b)
-
-    def _back(self, side: str, e: np.ndarray, trace: list, dh_all: np.ndarray, grads: dict) -> np.ndarray:
-        de = np.zeros_like(e)
-        n = len(e)
+            np.take(table, x[t], axis=1, out=z, mode="clip")
+            z += np.matmul(h, self.p["wh" + side], out=part)
+            np.abs(z, out=part)
+            part += 1
+            z /= part
+            z[:3] += 1
+            z[:3] *= 0.5
+            if trace is not None:
+                trace.append((t, z.copy(), c.copy(), h.copy()))
+            c *= z[1]
+            c += np.multiply(z[0], z[3], out=part[0])
+            np.abs(c, out=part[0])
+            part[0] += 1
+            h = c / part[0]
+            if trace is not None:
+                trace[-1] += (h,)
+            h = h * z[2]
+            out[t] = h
+        return out
+
+    def emissions(self, x: np.ndarray, traces: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (windows x length x TAGS) and the states they come from; ``x`` is windows x length."""
+        place = np.ascontiguousarray(x.T).astype(np.intp)
+        h = np.concatenate([self._lstm(place, "f", traces and traces[0]), self._lstm(place, "b", traces and traces[1])], axis=2)
+        return (h @ self.p["out"] + self.p["out_b"]).transpose(1, 0, 2), h
+
+    def _back(self, side: str, x: np.ndarray, trace: list, dh_all: np.ndarray, grads: dict) -> None:
+        n = x.shape[1]
         dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        for t, i, f, o, g, before, prior, squashed in reversed(trace):
-            dh = dh + dh_all[:, t]
-            dc = dc + dh * o * (1 - squashed**2)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-            grads["wx" + side] += e[:, t].T @ dz
+        on_table = np.zeros((4, CLASSES, HIDDEN), np.float32)
+        for t, z, before, prior, squashed in reversed(trace):
+            i, f, o, g = z
+            dh = dh + dh_all[t]
+            dc = dc + dh * o * (1 - np.abs(squashed)) ** 2
+            slope = 0.5 * (1 - np.abs(2 * z[:3] - 1)) ** 2
+            dz = np.stack([dc * g * slope[0], dc * before * slope[1], dh * squashed * slope[2], dc * i * (1 - np.abs(g)) ** 2])
             grads["wh" + side] += prior.T @ dz
-            grads["bias" + side] += dz.sum(axis=0)
-            de[:, t] = dz @ self.p["wx" + side].T
-            dh, dc = dz @ self.p["wh" + side].T, dc * f
-        return de
+            for k in range(4):
+                np.add.at(on_table[k], x[t], dz[k])
+            dh, dc = np.matmul(dz, self.p["wh" + side].transpose(0, 2, 1)).sum(axis=0), dc * f
+        grads["bias" + side] += on_table.sum(axis=1)
+        grads["wx" + side] += np.einsum("cd,kch->kdh", self.p["emb"], on_table)
+        grads["emb"] += np.einsum("kch,kdh->cd", on_table, self.p["wx" + side])
 
     def _forward_backward(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log forward and backward scores, and the log partition."""
@@ -181,7 +215,8 @@ class Tagger:
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of tags ``y`` and its gradients."""
-        em, (e, h, trace_f, trace_b) = self.emissions(x)
+        traces: tuple[list, list] = ([], [])
+        em, h = self.emissions(x, traces)
         a, b, z = self._forward_backward(em)
         n, length, _ = em.shape
         rows = np.arange(n)
@@ -195,28 +230,55 @@ class Tagger:
             score = score + em[rows, t, y[:, t]] + self.p["trans"][y[:, t - 1], y[:, t]]
         d[rows[:, None], np.arange(length)[None], y] -= 1
         grads["first"] += d[:, 0].sum(axis=0)
+        d = d.transpose(1, 0, 2)
         grads["out"] += h.reshape(-1, 2 * HIDDEN).T @ d.reshape(-1, TAGS)
         grads["out_b"] += d.sum(axis=(0, 1))
         dh = d @ self.p["out"].T
-        de = self._back("f", e, trace_f, dh[:, :, :HIDDEN], grads) + self._back("b", e, trace_b, dh[:, :, HIDDEN:], grads)
-        np.add.at(grads["emb"], x, de)
+        place = np.ascontiguousarray(x.T).astype(np.intp)
+        self._back("f", place, traces[0], dh[:, :, :HIDDEN], grads)
+        self._back("b", place, traces[1], dh[:, :, HIDDEN:], grads)
         return float((z - score).mean()), {k: g / n for k, g in grads.items()}
 
+    def _certainly_outside(self, em: np.ndarray) -> np.ndarray:
+        """Windows whose best path is outside throughout.
+
+        Whatever its kinds, a span gains over the outside path no more than
+        the best begin, the best insides and the best transitions together; where
+        no such span gains anything, none is on the best path.
+        """
+        trans, first = self.p["trans"], self.p["first"]
+        still = trans[0, 0]
+        begin = reduce(np.maximum, (em[:, :, k] for k in range(1, TAGS, 2))) - em[:, :, 0]
+        inside = reduce(np.maximum, (em[:, :, k] for k in range(2, TAGS, 2))) - em[:, :, 0]
+        enter, leave = trans[0, 1::2].max() - still, trans[1:, 0].max() - still
+        follow, again = trans[1:, 2::2].max() - still, trans[1:, 1::2].max() - still
+        held = begin[:, 0] + (first[1::2].max() - first[0])
+        top = held + leave
+        for t in range(1, em.shape[1]):
+            held = np.maximum(begin[:, t] + np.maximum(enter, held + again), held + follow + inside[:, t])
+            top = np.maximum(top, held + (leave if t + 1 < em.shape[1] else 0))
+        return top < 0
+
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags of windows, and each tag's marginal probability."""
+        """Viterbi tags of windows, and each tag's marginal probability (1 where a window is outside for certain)."""
         em, _ = self.emissions(x)
-        a, b, z = self._forward_backward(em)
-        n, length, _ = em.shape
-        best, came = em[:, 0] + self.p["first"], np.zeros((n, length, TAGS), np.int64)
-        for t in range(1, length):
-            options = best[:, :, None] + self.p["trans"][None]
-            came[:, t] = options.argmax(axis=1)
-            best = options.max(axis=1) + em[:, t]
-        tags = np.empty((n, length), np.int64)
-        tags[:, -1] = best.argmax(axis=1)
-        for t in range(length - 1, 0, -1):
-            tags[:, t - 1] = came[np.arange(n), t, tags[:, t]]
-        sure = np.take_along_axis(np.exp(a + b - z[:, None, None]), tags[:, :, None], axis=2)[:, :, 0]
+        tags, sure = np.zeros(x.shape, np.uint8), np.ones(x.shape, np.float32)
+        some = np.flatnonzero(~self._certainly_outside(em))
+        if len(some):
+            em = np.ascontiguousarray(em[some])
+            best, came = em[:, 0] + self.p["first"], np.zeros(em.shape, np.int64)
+            for t in range(1, em.shape[1]):
+                options = best[:, :, None] + self.p["trans"][None]
+                came[:, t] = options.argmax(axis=1)
+                best = options.max(axis=1) + em[:, t]
+            path = np.empty(em.shape[:2], np.int64)
+            path[:, -1] = best.argmax(axis=1)
+            for t in range(em.shape[1] - 1, 0, -1):
+                path[:, t - 1] = came[np.arange(len(some)), t, path[:, t]]
+            tags[some] = path
+            marked = np.flatnonzero(path.any(axis=1))
+            a, b, z = self._forward_backward(em[marked])
+            sure[some[marked]] = np.take_along_axis(np.exp(a + b - z[:, None, None]), path[marked][:, :, None], axis=2)[:, :, 0]
         return tags, sure
 
 
@@ -225,7 +287,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(x: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 40, rate: float = 0.03, seed: int = 0) -> Tagger:
+def train(x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 48, rate: float = 0.02, seed: int = 0) -> Tagger:
     """Adam over shuffled batches, the rate falling to a tenth."""
     tagger, rng = Tagger(seed), np.random.default_rng(seed)
     per_epoch = max(1, len(x) // batch)
@@ -248,21 +310,94 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 40, rate:
     return tagger
 
 
-def labelled_windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows over all zones of a text, as character classes and tags of its base spans."""
-    classes = char_classes(text)
-    tags = np.zeros(len(text), dtype=np.int64)
-    for kind, s, e in reversed(base_spans(text)):
-        k = KINDS.index(kind)
-        tags[s:e], tags[s] = 2 + 2 * k, 1 + 2 * k
-    for start, end in zones(text):
-        for w in windows_of(start, end):
-            x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-            x[: end - w], y[: end - w] = classes[w : min(end, w + WINDOW)], tags[w : min(end, w + WINDOW)]
-            # A span cut by the window's left edge begins there.
-            if y[0] and y[0] % 2 == 0:
-                y[0] -= 1
-            yield x, y
+# -- labelled spans ------------------------------------------------------
+
+
+def disguised(kind: str, piece: str, rng: random.Random) -> str:
+    """A span as people write it who avoid the plain form: spelt-out signs, other separators, a missing plus."""
+    digits = "".join(_DIGITS.findall(piece))
+    if kind == "email":
+        name, _, domain = piece.partition("@")
+        at, dot = rng.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" @ ", "."), (" @ ", " . ")])
+        return name + at + domain.replace(".", dot)
+    if kind == "ip":
+        return piece.replace(".", rng.choice(["[.]", "(.)", " . ", "[dot]"]))
+    if kind == "card":
+        return rng.choice([".", "/", "_", " - ", "  "]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    bare = piece.lstrip("+").strip()
+    sign = rng.choice([".", "-", " ", "/"])
+    return rng.choice([f"00{bare}", f"00 {bare}", f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", sign.join([digits[:3], digits[3:6], digits[6:]]), f"0{digits[:3]}{sign}{digits[3:6]}{sign}{digits[6:]}"])
+
+
+def harmless(rng: random.Random) -> str:
+    """Numbers and signs that are no personal data."""
+    n = rng.randrange
+    return rng.choice([f"{1950 + n(90)}-{1 + n(12):02d}-{1 + n(28):02d} {n(24):02d}:{n(60):02d}:{n(60):02d}", f"{1 + n(28):02d}.{1 + n(12):02d}.{1950 + n(90)}", f"v{n(9)}.{n(30)}.{n(99)}", f"${n(999)},{n(999):03d}.{n(99):02d}", f"ISBN {n(9)}-{n(9999):04d}-{n(9999):04d}-{n(9)}", f"{n(10**12)}", f"@{rng.choice(['home', 'work', 'noon'])}", f"meet at {rng.choice(['noon', 'home'])} dot", f"pp. {n(300)}-{n(900)}", f"{n(99)} x {n(99)} x {n(99)}"])
+
+
+def labelled_windows(text: str, seed: int = 0, most: int = 24) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, classes, tags) of windows of a text: 0 with its spans, 1 with its spans disguised (in ``DISGUISES`` ways), 2 without any; at most ``most`` of each."""
+    rng = random.Random(seed)
+    base = sorted({(s, e, kind) for kind, s, e in base_spans(text)})
+    spans = [b for n, b in enumerate(base) if not n or b[0] >= base[n - 1][1]]
+    # A plain span is seen at as many offsets as it has disguises.
+    forms = [(0, text, spans)]
+    for _ in range(DISGUISES if spans else 0):
+        parts, marks, at, size = [], [], 0, 0
+        for s, e, kind in spans:
+            piece = disguised(kind, text[s:e], rng)
+            parts += [text[at:s], piece]
+            size += s - at
+            marks.append((size, size + len(piece), kind))
+            size, at = size + len(piece), e
+        forms.append((1, "".join([*parts, text[at:]]), marks))
+    out = []
+    for group, own, chosen in forms:
+        classes, tags = char_classes(own), np.zeros(len(own), np.uint8)
+        for s, e, kind in reversed(chosen):
+            k = KINDS.index(kind)
+            tags[s:e], tags[s] = 2 + 2 * k, 1 + 2 * k
+        for s, e, _ in chosen[:most]:
+            for _ in range(1 if group else DISGUISES):
+                out.append((group, *_cut(classes, tags, s - rng.randrange(max(1, WINDOW - min(WINDOW, e - s) + 1)))))
+    # Places without spans: some anywhere, some around numbers, some with harmless numbers put in.
+    tags = np.zeros(len(text), np.uint8)
+    for s, e, _ in base:
+        tags[s:e] = 1
+    places = [m.start() for m in _TRIGGER.finditer(text)]
+    for s in [*[rng.randrange(max(1, len(text))) for _ in range(3)], *(rng.sample(places, min(len(places), 5)))]:
+        x, y = _cut(char_classes(text), tags, s - rng.randrange(WINDOW))
+        if not y.any():
+            out.append((2, x, y))
+            cut = max(0, min(len(text) - 1, s))
+            own = text[max(0, cut - 60) : cut] + " " + harmless(rng) + " " + text[cut : cut + 60]
+            if not base_spans(own) and not tags[max(0, cut - 60) : cut + 60].any():
+                out.append((2, *_cut(char_classes(own), np.zeros(len(own), np.uint8), rng.randrange(30))))
+    return out
+
+
+def _cut(classes: np.ndarray, tags: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    start = max(0, min(start, len(classes) - WINDOW))
+    x, y = np.zeros(WINDOW, np.uint8), np.zeros(WINDOW, np.uint8)
+    n = len(classes[start : start + WINDOW])
+    x[:n], y[:n] = classes[start : start + WINDOW], tags[start : start + WINDOW]
+    # A span cut by the window's left edge begins there.
+    if y[0] and y[0] % 2 == 0:
+        y[0] -= 1
+    return x, y
+
+
+# -- decoding ------------------------------------------------------------
+
+_AT = r"(?:@|[\[(]\s?at\s?[\])]|\sat\s)"
+_DOT = r"(?:\.|[\[(]\s?dot\s?[\])]|\sdot\s)"
+#: What an added span must look like, disguised or not; numbers must pass their kind's check as well.
+_SHAPES = {
+    "email": re.compile(rf"(?i)[a-z0-9._%+-]+\s?{_AT}\s?[a-z0-9-]+(?:\s?{_DOT}\s?[a-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:[\[(](?:\.|dot)[\])]|\.)\s?[0-9]{1,3}){3}(?![0-9])"),
+    "card": re.compile(r"[0-9](?:[ ._/,:-]{0,3}[0-9])+"),
+    "phone": re.compile(r"[+(]?[0-9][0-9 ()./-]+[0-9]"),
+}
 
 
 @dataclass
@@ -271,56 +406,46 @@ class PiiModel:
     sure: float = 0.9
 
     def added(self, texts: list[str]) -> list[list[Span]]:
-        """Spans that the tagger proposes for each text, before comparison with base spans."""
+        """Spans that the tagger proposes for each text, before comparison with base spans; whole texts, some windows at a time."""
         found: list[list[Span]] = [[] for _ in texts]
         if self.tagger is None:
             return found
-        work = [(k, s, e) for k, t in enumerate(texts) for s, e in zones(t)]
-        for first in range(0, len(work), 256):
-            part = work[first : first + 256]
-            place = [(z, w) for z, (_, s, e) in enumerate(part) for w in windows_of(s, e)]
-            classes: dict[int, np.ndarray] = {}
-            x = np.zeros((len(place), WINDOW), np.int64)
-            for n, (z, w) in enumerate(place):
-                k, _, e = part[z]
-                if k not in classes:
-                    classes = {k: char_classes(texts[k])}
-                cut = classes[k][w : min(e, w + WINDOW)]
-                x[n, : len(cut)] = cut
-            decoded = [self.tagger.decode(x[n : n + 512]) for n in range(0, len(x), 512)]
-            tags, sure = (np.concatenate(d) for d in zip(*decoded, strict=True))
-            by_zone: dict[int, list[int]] = {}
-            for n, (z, _) in enumerate(place):
-                by_zone.setdefault(z, []).append(n)
-            for z, members in by_zone.items():
-                k, s, e = part[z]
-                found[k] += self._reconcile(s, e, [place[n][1] for n in members], tags[members], sure[members])
+        x, place = np.zeros((WINDOWS_AT_ONCE, WINDOW), np.uint8), []
+        pending: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush(current: int) -> None:
+            tags, sure = self.tagger.decode(x[: len(place)])
+            for n in np.flatnonzero(tags.any(axis=1)).tolist():
+                k, w = place[n]
+                tag, belief = pending[k]
+                a, b = owned(w, len(tag))
+                tag[a:b], belief[a:b] = tags[n, a - w : b - w], sure[n, a - w : b - w]
+            place.clear()
+            for k in [k for k in pending if k != current]:
+                found[k] = self._runs(*pending.pop(k))
+
+        for k, text in enumerate(texts):
+            classes = char_classes(text)
+            pending[k] = np.zeros(len(text), np.uint8), np.zeros(len(text), np.float32)
+            for w in windows_of(len(text)) if text else ():
+                if len(place) == WINDOWS_AT_ONCE:
+                    flush(k)
+                piece = classes[w : w + WINDOW]
+                x[len(place), : len(piece)], x[len(place), len(piece) :] = piece, 0
+                place.append((k, w))
+        if place:
+            flush(-1)
         return found
 
-    def _reconcile(self, start: int, end: int, at: list[int], tags: np.ndarray, sure: np.ndarray) -> list[Span]:
-        """One tag for each character of a zone, from the window where it is furthest from an edge; then runs."""
-        depth = np.full(end - start, -1)
-        tag, belief = np.zeros(end - start, np.int64), np.zeros(end - start)
-        for n, w in enumerate(at):
-            stop = min(end, w + WINDOW)
-            place = np.arange(w, stop)
-            left = place - w if w > start else np.full(len(place), WINDOW)
-            right = stop - 1 - place if stop < end else np.full(len(place), WINDOW)
-            deep = np.minimum(left, right)
-            better = deep > depth[place - start]
-            depth[place[better] - start] = deep[better]
-            tag[place[better] - start], belief[place[better] - start] = tags[n, : stop - w][better], sure[n, : stop - w][better]
-        spans, k = [], 0
-        while k < len(tag):
-            if not tag[k]:
-                k += 1
-                continue
-            kind, stop = (tag[k] - 1) // 2, k + 1
-            while stop < len(tag) and tag[stop] == 2 + 2 * kind:
-                stop += 1
-            if belief[k:stop].mean() >= self.sure:
-                spans.append((KINDS[kind], start + k, start + stop))
-            k = stop
+    def _runs(self, tag: np.ndarray, belief: np.ndarray) -> list[Span]:
+        """Spans of a text's tags: each run of one kind that the model is sure of, whatever windows it crosses."""
+        spans, marked = [], np.flatnonzero(tag)
+        for run in np.split(marked, np.flatnonzero(np.diff(marked) > 1) + 1) if len(marked) else ():
+            kind = (tag[run] - 1) // 2
+            edges = [0, *(np.flatnonzero((np.diff(kind) != 0) | (tag[run][1:] % 2 == 1)) + 1).tolist(), len(run)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if belief[run[a:b]].mean() >= self.sure:
+                    spans.append((KINDS[int(kind[a])], int(run[a]), int(run[b - 1]) + 1))
         return spans
 
     def spans(self, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
@@ -329,54 +454,57 @@ class PiiModel:
         out = []
         for text, more in zip(whole, self.added(whole), strict=True):
             base = base_spans(text)
-            new = [s for s in more if _plausible(text, s) and not any(s[1] < e and b < s[2] for _, b, e in base)]
+            new: list[Span] = []
+            for span in filter(None, (_settled(text, s) for s in more)):
+                if not any(span[1] < e and b < span[2] for _, b, e in [*base, *new]):
+                    new.append(span)
             out.append((base, sorted({*base, *new}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
         return out
 
 
-def _plausible(text: str, span: Span) -> bool:
-    """What an added span must show: the digits of its kind, or text on both sides of one at-sign."""
+def _settled(text: str, span: Span) -> Span | None:
+    """The stretch at a proposed span that looks like its kind and passes its check, else None; edges may move by three characters."""
     kind, s, e = span
-    piece = text[s:e]
-    digits = "".join(_DIGITS.findall(piece))
-    if kind == "email":
-        left, _, right = piece.partition("@")
-        return bool(left.strip()) and "." in right.strip(". ")
-    if kind == "ip":
-        return len(p := _DIGITS.findall(piece)) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in p)
-    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
+    low, high = max(0, s - 3), min(len(text), e + 3)
+    for m in _SHAPES[kind].finditer(text[low:high]):
+        a, b = low + m.start(), low + m.end()
+        if 2 * (min(b, e) - max(a, s)) < e - s or (a and text[a - 1].isalnum() and text[a].isalnum()) or (b < len(text) and text[b].isalnum() and kind != "email"):
+            continue
+        parts = _DIGITS.findall(m.group())
+        size = sum(map(len, parts))
+        if kind == "email" or (kind == "ip" and all(int(p) <= 255 for p in parts)) or (kind == "card" and 13 <= size <= 19 and luhn("".join(parts))) or (kind == "phone" and 9 <= size <= 15 and (len(parts) > 2 or parts[0].startswith("0"))):
+            return kind, a, b
+    return None
 
 
 def shown(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-PER_DOCUMENT = 64
+def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample_documents: int = 4000, max_windows: int = 1500, windows_per_document: int = 24) -> PiiModel:
+    """Train on windows of at most about ``sample_documents`` texts drawn by hash.
 
-
-def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample_documents: int = 4000, max_windows: int = 900) -> PiiModel:
-    """Train on windows of at most about ``sample_documents`` texts drawn by hash, ``max_windows`` windows in all."""
+    All three bounds are of the training sample alone: of a text at most
+    ``windows_per_document`` windows with spans, as many with disguised ones,
+    and a few without; of all at most ``max_windows``.
+    """
     rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("t is not null")
     share = min(1.0, sample_documents / max(1, df.count()))
     drawn = rows.filter(F.pmod(F.xxhash64("k", F.lit(29)), F.lit(1 << 30)) < share * (1 << 30))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[bytes] = []
-            for t in batch.column(0).to_pylist():
-                own = sorted({x.astype(np.uint8).tobytes() + y.astype(np.uint8).tobytes() for x, y in labelled_windows(t)}, key=zlib.crc32)
-                made += own[:PER_DOCUMENT]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["w"])
-
-    got = sorted({r["w"] for r in drawn.select("t").mapInArrow(extract, "w binary").collect()}, key=zlib.crc32)
-    flat = [np.frombuffer(bytes(w), dtype=np.uint8).reshape(2, WINDOW).astype(np.int64) for w in got]
-    # Windows with a span first, up to two thirds of the room.
-    flat = sorted(flat, key=lambda w: not w[1].any())
-    marked = [w for w in flat if w[1].any()][: 2 * max_windows // 3]
-    plain = [w for w in flat if not w[1].any()][: max_windows - len(marked)]
-    if not marked:
+            made = [(g, x.tobytes() + y.tobytes()) for t in batch.column(0).to_pylist() for g, x, y in labelled_windows(t, zlib.crc32(t.encode("utf-8", "surrogatepass")), windows_per_document)]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in made], pa.int32()), pa.array([w for _, w in made], pa.binary())], names=["g", "w"])
+
+    got = drawn.select("t").mapInArrow(extract, "g int, w binary").distinct().select("g", "w", F.crc32("w").alias("o"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("o", "w"))
+    kept = got.withColumn("r", rank).filter(F.col("r") <= max_windows // 3).orderBy("g", "r").collect()
+    if not any(r["g"] == 0 for r in kept):
         return PiiModel(None)
-    used = np.stack(marked + plain)
+    groups = [[np.frombuffer(bytes(r["w"]), dtype=np.uint8).reshape(2, WINDOW) for r in kept if r["g"] == g] for g in range(3)]
+    # Each group weighs about as much as the largest.
+    used = np.stack([w for own in groups for w in own * (max(map(len, groups)) // max(1, len(own)))]).astype(np.int64)
     return PiiModel(train(used[:, 0], used[:, 1]))
 
 

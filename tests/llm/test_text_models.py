@@ -176,6 +176,68 @@ def test_pii_edges_and_redaction(spark, odd):
     assert pii.fit(odd.limit(0)).tagger is None
 
 
+def test_tagger_adds_disguised_spans_and_leaves_the_rest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii.fit(docs.filter("doc_id % 2 = 0"))
+    texts = [r.text for r in docs.filter("doc_id % 8 = 1").collect()]
+    plain = model.spans(texts)
+    assert sum(len(every) - len(base) for base, every in plain) <= 0.002 * len(texts)
+    rng, found, made = random.Random(3), 0, 0
+    for text, (base, _) in zip(texts, plain, strict=True):
+        for kind, s, e in base[:1]:
+            own = pii.disguised(kind, text[s:e], rng)
+            ((known, every),) = model.spans([text[:s] + own + text[e:]])
+            made += 1
+            found += any(k == kind and a < s + len(own) and s < b for k, a, b in every)
+            assert set(known) <= set(every)
+    assert made > 40 and found >= 0.6 * made
+
+
+def test_windows_own_every_character_once_and_long_texts_are_decoded_in_parts(monkeypatch):
+    for size in (1, 95, 96, 97, 160, 161, 1000):
+        cuts = [pii.owned(w, size) for w in pii.windows_of(size)]
+        assert cuts[0][0] == 0 and cuts[-1][1] == size and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:], strict=False))
+        assert all(w <= a and b <= w + pii.WINDOW for w, (a, b) in zip(pii.windows_of(size), cuts, strict=True))
+    texts = ["call +1 (523) 555-1055 now " * 4, "write to anna@mail.example.org or not at all, the list goes on " * 3, "plain words only " * 20] * 10
+    x, y = (np.stack(v).astype(np.int64) for v in zip(*[(x, y) for k, t in enumerate(texts) for _, x, y in pii.labelled_windows(t, k)], strict=True))
+    model = pii.PiiModel(pii.train(x, y, steps=60), sure=0.5)
+    mixed = " ".join(texts[:3]) * 30
+    whole = model.spans([mixed, "", texts[0]])
+    monkeypatch.setattr(pii, "WINDOWS_AT_ONCE", 5)
+    assert model.spans([mixed, "", texts[0]]) == whole
+
+
+def test_certain_windows_are_those_that_viterbi_leaves_outside():
+    rng = np.random.default_rng(0)
+    tagger = pii.Tagger(1)
+    tagger.p["trans"] += rng.normal(0, 0.5, tagger.p["trans"].shape).astype(np.float32)
+    em = rng.normal(0, 1, (400, 12, pii.TAGS)).astype(np.float32)
+    em[:, :, 0] += rng.uniform(0, 5, (400, 1))
+    certain = tagger._certainly_outside(em)
+    best = em[:, 0] + tagger.p["first"]
+    clean = np.zeros((400, pii.TAGS), bool)
+    clean[:, 0] = True
+    for t in range(1, 12):
+        options = best[:, :, None] + tagger.p["trans"][None]
+        came, best = options.argmax(axis=1), options.max(axis=1) + em[:, t]
+        clean = np.take_along_axis(clean, came, axis=1) & (np.arange(pii.TAGS) == 0)
+    outside = clean[np.arange(400), best.argmax(axis=1)]
+    assert not (certain & ~outside).any() and certain.sum() > 0.5 * outside.sum() > 20
+
+
+def test_pii_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = q.op6_pii(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain_spans(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in PATTERNS)
+        assert r.base_sha256 == hashlib.sha256(pii.shown(base).encode()).hexdigest()
+        every = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(every) and every == sorted(every, key=lambda s: (list(PATTERNS).index(s[0]), s[1]))
+
+
 def brute_licenses(text, matcher):
     """Every stretch of whole lines against every template."""
     lines = " ".join(licenses.normalized(text)).split("\n")
