@@ -7,21 +7,26 @@ ever sorted, and no task holds more than its share of it:
 1. Every ``LENGTH``-byte string holds an anchor, the least hash of its
    ``GRAM``-byte pieces, which its content alone decides.  The starts of one
    anchor form a run, and the run's text is its context.  Anchors that occur
-   once cannot repeat; contexts that occur twice repeat wholly.
-2. The remaining contexts, one of each kind, are gathered by anchor.  Each
-   task sorts the suffixes of its contexts, one bucket of leading bytes after
-   another; suffixes that tie on the cover's period are ordered by the ranks of
-   a difference-cover sample, computed beforehand, so a tie of any depth costs
-   one look-up.  Neighbours that agree on ``LENGTH`` bytes repeat.
-3. Anchors that belong to a large share of all text (at a common passage's
-   edge every context differs) are known from a count beforehand; their starts
-   are dealt by the hash of the whole string instead, which spreads them.
+   once cannot repeat.  Equal contexts (by two independent 64-bit hashes of
+   their bytes) are one context with a weight: if it is above one, all starts
+   of its run repeat.
+2. Contexts of an anchor that has several, one of each kind, are gathered by
+   anchor, in as many buckets as their bytes ask for.  Each task sorts the
+   suffixes of its contexts, one bucket of leading bytes after another; suffixes
+   that tie on the cover's period are ordered by the ranks of a
+   difference-cover sample, computed beforehand, so a tie of any depth costs one
+   look-up.  Neighbours whose ``LENGTH`` bytes agree repeat.
+3. Anchors of very many texts (at a common passage's edge every context differs,
+   so their contexts would meet in one task) are known from a count beforehand,
+   at most ``MOST_HOT`` of them, and are split: each start goes by itself, dealt
+   by both hashes of its string, equal ones as one with a weight.
 
 Texts with equal bytes are one text with a weight, and equal contexts are
 added up inside each task before anything is shuffled.
 
 Defined results: null counts as empty; texts shorter than ``LENGTH`` keep all;
-matches never cross documents; repeated rows are copies of each other.
+matches never cross documents; repeated rows are copies of each other; an empty
+table gives an empty one; columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -41,13 +46,14 @@ GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 STARTS_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 400_000
-LEAST_HOT = 2048
-MOST_HOT = 1 << 17
+LEAST_HOT = 512
+MOST_HOT = 1 << 22
+BUCKET_BYTES = 48 << 20
 PERIOD = 32
 SUFFIXES_AT_ONCE = 1 << 18
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-ROW = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("span", "<i4"), ("off", "<i4"), ("weight", "<i4")])
-START = np.dtype([("string", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("weight", "<i4")])
+ROW = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("twin", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("span", "<i4"), ("off", "<i4"), ("weight", "<i4")])
+START = np.dtype([("string", "<u8"), ("twin", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("weight", "<i4")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,6 +66,9 @@ def _doubled(h: np.ndarray, width: int) -> np.ndarray:
     return _mix(h[:-width] * _C[0] + h[width:])
 
 
+POWERS = np.cumprod(np.full(STARTS_AT_ONCE + LENGTH, np.uint64(0xD1342543DE82EF95)))
+
+
 class Hashes:
     """Hashes of the GRAM- and 128-byte strings at every place of a block of bytes."""
 
@@ -70,6 +79,8 @@ class Hashes:
                 self.gram = h
             h, width = _doubled(h, width), 2 * width
         self.long = h
+        # Sums of bytes by powers of an odd number, for a second hash that shares nothing with the first.
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((block.astype(np.uint64) + np.uint64(7)) * POWERS[: len(block)])])
 
     def spans(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Hash of the bytes from ``lo``, ``size`` of them (from 128 to 384)."""
@@ -77,6 +88,11 @@ class Hashes:
         return _mix(_mix(self.long[lo] * _C[0] + self.long[np.minimum(lo + 128, end)]) * _C[0] + self.long[end] + size.astype(np.uint64) * _C[2])
 
 
+    def twins(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The second hash of the same bytes: their sum, moved to a common power."""
+        return _mix((self.sums[lo + size] - self.sums[lo]) * POWERS[len(POWERS) - 1 - lo] + size.astype(np.uint64))
+
+
 def anchors(gram: np.ndarray, starts: int) -> np.ndarray:
     """For each start, the place of the least gram in its window, the leftmost of equals."""
     place = np.arange(len(gram), dtype=np.uint64)
@@ -270,13 +286,15 @@ class _Chunk:
             rows = np.zeros(len(first), ROW)
             rows["anchor"], rows["key"], rows["lo"], rows["span"], rows["off"] = hashes.gram[anchor], key, begin + first, last - first, anchor - first
             rows["context"] = _mix(hashes.spans(first, last - first + LENGTH) + (anchor - first).astype(np.uint64) * _C[0])
+            rows["twin"] = hashes.twins(first, last - first + LENGTH)
             if len(self.hot):
                 hot = self.hot[np.minimum(np.searchsorted(self.hot, rows["anchor"]), len(self.hot) - 1)] == rows["anchor"]
                 if hot.any():
                     count = last[hot] - first[hot] + 1
                     place = np.repeat(first[hot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     starts = np.zeros(len(place), START)
-                    starts["string"], starts["key"], starts["lo"] = hashes.spans(place, np.full(len(place), LENGTH)), key, begin + place
+                    size = np.full(len(place), LENGTH)
+                    starts["string"], starts["twin"], starts["key"], starts["lo"] = hashes.spans(place, size), hashes.twins(place, size), key, begin + place
                     self.starts.append(starts)
                     self.size += len(starts)
                     rows = rows[~hot]
@@ -287,7 +305,7 @@ class _Chunk:
         """Ranges already known to repeat, and the rest by bucket; one row of each kind of context or string leaves."""
         known, packed = [], []
         copied = np.array([k for k, w in self.weight.items() if w > 1], np.int64)
-        for kind, parts, dtype, names in ((0, self.rows, ROW, ("anchor", "context")), (1, self.starts, START, ("string",))):
+        for kind, parts, dtype, names in ((0, self.rows, ROW, ("anchor", "context", "twin")), (1, self.starts, START, ("string", "twin"))):
             rows = np.concatenate(parts) if parts else np.zeros(0, dtype)
             rows["weight"] = 1 + np.isin(rows["key"], copied)
             rows, weight = _by_weight(rows, names)
@@ -299,8 +317,9 @@ class _Chunk:
             rows["weight"] = np.minimum(weight, 2)
             bucket = ((rows[names[0]] >> np.uint64(24)) % np.uint64(self.buckets)).astype(np.int64)
             rows, bucket = rows[np.argsort(bucket, kind="stable")], np.sort(bucket)
-            cut = np.searchsorted(bucket, np.arange(self.buckets + 1))
-            packed += [(kind, b, rows[cut[b] : cut[b + 1]].tobytes()) for b in range(self.buckets) if cut[b] < cut[b + 1]]
+            some, cut = np.unique(bucket, return_index=True)
+            edge = [*cut.tolist(), len(rows)]
+            packed += [(kind, k, rows[a:b].tobytes()) for k, a, b in zip(some.tolist(), edge, edge[1:], strict=False)]
         place = np.concatenate([lo for _, lo, _ in known]), np.concatenate([s for _, _, s in known])
         out = [*_merged(np.concatenate([k for k, _, _ in known]), *place)]
         n = len(out[0])
@@ -357,10 +376,11 @@ def _hot_anchors(rows: DataFrame) -> np.ndarray:
 def _judge(table: pa.Table) -> pa.Table:
     """Contexts of one bucket: ranges that repeat wholly, and one context of each other kind to be sorted."""
     rows = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=ROW)
-    rows, weight = _by_weight(rows, ("anchor", "context"))
+    names = ("anchor", "context", "twin")
+    rows, weight = _by_weight(rows, names)
     whole = rows[weight > 1]
     one = np.ones(len(rows), dtype=bool)
-    one[1:] = (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["context"][1:] != rows["context"][:-1])
+    one[1:] = np.logical_or.reduce([rows[n][1:] != rows[n][:-1] for n in names])
     kinds = rows[one]
     group = np.cumsum(np.concatenate([[True], kinds["anchor"][1:] != kinds["anchor"][:-1]])) if len(kinds) else np.zeros(0, int)
     asked = kinds[np.bincount(group)[group] > 1] if len(kinds) else kinds
@@ -374,7 +394,7 @@ def _judge(table: pa.Table) -> pa.Table:
 
 def _count_strings(table: pa.Table) -> pa.Table:
     """Starts of hot anchors in one bucket of string hashes: ranges of those that occur again."""
-    rows, weight = _by_weight(np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=START), ("string",))
+    rows, weight = _by_weight(np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=START), ("string", "twin"))
     rows = rows[weight > 1]
     key, lo, span = _ranges(rows["key"], rows["lo"])
     return pa.table({"key": pa.array(key, pa.int64()), "lo": pa.array(lo, pa.int64()), "span": pa.array(span, pa.int64())})
@@ -401,8 +421,10 @@ def _sort_contexts(table: pa.Table) -> pa.Table:
 def repeated_starts(rows: DataFrame) -> DataFrame:
     """(key, lo, span): ranges of starts whose string starts elsewhere too, for rows (key, data) with equal keys for equal texts."""
     spark = rows.sparkSession
-    buckets = max(8, partitions(spark))
     long_rows = rows.filter(F.octet_length("data") >= LENGTH)
+    # A run of about WINDOW / 2 starts is one packed row.
+    size = long_rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    buckets = max(8, partitions(spark), 2 * ROW.itemsize * size // WINDOW // BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(_hot_anchors(long_rows))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
