@@ -134,6 +134,32 @@ def test_toxicity_blocks_equal_one_pass(monkeypatch):
     whole = model.score(text)
     monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 7)
     assert abs(model.score(text)[0] - whole[0]) < 1e-6
+    texts = [text, "", "bad", None, "a nice friend here", text + " bad idiot", "here", "a bad idiot here"]
+    together = model.scores(texts)
+    assert [t for _, t in together] == [model.score(t)[1] for t in texts]
+    assert [p for p, _ in together] == pytest.approx([model.score(t)[0] for t in texts])
+
+
+def test_training_improves_on_its_start():
+    rng = random.Random(4)
+    neutral = [f"n{k}" for k in range(300)]
+
+    def text(toxic):
+        words = [rng.choice(neutral) for _ in range(rng.randrange(15, 60))]
+        # Either word alone is harmless; only the pair counts, which class odds of single words cannot tell.
+        words[5:5] = ["bad", "idiot"] if toxic else rng.choice([["idiot", "bad"], ["bad"], ["idiot"]])
+        return " ".join(words)
+
+    marks = [k % 2 for k in range(1200)]
+    docs = [np.array([toxicity.word_parts(w) for w in text(m).split()]) for m in marks]
+    tests = [(m, text(m)) for m in marks[:400]]
+
+    def auc(model):
+        scores = [(m, model.score(t)[0]) for m, t in tests]
+        return np.mean([(a > b) + 0.5 * (a == b) for m, a in scores if m for n, b in scores if not n])
+
+    start, trained = (auc(toxicity.train(docs, np.array(marks), ["en"] * len(docs), epochs=e)) for e in (0, 6))
+    assert trained > 0.9 and trained > start + 0.1
 
 
 PATTERNS = {
