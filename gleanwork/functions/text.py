@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 TITLE_STOPWORDS = "the a an and or but of to in on at for with by is are was were be been being this that these those it its as from will has have had not no breaking live updates just news today latest new says said update watch video photos photo".split()
 NO_ENTITY_WORDS = "a an the after amid breaking major new official report reports says update what".split()
 CLAIM_STOPWORDS = "a an the of to in on at for with by and or but is are was were be been being that this these those it its".split()
+# Cues of attribution, words that name nobody, words on which no sentence ends, sensitive words, styles.
+ATTRIBUTION_CUES = ["said", "says", "reported", "according", "announced", "expects", "forecast", "forecasted", "projects", "estimates", "confirmed", "revealed", "stated", "noted", "cited"]
+PRONOUNS = ["the", "a", "an", "this", "that", "these", "those", "it", "he", "she", "they", "we", "you", "i", "his", "her", "their", "our", "your"]
+DANGLING = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "of", "on", "or", "that", "the", "to", "with"]
+POST_STOPWORDS = ["the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "for", "with", "by", "is", "are", "was", "were", "be", "been", "being", "that", "this", "these", "those", "it", "its", "as", "from", "will", "has", "have", "had", "not", "no", "than", "then", "so", "such"]
+SENSITIVE = ["died", "death", "war", "disaster", "killed", "shooting", "attack", "victim", "election", "referendum"]
+SERIOUS_STYLES = ["ANALYTICAL", "INFORMATIVE", "SERIOUS"]
+OTHER_STYLES = ["ANALYTICAL", "CONVERSATIONAL", "ENTHUSIASTIC", "HUMOROUS", "INFORMATIVE", "SARCASTIC"]
 EDGE_PUNCTUATION = ".,;:!?\"'()[]{}—–-"
 
 
@@ -136,3 +144,161 @@ def _compressed(parts: Column, limit: int, cues: list[str]) -> Column:
         lambda acc, x: F.when(acc["used"] + F.length(x["s"]) + F.when(acc["used"] > 0, 1).otherwise(0) <= limit, F.struct((acc["used"] + F.length(x["s"]) + F.when(acc["used"] > 0, 1).otherwise(0)).alias("used"), F.array_append(acc["kept"], x["i"]).alias("kept"))).otherwise(acc),
     )
     return F.array_join(F.transform(F.array_sort(chosen["kept"]), lambda i: F.get(parts, i)), " ")
+
+
+def plain_sentences(text: Column) -> Column:
+    """Sentences by their end marks alone."""
+    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+
+
+def sentence_score(sentence: Column, position: Column) -> Column:
+    """Numbers and attribution weigh 3, proper nouns after the first word 2, claim marks 1; over 200 characters cost 1, the lead gets 100."""
+    later = F.slice(F.split(F.trim(sentence), r"\s+"), 2, 1_000_000)
+    cores = F.transform(later, lambda w: F.trim(w, F.lit(".,;:!?\"'()[]{}")))
+    named = F.exists(cores, lambda w: w.rlike(r"^\p{Lu}") & ~F.array_contains(_words(PRONOUNS), F.lower(w)))
+    return (
+        F.when(sentence.rlike(r"\b\d[\d,.]*\b|\bpercent\b"), 3).otherwise(0)
+        + F.when(F.exists(_words(ATTRIBUTION_CUES), lambda c: F.lower(sentence).contains(c)), 3).otherwise(0)
+        + F.when(named, 2).otherwise(0)
+        + F.when(sentence.rlike(r"\bclaim_\d+\b"), 1).otherwise(0)
+        - F.when(F.length(sentence) > 200, 1).otherwise(0)
+        + F.when(position == 0, 100).otherwise(0)
+    )
+
+
+_TRAILING = r"[ \t\r\n,;:\-…]+$"
+
+
+def ended(text: Column) -> Column:
+    """Trailing separators and ellipsis off, an end mark on; blank stays blank."""
+    bare = F.regexp_replace(F.trim(text), _TRAILING, "")
+    bare = F.when(bare.endswith("..."), F.trim(F.regexp_replace(bare, r"[.…]+$", ""))).otherwise(bare)
+    return F.when((bare == "") | bare.rlike(r"[.!?]$"), bare).otherwise(F.concat(bare, F.lit(".")))
+
+
+def finished(text: Column, limit: int) -> Column:
+    """One sentence cut to a limit: at its last end mark, else after a whole word on which a sentence can end."""
+    bare = F.regexp_replace(F.trim(text), _TRAILING, "")
+    fragment = F.rtrim(F.left(bare, F.lit(limit)))
+    complete = F.regexp_extract(fragment, r"(?s)^(.*[.!?])", 1)
+    cut = (F.length(bare) > F.length(fragment)) & ~F.substring(bare, F.length(fragment) + 1, F.lit(1)).rlike(r"\s")
+    whole = F.when(~cut, fragment).when(fragment.contains(" "), F.regexp_replace(fragment, r" [^ ]*$", "")).otherwise("")
+    kept = F.regexp_replace(whole, _TRAILING, "")
+    words = F.array_join(F.filter(F.split(kept, r"\s+"), lambda w: w != ""), " ")
+    dangling = rf"(?i)(?:^| +)[\"'()\[\]{{}}]*(?:{'|'.join(DANGLING)})[\"'()\[\]{{}}]*$"
+    for _ in range(4):
+        words = F.regexp_replace(words, dangling, "")
+    out = F.when(words.rlike(r"[.!?]$"), words).otherwise(F.concat(words, F.lit(".")))
+    return F.when(F.lit(limit) <= 0, "").when(bare == "", ".").when(complete != "", complete).when((kept != "") & (F.length(out) <= limit), out).otherwise(".")
+
+
+def compress_to_limit(text: Column, limit: int = 500) -> Column:
+    """Whole sentences within a limit: the lead first, then by score while their own lengths fit, in their order, with an end mark.
+
+    Lengths are summed without the blanks between sentences; where the result
+    is too long for that, or has no end mark left, it is finished as one.
+    """
+
+    def over(whole: Column) -> Column:
+        return let(plain_sentences(whole), lambda parts: _chosen(whole, parts, limit))
+
+    bare = F.trim(text)
+    short = F.when(F.length(ended(bare)) <= limit, ended(bare)).otherwise(finished(bare, limit))
+    return F.when(F.length(bare) <= limit, short).otherwise(let(bare, over))
+
+
+def _chosen(whole: Column, parts: Column, limit: int) -> Column:
+    scored = F.array_sort(F.transform(parts, lambda s, i: F.struct((-sentence_score(s, i)).alias("cost"), i.alias("i"), F.length(s).alias("n"))))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("count"), F.lit(False).alias("full"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = ~acc["full"] & (acc["used"] + x["n"] + F.when(acc["count"] > 0, 1).otherwise(0) <= limit)
+        used, count = acc["used"] + x["n"], acc["count"] + 1
+        return F.when(fits, F.struct(used.alias("used"), count.alias("count"), (used + count - 1 >= limit).alias("full"), F.array_append(acc["kept"], x["i"]).alias("kept"))).otherwise(acc)
+
+    kept = F.aggregate(scored, start, step, lambda acc: F.array_sort(acc["kept"]))
+    rebuilt = ended(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), " "))
+    lead = F.get(parts, F.lit(0))
+    return (
+        F.when(F.size(parts) == 0, finished(whole, limit))
+        .when(F.length(lead) > limit, finished(lead, limit))
+        .when(F.length(rebuilt) <= limit, rebuilt)
+        .otherwise(finished(rebuilt, limit))
+    )
+
+
+def derived_headline(headline: Column, body: Column, limit: int = 120) -> Column:
+    """The given headline, else the first sentence of the body, compressed if it is long."""
+    first = F.get(plain_sentences(body), F.lit(0))
+    made = F.when(F.length(first) > limit, compress_to_limit(first, limit)).otherwise(first)
+    return F.coalesce(F.nullif(F.trim(headline), F.lit("")), made)
+
+
+def with_source(text: Column, url: Column, limit: int) -> Column:
+    """The text with a source address on its last line, if there is none yet and it fits."""
+    usable = url.rlike(r"^https?://[^/?#\s]+") & ~F.regexp_extract(url, r"^https?://(?:www\.)?([^/?#:]*)", 1).rlike(r"(^|\.)example\.[a-z]+$|^localhost$|\.invalid$|\.test$")
+    fits = F.length(F.trim(text)) + 1 + F.length(url) <= limit
+    return F.when(F.coalesce(usable & fits & ~text.rlike(r"https?://\S+"), F.lit(False)), F.concat_ws("\n", F.trim(text), url)).otherwise(text)
+
+
+def bare_url(sentence: Column) -> Column:
+    """The address that a sentence is nothing but, without trailing marks; null for any other sentence."""
+    return F.when(sentence.rlike(r"^https?://\S+$"), F.regexp_replace(sentence, r"[.,;:!?)\]}]+$", ""))
+
+
+def is_source_reference(sentence: Column, allowed: Column) -> Column:
+    return F.coalesce(F.array_contains(allowed, bare_url(sentence)), F.lit(False))
+
+
+def bare_source_line(text: Column, url: Column) -> Column:
+    """A line "Source: <url>" of the verified address becomes the address alone."""
+    line = F.regexp_extract(text, r"(?im)^Source:\s*(https?://\S+)\s*$", 1)
+    trimmed = r"[.,;:!?)\]}]+$"
+    same = (line != "") & (F.regexp_replace(line, trimmed, "") == F.regexp_replace(url, trimmed, ""))
+    return F.when(F.coalesce(same, F.lit(False)), F.regexp_replace(text, F.lit(r"(?im)^Source:\s*(https?://\S+)[^\S\n]*$"), F.lit("$1"))).otherwise(text)
+
+
+def topic_label(topic: Column, title: Column) -> Column:
+    """The topic unless it is a mere "news" or "general", else the first two words of the title."""
+    named = F.when(~F.lower(F.trim(topic)).isin("", "news", "general"), F.trim(topic))
+    return F.coalesce(named, F.array_join(F.slice(F.filter(F.split(F.trim(title), r"\s+"), lambda w: w != ""), 1, 2), " "))
+
+
+def is_sensitive(subject: Column) -> Column:
+    return F.exists(_words(SENSITIVE), lambda w: F.lower(F.coalesce(subject, F.lit(""))).contains(w))
+
+
+def allowed_styles(subject: Column) -> Column:
+    return F.when(is_sensitive(subject), _words(SERIOUS_STYLES)).otherwise(_words(OTHER_STYLES))
+
+
+def without_wrapping(text: Column) -> Column:
+    """Model output without thinking blocks and code fences."""
+    bare = F.trim(F.regexp_replace(text, r"(?is)<thought>.*?</thought>", ""))
+    fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.when(bare.rlike(r"(?s)```(?:json)?\s*.*?\s*```"), F.trim(fenced)).otherwise(bare)
+
+
+def first_json(text: Column) -> Column:
+    """The JSON value that a text is, else the one between its first and last brace, as a variant; null if there is none."""
+    bare = without_wrapping(text)
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))))
+
+
+def distinctive(title: Column, summary: Column) -> Column:
+    """Words of the subject that a post may be recognised by."""
+    words = F.filter(F.split(F.concat_ws(" ", title, summary), r"\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(_words(POST_STOPWORDS), F.lower(w)))
+    return F.transform(words, lambda w: F.trim(F.lower(w), F.lit(EDGE_PUNCTUATION)))
+
+
+def attribution_anchor(attribution: Column) -> Column:
+    """The longest word of an attribution (the first of equals), in lower case; null without one."""
+    words = F.filter(F.split(F.trim(attribution), r"\s+"), lambda w: w != "")
+    longest = F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
+    return F.nullif(F.trim(F.lower(longest), F.lit(".,;:")), F.lit(""))
+
+
+def repetitive(a: Column, b: Column) -> Column:
+    """Whether two token lists say the same: 70 % of the smaller and 40 % of both are shared."""
+    shared, low, both = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)), F.size(F.array_union(a, b))
+    return (low > 0) & (shared >= 0.7 * low) & (shared >= 0.4 * both)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,22 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
-        return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return df.checkpoint()
     path = f"{folder.rstrip('/')}/gleanwork-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.gleanwork_path = path
+    return out
+
+
+def _forget(*frames: DataFrame) -> None:
+    """Delete what no plan reads any more."""
+    for df in frames:
+        if path := getattr(df, "gleanwork_path", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -31,8 +44,11 @@ def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame
     ``order`` is a unique column.  Rounds decide all rows whose earlier
     neighbours are decided: a row that is the earliest undecided one of all
     its keys is accepted, and rows that share a key with it are rejected.
-    Each round is a few aggregations by key, so chains decide in as many
-    rounds as they are long and everything else in one or two.
+    Each round is a few aggregations by key over what is undecided; rows come in
+    no particular order in practice, so rounds are few, and only a chain of rows
+    that each share a key with the next, in order, decides one link a round.
+    A round's tables are deleted once the next ones are written, and what was
+    accepted is written together now and then, so no plan grows with the rounds.
     Null and empty keys do not count.
     """
     claims = None
@@ -40,16 +56,21 @@ def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame
         part = rows.filter(F.col(name).isNotNull() & (F.col(name).cast("string") != "")).select(F.col(order).alias("o"), F.lit(k).alias("k"), F.col(name).cast("string").alias("v"))
         claims = part if claims is None else claims.union(part)
     open_claims = _written(claims, "claims")
-    accepted = _written(rows.select(F.col(order).alias("o")).join(open_claims.select("o").distinct(), "o", "left_anti"), "accepted")
+    accepted = [_written(rows.select(F.col(order).alias("o")).join(open_claims.select("o").distinct(), "o", "left_anti"), "accepted")]
     while open_claims.limit(1).count():
         least = open_claims.groupBy("k", "v").agg(F.min("o").alias("first"))
         judged = open_claims.join(least, ["k", "v"])
         won = _written(judged.groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("won")).filter("won").select("o"), "won")
-        accepted = accepted.union(won)
+        accepted.append(won)
         taken = open_claims.join(won, "o", "left_semi").select("k", "v").distinct()
         lost = open_claims.join(taken, ["k", "v"], "left_semi").select("o").distinct()
-        open_claims = _written(open_claims.join(lost, "o", "left_anti"), "claims")
-    return rows.join(accepted.withColumnRenamed("o", order), order, "left_semi")
+        before, open_claims = open_claims, _written(open_claims.join(lost, "o", "left_anti"), "claims")
+        _forget(before)
+        if len(accepted) == 8:
+            together = _written(reduce(DataFrame.union, accepted), "accepted")
+            _forget(*accepted)
+            accepted = [together]
+    return rows.join(reduce(DataFrame.union, accepted).withColumnRenamed("o", order), order, "left_semi")
 
 
 def capped(rows: DataFrame, key: list[str], order: list[str | Column], limit: int) -> DataFrame:

@@ -10,13 +10,22 @@ from .gates import relationship
 
 
 def similar_titles(queries: DataFrame, recent: DataFrame, query_id: str, recent_id: str, query_title: Column, recent_title: Column, least: float = 0.10) -> DataFrame:
-    """Pairs whose word sets reach ``least`` by Jaccard, through shared words: only pairs with a common word ever meet."""
-    q = queries.select(F.col(query_id).alias("query_id"), text.similarity_words(query_title).alias("w"))
-    r = recent.select(F.col(recent_id).alias("recent_id"), text.similarity_words(recent_title).alias("w"))
-    q_words = q.select("query_id", F.size("w").alias("q_size"), F.explode("w").alias("word"))
-    r_words = r.select("recent_id", F.size("w").alias("r_size"), F.explode("w").alias("word"))
-    shared = q_words.join(r_words, "word").groupBy("query_id", "recent_id", "q_size", "r_size").agg(F.count("*").alias("shared"))
-    scored = shared.withColumn("score", F.col("shared") / (F.col("q_size") + F.col("r_size") - F.col("shared"))).filter(F.col("score") >= least)
+    """Pairs whose word sets reach ``least`` by Jaccard.
+
+    Words are ordered from rare to frequent.  A set of n words must share one of
+    its first ``n - ceil(least n) + 1`` with a partner, so pairs meet through
+    these alone and the most frequent words never bring all titles together.
+    """
+    q = queries.select(F.col(query_id).alias("id"), text.similarity_words(query_title).alias("w"), F.lit(True).alias("asks"))
+    r = recent.select(F.col(recent_id).alias("id"), text.similarity_words(recent_title).alias("w"), F.lit(False).alias("asks"))
+    every = q.unionByName(r).filter("size(w) > 0")
+    words = every.select("id", "asks", F.explode("w").alias("word"))
+    ordered = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id", "asks").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("w"))
+    first = ordered.withColumn("word", F.explode(F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least - 1e-9).cast("int") + 1)))
+    asked = first.filter("asks").select(F.col("id").alias("query_id"), F.col("w").alias("q"), "word")
+    known = first.filter("not asks").select(F.col("id").alias("recent_id"), F.col("w").alias("r"), "word")
+    shared = F.size(F.array_intersect("q", "r"))
+    scored = asked.join(known, "word").select("query_id", "recent_id", (shared / (F.size("q") + F.size("r") - shared)).alias("score")).filter(F.col("score") >= least).distinct()
     return scored.select("query_id", "recent_id", F.round("score", 6).alias("score"), relationship(F.col("score")).alias("relationship"))
 
 
@@ -26,12 +35,28 @@ def top_similar(pairs: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def grounded(sentences: DataFrame, claims: DataFrame) -> DataFrame:
-    """(sentence_id, claim_id) where every token of the sentence is among the claim's, through a shared rarest-first token."""
+    """(sentence_id, claim_id) where every token of the sentence is among the claim's.
+
+    A subset holds its own rarest token, so the token of each sentence that the
+    fewest claims have finds all claims that may hold it.
+    """
     s = sentences.select("sentence_id", text.claim_tokens(F.col("sentence")).alias("s_tokens")).filter("size(s_tokens) > 0")
     c = claims.select("claim_id", text.claim_tokens(F.col("claim")).alias("c_tokens"))
-    # A subset holds its own least token, so one token of each sentence finds all claims that may hold it.
-    by_least = s.withColumn("token", F.array_min("s_tokens"))
-    return by_least.join(c.select("claim_id", "c_tokens", F.explode("c_tokens").alias("token")), "token").filter("size(array_except(s_tokens, c_tokens)) = 0").select("sentence_id", "claim_id")
+    held = c.select("claim_id", "c_tokens", F.explode("c_tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    rare = s.select("sentence_id", "s_tokens", F.explode("s_tokens").alias("token")).join(counts, "token", "left")
+    # A token that no claim has counts as the rarest and finds nothing.
+    by_rarest = rare.groupBy("sentence_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"), F.first("s_tokens").alias("s_tokens"))
+    return by_rarest.join(held, "token").filter("size(array_except(s_tokens, c_tokens)) = 0").select("sentence_id", "claim_id")
+
+
+def coverage(sentences: DataFrame, claims: DataFrame, least: float = 0.85) -> DataFrame:
+    """(sentence_id, coverage, passes): the largest share of a sentence's tokens that one claim holds, and whether it reaches the gate."""
+    s = sentences.select("sentence_id", text.claim_tokens(F.col("sentence")).alias("t")).filter("size(t) > 0")
+    c = claims.select("claim_id", F.explode(text.claim_tokens(F.col("claim"))).alias("token"))
+    met = s.select("sentence_id", F.size("t").alias("n"), F.explode("t").alias("token")).join(c, "token").groupBy("sentence_id", "n", "claim_id").agg(F.count("*").alias("k"))
+    best = met.groupBy("sentence_id").agg(F.max(F.col("k") / F.col("n")).alias("coverage"))
+    return s.select("sentence_id").join(best, "sentence_id", "left").select("sentence_id", F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"), (F.coalesce("coverage", F.lit(0.0)) >= least).alias("passes"))
 
 
 def share_ngram(left: DataFrame, right: DataFrame, left_text: Column, n: int, right_text: Column) -> DataFrame:

@@ -262,8 +262,10 @@ def a11(s, d):
 
 
 def a14(s, d):
-    l = read(s, d, "lineitem")
-    return l.groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_suppkey"])), ",").alias("suppliers"), F.min("l_shipdate").alias("first"), F.count("*").alias("n"))
+    # A supplier counts where it comes first, so what a story collects is its distinct suppliers.
+    one = read(s, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("place"), F.min("l_shipdate").alias("first"), F.count("*").alias("n"))
+    suppliers = F.transform(F.array_sort(F.collect_list(F.struct("place", "l_suppkey"))), lambda x: x["l_suppkey"])
+    return one.groupBy("l_orderkey").agg(F.array_join(suppliers, ",").alias("suppliers"), F.min("first").alias("first"), F.sum("n").alias("n"))
 
 
 def a18(s, d):
