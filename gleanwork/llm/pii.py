@@ -32,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[Span]:
 
 # -- the model -----------------------------------------------------------
 
-WINDOW, STRIDE = 96, 64
+WINDOW, STRIDE = 96, 72
 EDGE = (WINDOW - STRIDE) // 2
 WINDOWS_AT_ONCE = 2048
 DISGUISES = 4
@@ -149,14 +149,14 @@ class Tagger:
             p["first"][2 + 2 * k] = -1e4
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
 
-    def _lstm(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
-        """States (length x windows x HIDDEN) of one direction; ``trace`` gets what the gradients need."""
+    def _lstm(self, x: np.ndarray, side: str, scores: np.ndarray, trace: list | None = None) -> None:
+        """Add one direction's share to the scores (length x windows x TAGS); ``trace`` gets what the gradients need."""
         # What a character adds to the gates depends on its class alone.
         table = (np.einsum("cd,kdh->kch", self.p["emb"], self.p["wx" + side]) + self.p["bias" + side][:, None]).astype(np.float32)
         length, n = x.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         z, part = np.empty((4, n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32)
-        out = np.empty((length, n, HIDDEN), np.float32)
+        out = self.p["out"][:HIDDEN] if side == "f" else self.p["out"][HIDDEN:]
         for t in range(length) if side == "f" else range(length - 1, -1, -1):
             np.take(table, x[t], axis=1, out=z, mode="clip")
             z += np.matmul(h, self.p["wh" + side], out=part)
@@ -173,22 +173,23 @@ class Tagger:
             part[0] += 1
             h = c / part[0]
             if trace is not None:
-                trace[-1] += (h,)
+                trace[-1] += (h, h * z[2])
             h = h * z[2]
-            out[t] = h
-        return out
+            scores[t] += h @ out
 
-    def emissions(self, x: np.ndarray, traces: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (windows x length x TAGS) and the states they come from; ``x`` is windows x length."""
+    def emissions(self, x: np.ndarray, traces: tuple[list, list] | None = None) -> np.ndarray:
+        """Scores (windows x length x TAGS, in memory length first); ``x`` is windows x length."""
         place = np.ascontiguousarray(x.T).astype(np.intp)
-        h = np.concatenate([self._lstm(place, "f", traces and traces[0]), self._lstm(place, "b", traces and traces[1])], axis=2)
-        return (h @ self.p["out"] + self.p["out_b"]).transpose(1, 0, 2), h
+        scores = np.zeros((*place.shape, TAGS), np.float32) + self.p["out_b"]
+        self._lstm(place, "f", scores, traces and traces[0])
+        self._lstm(place, "b", scores, traces and traces[1])
+        return scores.transpose(1, 0, 2)
 
     def _back(self, side: str, x: np.ndarray, trace: list, dh_all: np.ndarray, grads: dict) -> None:
         n = x.shape[1]
         dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         on_table = np.zeros((4, CLASSES, HIDDEN), np.float32)
-        for t, z, before, prior, squashed in reversed(trace):
+        for t, z, before, prior, squashed, _ in reversed(trace):
             i, f, o, g = z
             dh = dh + dh_all[t]
             dc = dc + dh * o * (1 - np.abs(squashed)) ** 2
@@ -216,7 +217,7 @@ class Tagger:
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of tags ``y`` and its gradients."""
         traces: tuple[list, list] = ([], [])
-        em, h = self.emissions(x, traces)
+        em = self.emissions(x, traces)
         a, b, z = self._forward_backward(em)
         n, length, _ = em.shape
         rows = np.arange(n)
@@ -231,7 +232,9 @@ class Tagger:
         d[rows[:, None], np.arange(length)[None], y] -= 1
         grads["first"] += d[:, 0].sum(axis=0)
         d = d.transpose(1, 0, 2)
-        grads["out"] += h.reshape(-1, 2 * HIDDEN).T @ d.reshape(-1, TAGS)
+        for k, trace in enumerate(traces):
+            for t, *_, h in trace:
+                grads["out"][k * HIDDEN : (k + 1) * HIDDEN] += h.T @ d[t]
         grads["out_b"] += d.sum(axis=(0, 1))
         dh = d @ self.p["out"].T
         place = np.ascontiguousarray(x.T).astype(np.intp)
@@ -248,20 +251,21 @@ class Tagger:
         """
         trans, first = self.p["trans"], self.p["first"]
         still = trans[0, 0]
-        begin = reduce(np.maximum, (em[:, :, k] for k in range(1, TAGS, 2))) - em[:, :, 0]
-        inside = reduce(np.maximum, (em[:, :, k] for k in range(2, TAGS, 2))) - em[:, :, 0]
+        each = em.transpose(1, 0, 2)
+        begin = reduce(np.maximum, (each[:, :, k] for k in range(1, TAGS, 2))) - each[:, :, 0]
+        inside = reduce(np.maximum, (each[:, :, k] for k in range(2, TAGS, 2))) - each[:, :, 0]
         enter, leave = trans[0, 1::2].max() - still, trans[1:, 0].max() - still
         follow, again = trans[1:, 2::2].max() - still, trans[1:, 1::2].max() - still
-        held = begin[:, 0] + (first[1::2].max() - first[0])
+        held = begin[0] + (first[1::2].max() - first[0])
         top = held + leave
-        for t in range(1, em.shape[1]):
-            held = np.maximum(begin[:, t] + np.maximum(enter, held + again), held + follow + inside[:, t])
-            top = np.maximum(top, held + (leave if t + 1 < em.shape[1] else 0))
+        for t in range(1, len(each)):
+            held = np.maximum(begin[t] + np.maximum(enter, held + again), held + follow + inside[t])
+            top = np.maximum(top, held + (leave if t + 1 < len(each) else 0))
         return top < 0
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi tags of windows, and each tag's marginal probability (1 where a window is outside for certain)."""
-        em, _ = self.emissions(x)
+        em = self.emissions(x)
         tags, sure = np.zeros(x.shape, np.uint8), np.ones(x.shape, np.float32)
         some = np.flatnonzero(~self._certainly_outside(em))
         if len(some):
@@ -498,8 +502,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample_documents
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in made], pa.int32()), pa.array([w for _, w in made], pa.binary())], names=["g", "w"])
 
     got = drawn.select("t").mapInArrow(extract, "g int, w binary").distinct().select("g", "w", F.crc32("w").alias("o"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("o", "w"))
-    kept = got.withColumn("r", rank).filter(F.col("r") <= max_windows // 3).orderBy("g", "r").collect()
+    kept = [r for g in range(3) for r in got.filter(F.col("g") == g).orderBy("o", "w").limit(max_windows // 3).collect()]
     if not any(r["g"] == 0 for r in kept):
         return PiiModel(None)
     groups = [[np.frombuffer(bytes(r["w"]), dtype=np.uint8).reshape(2, WINDOW) for r in kept if r["g"] == g] for g in range(3)]
