@@ -81,7 +81,7 @@ def _first(*values: Column) -> Column:
 def publisher_name(item: Column, metadata: Column, source: Column, url: Column, provider: Column) -> Column:
     """Name on the item, in its metadata, of its source, or the host; an aggregator's name gives way to the host."""
     host = F.coalesce(urls.host(url), F.lit(""))
-    name = _first(item, metadata, source, host)
+    name = F.coalesce(_first(item, metadata, source, host), F.lit(""))
     own_host = F.lower(F.regexp_extract(F.when(name.contains("://"), F.regexp_extract(name, r"://(.*)", 1)).otherwise(name), r"^([^/?#:]*)", 1))
     wrapper = own_host.endswith("google.com") | ((provider == "google_news") & F.lower(name).isin(WRAPPER_NAMES))
     return F.when(F.coalesce(wrapper, F.lit(False)), host).otherwise(name)
@@ -89,7 +89,7 @@ def publisher_name(item: Column, metadata: Column, source: Column, url: Column,
 
 def publisher_domain(item: Column, metadata: Column, source: Column, url: Column) -> Column:
     host = F.coalesce(urls.host(url), F.lit(""))
-    domain = F.regexp_replace(F.lower(_first(item, metadata, source, host)), r"^www\.", "")
+    domain = F.coalesce(F.regexp_replace(F.lower(_first(item, metadata, source, host)), r"^www\.", ""), F.lit(""))
     return F.when(domain.endswith("google.com"), host).otherwise(domain)
 
 
