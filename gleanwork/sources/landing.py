@@ -43,12 +43,26 @@ def search_articles(payloads: DataFrame, payload: str = "payload") -> tuple[Data
 
 
 def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of RSS (``item``) or Atom (``entry``) files; entries without title or link are left out."""
-    schema = "title string, link string, description string, summary string, pubDate string, updated string, guid string, source string, category array<string>, _corrupt_record string"
+    """Entries of RSS (``item``) or Atom (``entry``) files; entries without title or link are left out, as are those that cannot be parsed."""
+    if row_tag == "entry":
+        return _atom_entries(spark, path)
+    schema = "title string, link string, description string, summary string, pubDate string, updated string, guid string, author string, source struct<_VALUE: string, _url: string>, category array<string>, _corrupt_record string"
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
     return raw.filter("title is not null and link is not null").select(
         "title", F.col("link").alias("url"), F.coalesce("description", "summary").alias("description"), dates.publication_time(F.coalesce("pubDate", "updated")).alias("published_at"),
-        F.coalesce("guid", urls.short_hash(F.coalesce(urls.canonicalize_url(F.col("link")), F.col("link")), 16)).alias("id"), F.col("source").alias("publisher"), F.col("category").alias("categories"),
+        F.coalesce("guid", urls.short_hash(F.coalesce(urls.canonicalize_url(F.col("link")), F.col("link")), 16)).alias("id"), F.col("source._VALUE").alias("publisher"), urls.host(F.col("source._url")).alias("publisher_domain"), "author", F.col("category").alias("categories"),
+    )
+
+
+def _atom_entries(spark: SparkSession, path: str) -> DataFrame:
+    schema = "title string, link array<struct<_href: string, _rel: string>>, summary string, content string, published string, updated string, id string, author struct<name: string>, source struct<title: string>, category array<struct<_term: string>>, _corrupt_record string"
+    raw = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    # The entry's own page: a link of kind "alternate" or of no kind, else the first.
+    own = F.coalesce(F.get(F.filter("link", lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get("link", F.lit(0)))["_href"]
+    rows = raw.withColumn("url", own).filter("title is not null and url is not null")
+    return rows.select(
+        "title", "url", F.coalesce("summary", "content").alias("description"), dates.publication_time(F.coalesce("published", "updated")).alias("published_at"), F.coalesce("id", urls.short_hash(F.coalesce(urls.canonicalize_url(F.col("url")), F.col("url")), 16)).alias("id"),
+        F.col("source.title").alias("publisher"), F.lit(None).cast("string").alias("publisher_domain"), F.col("author.name").alias("author"), F.transform("category", lambda c: c["_term"]).alias("categories"),
     )
 
 
@@ -59,6 +73,7 @@ def feed_registry(feeds: DataFrame, categories: list[str]) -> tuple[DataFrame, D
         F.array(
             F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "id"), F.when(F.col("__n") > 1, "repeated id"), F.when(~F.coalesce(F.col("url").startswith("https://"), F.lit(False)), "url"),
             F.when(~F.coalesce(F.col("category").isin(categories), F.lit(False)), "category"), F.when(~F.coalesce(F.col("priority") > 0, F.lit(False)), "priority"), F.when(F.col("active").isNull(), "active"),
+            *([F.when((F.coalesce(F.trim("publisher_domain"), F.lit("")) == "") | urls.host(F.col("url")).endswith("google.com"), "publisher")] if "publisher_domain" in feeds.columns else []),
         ),
         lambda x: x.isNotNull(),
     )
@@ -75,11 +90,23 @@ class Providers:
     def register(self, name: str, loader: Callable[[SparkSession], DataFrame]) -> None:
         self.loaders[name] = loader
 
-    def scan(self, spark: SparkSession) -> tuple[DataFrame, dict[str, str]]:
+    @classmethod
+    def ordered(cls, feeds: list[tuple[str, int, Callable[[SparkSession], DataFrame]]], searches: list[tuple[str, Callable[[SparkSession], DataFrame]]], optional: tuple[str, Callable[[SparkSession], DataFrame]] | None = None) -> Providers:
+        """Feeds by priority and name, then search providers as given, then the optional one."""
+        out = cls()
+        for name, _, loader in sorted(feeds, key=lambda f: (f[1], f[0])):
+            out.register(name, loader)
+        for name, loader in [*searches, *([optional] if optional else [])]:
+            out.register(name, loader)
+        return out
+
+    def scan(self, spark: SparkSession, normalize: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, dict[str, str]]:
         parts, failed = [], {}
         for rank, (name, loader) in enumerate(self.loaders.items()):
             try:
-                parts.append(loader(spark).withColumns({"provider": F.lit(name), "provider_rank": F.lit(rank)}))
+                rows = loader(spark)
+                rows = normalize(rows) if normalize else rows
+                parts.append(rows.withColumns({"provider": F.lit(name), "provider_rank": F.lit(rank)}))
             except Exception as e:  # noqa: BLE001
                 failed[name] = str(e)
         if not parts:
