@@ -185,9 +185,8 @@ def finished(text: Column, limit: int) -> Column:
     whole = F.when(~cut, fragment).when(fragment.contains(" "), F.regexp_replace(fragment, r" [^ ]*$", "")).otherwise("")
     kept = F.regexp_replace(whole, _TRAILING, "")
     words = F.array_join(F.filter(F.split(kept, r"\s+"), lambda w: w != ""), " ")
-    dangling = rf"(?i)(?:^| +)[\"'()\[\]{{}}]*(?:{'|'.join(DANGLING)})[\"'()\[\]{{}}]*$"
-    for _ in range(4):
-        words = F.regexp_replace(words, dangling, "")
+    mark = r"[\"'()\[\]{}]*"
+    words = F.regexp_replace(words, rf"(?i)(?:(?:^| +){mark}(?:{'|'.join(DANGLING)}){mark})+$", "")
     out = F.when(words.rlike(r"[.!?]$"), words).otherwise(F.concat(words, F.lit(".")))
     return F.when(F.lit(limit) <= 0, "").when(bare == "", ".").when(complete != "", complete).when((kept != "") & (F.length(out) <= limit), out).otherwise(".")
 
