@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no story.
-TITLE_STOPWORDS = "the a an and or but of to in on at for with by is are was were be been being this that these those it its as from will has have had not no breaking live updates just news today latest new says said update watch video photos photo".split()
-NO_ENTITY_WORDS = "a an the after amid breaking major new official report reports says update what".split()
-CLAIM_STOPWORDS = "a an the of to in on at for with by and or but is are was were be been being that this these those it its".split()
+TITLE_STOPWORDS = ["the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "for", "with", "by", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "it", "its", "as", "from", "will", "has", "have", "had", "not", "no", "breaking", "live", "updates", "just", "news", "today", "latest", "new", "says", "said", "update", "watch", "video", "photos", "photo"]
+NO_ENTITY_WORDS = ["a", "an", "the", "after", "amid", "breaking", "major", "new", "official", "report", "reports", "says", "update", "what"]
+CLAIM_STOPWORDS = ["a", "an", "the", "of", "to", "in", "on", "at", "for", "with", "by", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "that", "this", "these", "those", "it", "its"]
 # Cues of attribution, words that name nobody, words on which no sentence ends, sensitive words, styles.
 ATTRIBUTION_CUES = ["said", "says", "reported", "according", "announced", "expects", "forecast", "forecasted", "projects", "estimates", "confirmed", "revealed", "stated", "noted", "cited"]
 PRONOUNS = ["the", "a", "an", "this", "that", "these", "those", "it", "he", "she", "they", "we", "you", "i", "his", "her", "their", "our", "your"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
 
@@ -33,9 +34,7 @@ def _canonical(url: str | None) -> str | None:
     if scheme not in ("http", "https") or not host:
         return None
     host = host.removesuffix({"http": ":80", "https": ":443"}[scheme])
-    segments = (parts.path or "/").split("/")
-    path = "/".join([segments[0], *[s for s in segments[1:-1] if s], *segments[-1:]])
-    path = path.rstrip("/") or "/"
+    path = re.sub("/+", "/", parts.path).rstrip("/") or "/"
     kept = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not _is_tracking(k))
     return urlunsplit((scheme, host, quote(unquote(path), safe="/:@!$&'()*+,;="), urlencode(kept), ""))
 

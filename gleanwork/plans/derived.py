@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .scalars import read
 
 TITLES = [
-    "Ceasefire agreement announced after long talks", "OpenAI announces a new AI model for hospitals", "Federal Reserve announces decision on interest rates", "Opinion: what the election means for voters", "Sponsored: shopping deals of the whole week",
-    "Golf Tournaments: results of the long day", "Best garden products to buy this month", "Climate summit ends as emissions report released", "Too short", "World News - all day", "Nvidia launches a new chip for the cloud", "Clinical trial of a vaccine raises hopes",
+    "Hostilities end along the front line as truce is signed", "Startup launches a generative AI assistant for clinics", "Central bank decides to hold its inflation target", "Opinion: what the election means for voters", "Sponsored: shopping deals of the whole week",
+    "Chess Tournaments: results from the hall", "Best kettles and toasters to buy before winter", "Climate summit ends as emissions report released", "Too short", "World News - all day", "Nvidia launches a new chip for the cloud", "Clinical trial of a vaccine raises hopes",
     "Company filed for bankruptcy after layoffs", "Major investment in renewable energy approved", "Scientists discover a quantum research result", "Football team wins the championship title", "A quiet day at the lake with nothing at all", "International summit signs a global treaty",
     "Celebrity gossip of the weekend in pictures", "Public health emergency declared as outbreak grows", "Parliament passes new legislation on banks", "Top World News", "Merger of two telecom firms approved", "Guide to the museums of the old town",
 ]

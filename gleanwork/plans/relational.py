@@ -128,13 +128,14 @@ def j05(s, d):
 
 
 def j06(s, d):
+    """Every row whose id 100 divides against all other rows."""
     t = titled(s, d)
-    return similar.similar_titles(t.filter("doc_id % 10 = 0"), t.filter("doc_id % 10 <> 0"), "doc_id", "doc_id", C("title"), C("title"), 0.20)
+    return similar.similar_titles(t.filter("doc_id % 100 = 0"), t, "doc_id", "doc_id", C("title"), C("title"), 0.20).filter("query_id <> recent_id")
 
 
 _SW = "list_distinct(list_transform(list_filter(regexp_split_to_array(title, '\\s+'), lambda w: length(w) > 2), lambda w: trim(lower(w), '.,;:!?\"''()[]{}—–-')))"
-J06 = f"""WITH t AS (SELECT doc_id, {_SW} AS w FROM {TITLED}), q AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM t WHERE doc_id % 10 = 0), r AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM t WHERE doc_id % 10 <> 0),
- x AS (SELECT q.doc_id AS query_id, r.doc_id AS recent_id, count(*)::DOUBLE / (any_value(q.n) + any_value(r.n) - count(*)) AS score FROM q JOIN r USING (word) GROUP BY ALL)"""
+J06 = f"""WITH t AS (SELECT doc_id, {_SW} AS w FROM {TITLED}), q AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM t WHERE doc_id % 100 = 0), r AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM t),
+ x AS (SELECT q.doc_id AS query_id, r.doc_id AS recent_id, count(*)::DOUBLE / (any_value(q.n) + any_value(r.n) - count(*)) AS score FROM q JOIN r ON q.word = r.word AND q.doc_id <> r.doc_id GROUP BY ALL)"""
 
 
 def r10(s, d):
@@ -186,7 +187,7 @@ def k02(s, d):
 
 
 def k03(s, d):
-    p = read(s, d, "pages").select("page_id", (C("page_id") % 3).alias("provider"), urls.path(C("url")).alias("key")).filter("page_id % 7 <> 0")
+    p = read(s, d, "pages").select("page_id", (C("page_id") % 3).alias("provider"), urls.path(C("url")).alias("key"))
     return dedup.first_seen(p, ["key"], ["provider", "page_id"]).select("page_id")
 
 
@@ -333,20 +334,22 @@ def u04(s, d):
 
 
 def m01(s, d):
+    """Pages with a query come again with another one, and a copy of every page is new under a negative id."""
     p = read(s, d, "pages").select("page_id", "url")
-    new = p.filter("page_id >= 100").withColumn("url", F.concat("url", F.lit("?v=2"))).union(p.select((C("page_id") + 100000).alias("page_id"), "url").filter("page_id < 100020"))
-    return tables.upsert(p.filter("page_id < 200"), new, ["page_id"])
+    new = p.filter(C("url").contains("?")).withColumn("url", F.concat("url", F.lit("&v=2"))).union(p.select((-C("page_id") - 1).alias("page_id"), "url"))
+    return tables.upsert(p, new, ["page_id"])
 
 
 def m02(s, d):
     names = read(s, d, "supplier").select(C("s_name").alias("name"))
-    known = read(s, d, "supplier").filter("s_suppkey < 50").select(C("s_name").alias("name"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    known = read(s, d, "supplier").filter("s_acctbal > 0").select(C("s_name").alias("name"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
     return tables.get_or_create(names, known, "name", "src_")
 
 
 def m04(s, d):
-    l = read(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return tables.insert_if_absent(l.filter("l_orderkey % 2 = 0"), l.filter("l_orderkey % 3 = 0"), ["l_orderkey", "l_partkey"])
+    """Links of returned and accepted lines are there; those of all lines come."""
+    l = read(s, d, "lineitem")
+    return tables.insert_if_absent(l.filter("l_returnflag <> 'N'").select("l_orderkey", "l_partkey").distinct(), l.select("l_orderkey", "l_partkey"), ["l_orderkey", "l_partkey"])
 
 
 def m06(s, d):
@@ -425,7 +428,7 @@ QUERIES = {
     "j19_replies": (j19, "SELECT r.conv_id, count(c.turn) AS replies, count(c.turn) FILTER (c.turn = 1) AS direct FROM (SELECT conv_id FROM conversations WHERE turn = 0) r LEFT JOIN (SELECT * FROM conversations WHERE turn > 0) c USING (conv_id) GROUP BY 1"),
     "k01_greedy_first_seen": (k01, None),
     "k02_feed_dedup": (k02, f"SELECT min(page_id) AS page_id FROM (SELECT page_id, {HOST} AS h, {CANONICAL} AS c FROM pages) GROUP BY h, c"),
-    "k03_cross_feed_dedup": (k03, "SELECT arg_min(page_id, (page_id % 3) * 1000000000 + page_id) AS page_id FROM pages WHERE page_id % 7 <> 0 GROUP BY regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"),
+    "k03_cross_feed_dedup": (k03, "SELECT arg_min(page_id, (page_id % 3) * 1000000000 + page_id) AS page_id FROM pages GROUP BY regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"),
     "k04_ordered_distinct": (k04, "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1"),
     "k05_evidence_cap": (k05, f"SELECT page_id, pos::INT AS pos FROM (SELECT page_id, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS pos FROM pages) WHERE pos <= 5"),
     "k06_story_clusters": (k06, None),
@@ -456,9 +459,9 @@ QUERIES = {
     "r17_provider_fallback": (r17, "SELECT user_id, event_type AS provider FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_id) AS r FROM events WHERE event_type <> 'view') WHERE r = 1"),
     "u01_union_providers": (u01, "SELECT page_id AS id, url AS value, 0 AS provider_rank FROM pages UNION ALL SELECT doc_id, source, 1 FROM documents"),
     "u04_set_algebra": (u04, "SELECT l_orderkey, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS covered, a = b AS equal, array_to_string(a, '') AS either, array_to_string(CASE WHEN len(b) > 0 THEN b ELSE a END, '') AS both FROM (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS a, coalesce(list_sort(list(DISTINCT l_returnflag) FILTER (l_quantity > 25)), []) AS b FROM lineitem GROUP BY 1)"),
-    "m01_upsert": (m01, "SELECT coalesce(n.page_id, o.page_id) AS page_id, CASE WHEN n.page_id IS NOT NULL THEN n.url ELSE o.url END AS url, CASE WHEN n.page_id IS NULL THEN 'kept' WHEN o.page_id IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM (SELECT page_id, url FROM pages WHERE page_id < 200) o FULL JOIN (SELECT page_id, url || '?v=2' AS url FROM pages WHERE page_id >= 100 UNION ALL SELECT page_id + 100000, url FROM pages WHERE page_id < 20) n ON n.page_id = o.page_id"),
-    "m02_get_or_create": (m02, "SELECT s_name AS name, CASE WHEN s_suppkey < 50 THEN 's' || s_suppkey ELSE 'src_' || left(sha256(s_name), 20) END AS id, s_suppkey >= 50 AS created FROM supplier"),
-    "m04_insert_if_absent": (m04, "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 2 = 0 OR l_orderkey % 3 = 0"),
+    "m01_upsert": (m01, "SELECT page_id, CASE WHEN contains(url, '?') THEN url || '&v=2' ELSE url END AS url, CASE WHEN contains(url, '?') THEN 'updated' ELSE 'kept' END AS change FROM pages UNION ALL SELECT -page_id - 1, url, 'inserted' FROM pages"),
+    "m02_get_or_create": (m02, "SELECT s_name AS name, CASE WHEN s_acctbal > 0 THEN 's' || s_suppkey ELSE 'src_' || left(sha256(s_name), 20) END AS id, NOT s_acctbal > 0 AS created FROM supplier"),
+    "m04_insert_if_absent": (m04, "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem"),
     "m06_status_update": (m06, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"),
     "m07_publication_state": (m07, None),
     "m08_delete": (m08, "SELECT c_custkey FROM customer WHERE NOT c_acctbal < 0"),

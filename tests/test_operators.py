@@ -65,11 +65,11 @@ def test_dates(spark):
 @pytest.mark.parametrize(
     ("title", "primary", "news"),
     [
-        ("OpenAI announces a new AI model", "ARTIFICIAL_INTELLIGENCE", True),
-        ("Federal Reserve announces interest rate decision", "FINANCE", True),
-        ("Ceasefire agreement announced after negotiations", "WAR_CONFLICT", True),
-        ("Best products to buy this month", None, False),
-        ("Golf Tournaments: results", None, False),
+        ("Startup launches a generative AI assistant", "ARTIFICIAL_INTELLIGENCE", True),
+        ("Central bank decides to hold its inflation target", "FINANCE", True),
+        ("Hostilities end along the front line as truce is signed", "WAR_CONFLICT", True),
+        ("Ten kettles for a small kitchen shelf", None, False),
+        ("Chess Tournaments: results from the hall", None, False),
     ],
 )
 def test_classification(spark, title, primary, news):
@@ -86,8 +86,8 @@ def test_categories_are_normalized(spark):
 def test_reject_reasons_in_order(spark):
     rows = [
         (None, "A title that is long enough", "b" * 50, "2024-01-10"), ("https://a.com/world", "A title that is long enough", "b" * 50, "2024-01-10"), ("https://a.com/x1", "Short", "b" * 50, "2024-01-10"),
-        ("https://a.com/x2", "Artist gives interview about art", "b" * 50, "2024-01-10"), ("https://a.com/x3", "Ceasefire announced after talks", "short", "2024-01-10"), ("https://a.com/x4", "Nothing of note happened here", "b" * 50, "2024-01-10"),
-        ("https://a.com/x5", "Ceasefire announced after talks", "b" * 50, None), ("https://a.com/x6", "Ceasefire announced after talks", "b" * 50, "2023-01-10"), ("https://a.com/x7", "Ceasefire announced after talks", "b" * 50, "2024-01-10"),
+        ("https://a.com/x2", "Sculptor in an interview on marble", "b" * 50, "2024-01-10"), ("https://a.com/x3", "Hostilities end as truce is signed", "short", "2024-01-10"), ("https://a.com/x4", "Nothing of note happened here", "b" * 50, "2024-01-10"),
+        ("https://a.com/x5", "Hostilities end as truce is signed", "b" * 50, None), ("https://a.com/x6", "Hostilities end as truce is signed", "b" * 50, "2023-01-10"), ("https://a.com/x7", "Hostilities end as truce is signed", "b" * 50, "2024-01-10"),
     ]
     df = spark.createDataFrame(rows, "url string, title string, body string, at string").withColumn("at", F.to_timestamp("at"))
     reason = gates.reject_reason(F.col("url"), F.col("title"), F.col("body"), F.col("at"), F.to_timestamp(F.lit("2024-01-11")))
