@@ -4,8 +4,14 @@ Language ID drops texts in no known language, the n-gram join keeps one
 document of each near-duplicate group, decontamination drops documents that
 hold a benchmark item, personal data is replaced by its kind in brackets, and
 BPE turns what is left into tokens.  Every stage but the last returns the
-columns of ``documents``; null ids and repeated rows are handled as the
-operators' docstrings say.
+columns of ``documents``.
+
+Null and empty texts are in no language and go with the first stage; a null id
+takes part in every stage but the join, which keeps such rows; rows that repeat
+an id and a text are one document to the join; a null language is filled by the
+predicted one; an empty table passes through all stages as one; without labelled
+rows no language is known and every document goes.  Columns beside those of
+``documents`` are kept, whatever their names, until the last stage.
 """
 
 from __future__ import annotations
