@@ -103,3 +103,20 @@ def test_feeds_name_their_publisher(spark, url, domain, wrong):
     feeds = spark.createDataFrame([("a", url, "SCIENCE", 1, True, domain)], "id string, url string, category string, priority int, active boolean, publisher_domain string")
     active, rejects = landing.feed_registry(feeds, ["SCIENCE"])
     assert active.count() == (not wrong) and [r.reasons for r in rejects.collect()] == [wrong] * bool(wrong)
+
+
+def test_inactivity_groups_and_sliding_counts_of_a_stream_equal_the_batch(spark, sf_dir, tmp_path):
+    from gleanwork.plans import relational
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value", "props")
+    last = events.agg(F.max("ts")).first()[0]
+    # A row far in the future moves the watermark, so that every group and window closes.
+    end = spark.createDataFrame([(-1, last.replace(year=2030), -1, "end", 0.0, "")], schema)
+    for part in (events, end):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.landing(spark, f"{tmp_path}/in", schema, files_at_once=1)
+    groups = jobs.drained(jobs.inactivity_groups(stream, "user_id", "ts", late="40 days"), f"{tmp_path}/g", f"{tmp_path}/cg")
+    assert {tuple(r) for r in groups.collect()} == {(r.user_id, r.first_seen, r["items"]) for r in relational.x06(spark, sf_dir).collect()}
+    counts = jobs.drained(jobs.category_counts(stream, F.col("event_type"), "ts", late="40 days", width="48 hours", slide="24 hours"), f"{tmp_path}/w", f"{tmp_path}/cw")
+    assert {(r.category, r.start, r.n) for r in counts.collect() if r.category != "end"} == {(r.event_type, r.start, r.n) for r in relational.x04(spark, sf_dir).collect()}
