@@ -52,8 +52,9 @@ BUCKET_BYTES = 48 << 20
 PERIOD = 32
 SUFFIXES_AT_ONCE = 1 << 18
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-ROW = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("twin", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("span", "<i4"), ("off", "<i4"), ("weight", "<i4")])
-START = np.dtype([("string", "<u8"), ("twin", "<u8"), ("key", "<i8"), ("lo", "<i8"), ("weight", "<i4")])
+#: Packed rows: places fit 32 bits (a text is one Arrow string), runs have WINDOW starts at most, weights above two count as two.
+ROW = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("twin", "<u8"), ("key", "<i8"), ("lo", "<i4"), ("span", "u1"), ("off", "u1"), ("weight", "u1")])
+START = np.dtype([("string", "<u8"), ("twin", "<u8"), ("key", "<i8"), ("lo", "<i4"), ("weight", "u1")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -387,7 +388,7 @@ def _judge(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     n, m = len(whole), len(asked)
     return pa.table({
-        "key": pa.array(np.concatenate([whole["key"], asked["key"]])), "lo": pa.array(np.concatenate([whole["lo"], asked["lo"]])), "span": pa.array(np.concatenate([whole["span"], asked["span"]]).astype(np.int64)),
+        "key": pa.array(np.concatenate([whole["key"], asked["key"]])), "lo": pa.array(np.concatenate([whole["lo"], asked["lo"]]).astype(np.int64)), "span": pa.array(np.concatenate([whole["span"], asked["span"]]).astype(np.int64)),
         "anchor": pa.array([*[None] * n, *asked["anchor"].view(np.int64).tolist()], pa.int64()), "bucket": pa.array([None] * n + [bucket] * m, pa.int32()),
     })
 
