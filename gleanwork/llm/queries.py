@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, ngram_join, pii, pivot_index, suffix_dedup, toxicity, warc
+from . import bpe, centroids, decontam, langid, licenses, ngram_join, pii, pivot_index, suffix_dedup, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -62,9 +62,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op11_centroid_clusters": op11_centroid_clusters}
 _DIGEST = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 1)::INT, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 2)::INT, 1)) - 1) >> (3 - (5 * i) % 4)::INT) & 31)::INT + 1, 1)), '')"
+
+
+def _clusters_sql(rounds: int = 5) -> str:
+    """Each round as two tables: the vectors with their nearest centroids a<r>, and the centroids c<r> after it."""
+    rounds_sql = "".join(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(q) AS q, min(row(d, c)) AS near FROM (
+    SELECT vec_id, q, c, list_sum(list_transform(range(1, 65), lambda i: (q[i] - m[i]) * (q[i] - m[i])))::BIGINT AS d FROM v, c{r}) GROUP BY vec_id),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(mean, m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list(f ORDER BY i) AS mean FROM (
+        SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS f FROM (
+            SELECT near[2] AS c, i, sum(q[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2)) GROUP BY c) USING (c)),""" for r in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding::DOUBLE[], lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q AS m FROM v QUALIFY c < 40),{rounds_sql}
+z AS (SELECT vec_id, near[2] AS c, near[1] AS d FROM a{rounds})
+SELECT vec_id, z.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY z.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} ON c{rounds}.c = z.c"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_centroid_clusters": _clusters_sql(),
     "op1_arc_to_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
      t AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
