@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontam, langid, licenses, ngram_join, pii, pivot_index, suffix_dedup, toxicity, warc
+from . import bpe, centroids, conversations, decontam, langid, licenses, ngram_join, pii, pivot_index, suffix_dedup, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -66,7 +66,12 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op11_centroid_clusters": op11_centroid_clusters}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(whole), ids=whole)
+
+
+QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op11_centroid_clusters": op11_centroid_clusters, "op13_conversation_repair": op13_conversation_repair}
 _DIGEST = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 1)::INT, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 2)::INT, 1)) - 1) >> (3 - (5 * i) % 4)::INT) & 31)::INT + 1, 1)), '')"
 
 
@@ -89,7 +94,40 @@ SELECT vec_id, z.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY z.
 FROM z JOIN c{rounds} ON c{rounds}.c = z.c"""
 
 
+#: crc32 bit by bit: a byte is mixed in, then eight shifts (-1) follow.
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(substr(k, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+_REPAIR = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+z AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS z FROM k),
+h AS (SELECT coalesce(conv_id, -1) AS c, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role, CASE z WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN z = 3 THEN 2 ELSE 1 END)) AS copy FROM z WHERE z <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, E' \\t\\n\\x0b\\x0c\\r') AS shown FROM h),
+f AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+      left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM o),
+ins(state, went, spent, audit, said) AS (SELECT s, s, 0, '', '' FROM range(4) r(s) UNION ALL VALUES
+  (0, 2, 5, 'I', E'\\nuser:'), (0, 3, 10, 'II', E'\\nuser:\\nassistant:'), (1, 2, 5, 'I', E'\\nuser:'), (1, 3, 10, 'II', E'\\nuser:\\nassistant:'),
+  (2, 3, 5, 'I', E'\\nassistant:'), (2, 2, 10, 'II', E'\\nassistant:\\nuser:'), (3, 2, 5, 'I', E'\\nuser:'), (3, 3, 10, 'II', E'\\nuser:\\nassistant:')),
+keep(state, initial, went) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+due(state, role, went) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+d(c, i, state, cost, audit, said) AS (
+  SELECT DISTINCT c, 0::BIGINT, 0, 0, '', '' FROM f
+  UNION ALL
+  SELECT c, i, state, cost, audit, said FROM (
+    SELECT d.c, d.i + 1 AS i, e.went AS state, d.cost + ins.spent + e.spent + CASE WHEN e.edit <> 'D' AND f.fault = 't' THEN 5 ELSE 0 END AS cost, d.audit || ins.audit || e.edit AS audit,
+           d.said || ins.said || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN E'\\n' || f.role || ':' || f.text ELSE E'\\n' || e.role || ':' || f.text END AS said
+    FROM d JOIN f ON f.c = d.c AND f.i = d.i + 1 JOIN ins ON ins.state = d.state
+    JOIN (SELECT state, initial, went, 'K' AS edit, 0 AS spent, '' AS role FROM keep UNION ALL SELECT state, NULL, went, 'R', 1, role FROM due UNION ALL SELECT s, NULL, s, 'D', 2, '' FROM range(4) r(s)) e
+      ON e.state = ins.went AND (e.edit <> 'K' OR e.initial = left(f.role, 1)) AND (e.edit = 'D' OR f.fault NOT IN ('b', 'd')))
+  QUALIFY row_number() OVER (PARTITION BY c, state ORDER BY cost, audit) = 1),
+n AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+      count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c),
+g AS (SELECT n.*, min(row(d.cost + ins.spent, d.audit || ins.audit, d.said || ins.said)) AS best FROM n JOIN d ON d.c = n.c AND d.i = n.n JOIN ins ON ins.state = d.state AND ins.went IN (0, 3) GROUP BY ALL)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best[1], 0)::BIGINT AS cost, coalesce(best[2], '') AS audit, sha256(coalesce(substr(best[3], 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.c = coalesce(a.conv_id, -1)"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_conversation_repair": _REPAIR,
     "op11_centroid_clusters": _clusters_sql(),
     "op1_arc_to_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
