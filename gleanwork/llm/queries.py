@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, conversations, decontam, langid, licenses, ngram_join, pii, pivot_index, suffix_dedup, toxicity, warc
+from . import bpe, centroids, conversations, decontam, langid, licenses, ngram_join, pii, pivot_index, quality, suffix_dedup, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -66,12 +66,19 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents.filter(~held_out()), table(spark, sf_dir, "labels").filter(~held_out()))
+    judged = quality.judge(documents.select("doc_id", "text", held_out().alias("held_out")), model)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "held_out", "score")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = table(spark, sf_dir, "conversations")
     return conversations.report(conversations.damage(whole), ids=whole)
 
 
-QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op11_centroid_clusters": op11_centroid_clusters, "op13_conversation_repair": op13_conversation_repair}
+QUERIES = {"op1_arc_to_warc": op1_arc_to_warc, "op2_pivot_index": op2_pivot_index, "op3_license_scan": op3_license_scan, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_pii": op6_pii, "op7_ngram_join": op7_ngram_join, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity, "op11_centroid_clusters": op11_centroid_clusters, "op12_quality_rules": op12_quality_rules, "op13_conversation_repair": op13_conversation_repair}
 _DIGEST = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 1)::INT, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 2)::INT, 1)) - 1) >> (3 - (5 * i) % 4)::INT) & 31)::INT + 1, 1)), '')"
 
 
