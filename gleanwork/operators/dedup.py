@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import components, forget, written
+
 
 def first_seen(rows: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
     """The first row of every key in the given order."""
@@ -15,29 +16,6 @@ def first_seen(rows: DataFrame, key: list[str | Column], order: list[str | Colum
     return rows.withColumn("__rank", first).filter("__rank = 1").drop("__rank")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of a round in the folder that the cluster shares."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/gleanwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.gleanwork_path = path
-    return out
-
-
-def _forget(*frames: DataFrame) -> None:
-    """Delete what no plan reads any more."""
-    for df in frames:
-        if path := getattr(df, "gleanwork_path", None):
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Accept a row iff it shares no key with an accepted earlier row; rejected rows claim nothing.
 
@@ -55,20 +33,20 @@ def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame
     for k, name in enumerate(keys):
         part = rows.filter(F.col(name).isNotNull() & (F.col(name).cast("string") != "")).select(F.col(order).alias("o"), F.lit(k).alias("k"), F.col(name).cast("string").alias("v"))
         claims = part if claims is None else claims.union(part)
-    open_claims = _written(claims, "claims")
-    accepted = [_written(rows.select(F.col(order).alias("o")).join(open_claims.select("o").distinct(), "o", "left_anti"), "accepted")]
+    open_claims = written(claims, "claims")
+    accepted = [written(rows.select(F.col(order).alias("o")).join(open_claims.select("o").distinct(), "o", "left_anti"), "accepted")]
     while open_claims.limit(1).count():
         least = open_claims.groupBy("k", "v").agg(F.min("o").alias("first"))
         judged = open_claims.join(least, ["k", "v"])
-        won = _written(judged.groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("won")).filter("won").select("o"), "won")
+        won = written(judged.groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("won")).filter("won").select("o"), "won")
         accepted.append(won)
         taken = open_claims.join(won, "o", "left_semi").select("k", "v").distinct()
         lost = open_claims.join(taken, ["k", "v"], "left_semi").select("o").distinct()
-        before, open_claims = open_claims, _written(open_claims.join(lost, "o", "left_anti"), "claims")
-        _forget(before)
+        before, open_claims = open_claims, written(open_claims.join(lost, "o", "left_anti"), "claims")
+        forget(before)
         if len(accepted) == 8:
-            together = _written(reduce(DataFrame.union, accepted), "accepted")
-            _forget(*accepted)
+            together = written(reduce(DataFrame.union, accepted), "accepted")
+            forget(*accepted)
             accepted = [together]
     return rows.join(reduce(DataFrame.union, accepted).withColumnRenamed("o", order), order, "left_semi")
 
