@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # The taxonomy, its signals, and what is no news.
 CATEGORIES = ["GLOBAL_POLITICS", "WORLD_EVENTS", "WAR_CONFLICT", "ARTIFICIAL_INTELLIGENCE", "TECHNOLOGY", "SCIENCE", "HEALTH", "MEDICAL", "FINANCE", "BUSINESS", "INVESTMENTS", "CLIMATE_ENVIRONMENT", "SPORTS"]
 ALLOWED = [c for c in CATEGORIES if c != "SPORTS"]
@@ -54,15 +56,15 @@ def _list(values) -> Column:
 
 def infer_categories(text: Column, signals: dict[str, str] | None = None) -> Column:
     """Sorted categories of which a signal occurs in the lower-case text; one regular expression for each."""
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    return F.filter(F.array(*[F.when(low.rlike(p), c) for c, p in sorted((signals or SIGNALS).items())]), lambda c: c.isNotNull())
+    lowered = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    # Named once: the patterns would each lower the whole text again.
+    return let(lowered, lambda low: F.array_compact(F.array(*[F.when(low.rlike(p), c) for c, p in sorted((signals or SIGNALS).items())])))
 
 
 def primary_category(title: Column, body: Column, signals: dict[str, str] | None = None, priority: list[str] | None = None) -> Column:
     """First category in order of priority from the title, else from the body."""
-    of_title, of_body = infer_categories(title, signals), infer_categories(body, signals)
-    found = F.when(F.size(of_title) > 0, of_title).otherwise(of_body)
-    return F.get(F.filter(_list(priority or PRIORITY), lambda c: F.array_contains(found, c)), F.lit(0))
+    found = let(infer_categories(title, signals), lambda of_title: F.when(F.size(of_title) > 0, of_title).otherwise(infer_categories(body, signals)))
+    return F.get(F.array_intersect(_list(priority or PRIORITY), found), F.lit(0))
 
 
 def is_newsworthy(title: Column, body: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +17,19 @@ def first_seen(rows: DataFrame, key: list[str | Column], order: list[str | Colum
     return rows.withColumn("__rank", first).filter("__rank = 1").drop("__rank")
 
 
-def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def greedy_first_seen(rows: DataFrame, keys: list[str], order: str, rounds: int = 6) -> DataFrame:
     """Accept a row iff it shares no key with an accepted earlier row; rejected rows claim nothing.
 
     ``order`` is a unique column.  Rounds decide all rows whose earlier
     neighbours are decided: a row that is the earliest undecided one of all
     its keys is accepted, and rows that share a key with it are rejected.
     Each round is a few aggregations by key over what is undecided; rows come in
-    no particular order in practice, so rounds are few, and only a chain of rows
-    that each share a key with the next, in order, decides one link a round.
-    A round's tables are deleted once the next ones are written, and what was
-    accepted is written together now and then, so no plan grows with the rounds.
-    Null and empty keys do not count.
+    no particular order in practice, so few rounds settle nearly all.  A chain
+    of rows that each share a key with the next, in order, would be decided one
+    link a round, so after ``rounds`` rounds what is left is parted into its
+    connected components, and each is scanned once in order, with the keys of
+    its accepted rows in memory.  A round's tables are deleted once the next
+    ones are written.  Null and empty keys do not count.
     """
     claims = None
     for k, name in enumerate(keys):
@@ -35,7 +37,11 @@ def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame
         claims = part if claims is None else claims.union(part)
     open_claims = written(claims, "claims")
     accepted = [written(rows.select(F.col(order).alias("o")).join(open_claims.select("o").distinct(), "o", "left_anti"), "accepted")]
-    while open_claims.limit(1).count():
+    left = True
+    for _ in range(rounds):
+        left = open_claims.limit(1).count() > 0
+        if not left:
+            break
         least = open_claims.groupBy("k", "v").agg(F.min("o").alias("first"))
         judged = open_claims.join(least, ["k", "v"])
         won = written(judged.groupBy("o").agg(F.bool_and(F.col("o") == F.col("first")).alias("won")).filter("won").select("o"), "won")
@@ -44,13 +50,37 @@ def greedy_first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame
         lost = open_claims.join(taken, ["k", "v"], "left_semi").select("o").distinct()
         before, open_claims = open_claims, written(open_claims.join(lost, "o", "left_anti"), "claims")
         forget(before)
-        if len(accepted) == 8:
-            together = written(reduce(DataFrame.union, accepted), "accepted")
-            forget(*accepted)
-            accepted = [together]
+    if left and open_claims.limit(1).count():
+        accepted.append(_scanned_in_order(open_claims))
     return rows.join(reduce(DataFrame.union, accepted).withColumnRenamed("o", order), order, "left_semi")
 
 
+def _scanned_in_order(claims: DataFrame) -> DataFrame:
+    """(o) of the rows that a scan of each component of ``claims`` (o, k, v) accepts."""
+    node = F.xxhash64(F.lit("row"), F.col("o").cast("string"))
+    # Hashes name the nodes: two with one hash make a component larger, not wrong.
+    found = components(claims.select(node.alias("a"), F.xxhash64(F.lit("key"), "k", "v").alias("b")))
+    held = claims.groupBy("o").agg(F.collect_list(F.concat_ws("\0", "k", "v")).alias("held"))
+    placed = held.join(found, F.xxhash64(F.lit("row"), F.col("o").cast("string")) == F.col("node")).select("o", "held", "component")
+    kind = dict(claims.dtypes)["o"]
+
+    def scan(frames):
+        here, seen = None, set()
+        for frame in frames:
+            kept = []
+            for o, own, component in zip(frame["o"], frame["held"], frame["component"], strict=True):
+                if component != here:
+                    here, seen = component, set()
+                if seen.isdisjoint(own):
+                    kept.append(o)
+                    seen.update(own)
+            yield pd.DataFrame({"o": kept})
+
+    out = written(placed.repartition("component").sortWithinPartitions("component", "o").mapInPandas(scan, f"o {kind}"), "scanned")
+    forget(found)
+    return out
+
+
 def capped(rows: DataFrame, key: list[str], order: list[str | Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of every key, numbered from 1 as ``pos``."""
     pos = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

@@ -45,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     while edges.limit(1).count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        root = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
+        root = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
         while True:
             further = root.select(F.col("node").alias("root"), F.col("root").alias("next"))
             jumped = written(root.join(further, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")

@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import tables
 from ..operators.gates import split_rejects
 
 
@@ -40,36 +38,6 @@ def fresh(stream: DataFrame, time: str, as_of: Column, minutes: int = 180) -> Da
     return stream.filter(F.col(time).isNull() | (F.col(time) >= as_of - F.expr(f"interval {minutes} minutes")))
 
 
-def upsert_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run ``apply`` once for each micro-batch of what has landed, then stop."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class UpsertTable:
-    """A table kept as numbered snapshots that a stream upserts into; a batch that comes again changes nothing."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: list[str]):
-        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
-
-    def _versions(self) -> list[int]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        found = [s.getPath() for s in fs.listStatus(root)]
-        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{versions[-1]}") if versions else self.spark.createDataFrame([], self.schema)
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self._versions():
-            return
-        tables.upsert(self.read(), batch, self.key).drop("change").write.mode("overwrite").parquet(f"{self.root}/{batch_id}")
-
-
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream to the end of what has landed and read its result."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

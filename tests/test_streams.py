@@ -22,19 +22,6 @@ def test_landing_stream_splits_rejects_like_a_batch(spark, sf_dir, tmp_path):
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in expected.select(got.columns).collect()}
 
 
-def test_upserting_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
-    schema = "id long, v string, at int"
-    for k in range(3):
-        spark.createDataFrame([(i, f"{k}-{i}", k) for i in range(k, k + 4)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    table = jobs.UpsertTable(spark, f"file://{tmp_path}/table", schema, ["id"])
-    stream = jobs.landing(spark, f"{tmp_path}/in", schema, files_at_once=1)
-    jobs.upsert_batches(stream, table.apply, f"{tmp_path}/c").awaitTermination()
-    first = {r.id: (r.v, r.at) for r in table.read().collect()}
-    assert first.keys() == set(range(6)) and all(v == f"{at}-{i}" for i, (v, at) in first.items())
-    table.apply(spark.createDataFrame([(0, "again", 9)], schema), 1)
-    assert {r.id: (r.v, r.at) for r in table.read().collect()} == first
-
-
 def test_reservations_expire_or_finish(spark, tmp_path):
     rows = [("a", "publishing", "2024-01-01 10:00:00"), ("a", "published", "2024-01-01 10:10:00"), ("b", "publishing", "2024-01-01 10:00:00"), ("c", "publishing", "2024-01-01 10:05:00"), ("c", "failed", "2024-01-01 11:00:00"), ("z", "published", "2024-01-01 14:00:00")]
     df = spark.createDataFrame(rows, "story_id string, status string, t string").select("story_id", "status", F.to_timestamp("t").alias("at"))
