@@ -1,34 +1,103 @@
-"""Online clustering of a stream: the batch rule with open clusters kept as state."""
+"""Online clustering of a stream: the batch rule, with open clusters kept as state.
+
+A block's state is a map of open clusters by number and a map from words to the
+numbers of the clusters that hold them, so an article reads the clusters it
+shares a word with and writes the one it joins; the rest of the block's state is
+not touched.  A timer for the end of each cluster's window removes it and its
+words.  An article comes to a cluster through a word of its signature, as a
+signature that is equal or overlaps shares one.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.clustering import OpenCluster, described, dump, load
+
+SCHEMA = "item_id string, story_id string"
+
+
+class _Clusters(StatefulProcessor):
+    def __init__(self, hours: int):
+        self.window = pd.Timedelta(hours=hours)
 
-from ..functions import text
-from ..operators.clustering import OpenCluster
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.opened = handle.getValueState("opened", "n long")
+        self.live = handle.getMapState("live", "n long", "cluster string")
+        self.by_word = handle.getMapState("by_word", "word string", "ns array<long>")
+        self.ends = handle.getMapState("ends", "ms long", "ns array<long>")
 
-KEPT = ("words", "entities", "categories", "publishers")
+    def _end(self, cluster: OpenCluster) -> int:
+        """First moment, in milliseconds, at which no article can join."""
+        return int((cluster.at + self.window).timestamp() * 1000) + 1
 
+    def _of(self, state, key) -> list[int]:
+        return list(state.getValue((key,))[0]) if state.containsKey((key,)) else []
 
-def dump(clusters: list[OpenCluster]) -> str:
-    return json.dumps([{"id": c.id, "at": c.at.isoformat(), "signature": c.signature} | {k: sorted(getattr(c, k)) for k in KEPT} for c in clusters])
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names are Spark's
+        # One micro-batch's articles of the block, in order of time.
+        articles = pd.concat(list(rows)).sort_values(["published_at", "title_key", "item_id"], na_position="first")
+        known: dict[int, OpenCluster] = {}
+        changed: set[int] = set()
+        words: dict[str, list[int]] = {}
+        count = self.opened.get()[0] if self.opened.exists() else 0
+        began, found = count, []
+        for a in articles.itertuples():
+            if pd.isna(a.published_at):
+                found.append((a.item_id, a.item_id))
+                continue
+            own = list(dict.fromkeys(a.words))
+            for w in own:
+                if w not in words:
+                    words[w] = self._of(self.by_word, w)
+            near = sorted({n for w in own for n in words[w]})
+            for n in near:
+                if n not in known:
+                    known[n] = load(self.live.getValue((n,))[0])
+            n = next((n for n in near if known[n].takes(a, self.window)), None)
+            if n is None:
+                n, count = count, count + 1
+                known[n] = OpenCluster(a)
+            else:
+                known[n].add(a)
+            changed.add(n)
+            for w in own:
+                if n not in words[w]:
+                    words[w].append(n)
+            found.append((a.item_id, known[n].id))
+        for n in sorted(changed):
+            self.live.updateValue((n,), (dump(known[n]),))
+            if n >= began:
+                end = self._end(known[n])
+                self.ends.updateValue((end,), ([*self._of(self.ends, end), n],))
+                self.handle.registerTimer(end)
+        for w, ns in words.items():
+            if ns:
+                self.by_word.updateValue((w,), (ns,))
+        self.opened.update((count,))
+        yield pd.DataFrame(found, columns=["item_id", "story_id"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        for n in self._of(self.ends, end):
+            for w in load(self.live.getValue((n,))[0]).words:
+                left = [m for m in self._of(self.by_word, w) if m != n]
+                if left:
+                    self.by_word.updateValue((w,), (left,))
+                else:
+                    self.by_word.removeKey((w,))
+            self.live.removeKey((n,))
+        self.ends.removeKey((end,))
+        yield pd.DataFrame({"item_id": [], "story_id": []}, dtype=object)
 
-def load(state: str) -> list[OpenCluster]:
-    out = []
-    for row in json.loads(state):
-        c = OpenCluster.__new__(OpenCluster)
-        c.id, c.at, c.signature = row["id"], pd.Timestamp(row["at"]), row["signature"]
-        for k in KEPT:
-            setattr(c, k, set(row[k]))
-        out.append(c)
-    return out
+    def close(self) -> None:
+        pass
 
 
 def cluster_stream(articles: DataFrame, block: str, hours: int = 36, late: str = "1 hour") -> DataFrame:
@@ -37,27 +106,5 @@ def cluster_stream(articles: DataFrame, block: str, hours: int = 36, late: str =
     Within a micro-batch articles are taken in order of time, title and id;
     one that arrives after later ones joins what is open then.
     """
-    window = pd.Timedelta(hours=hours)
-    ready = articles.withWatermark("published_at", late).select(
-        F.col("item_id").cast("string"), block, "categories", "publisher", "published_at",
-        F.lower("title").alias("title_key"), text.title_signature(F.col("title")).alias("signature"), text.entities(F.col("title")).alias("entities"),
-    ).withColumn("words", F.split("signature", " "))
-
-    def step(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live, found = load(state.get[0]) if state.exists else [], []
-        rows = pd.concat(list(frames)).sort_values(["published_at", "title_key", "item_id"], na_position="first")
-        for a in rows.itertuples():
-            story = next((c for c in live if c.takes(a, window)), None)
-            if story is None:
-                story = OpenCluster(a)
-                if not pd.isna(story.at):
-                    live.append(story)
-            else:
-                story.add(a)
-            found.append((a.item_id, story.id))
-        seen = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        live = [c for c in live if c.at + window >= seen]
-        state.update((dump(live),))
-        yield pd.DataFrame(found, columns=["item_id", "story_id"])
-
-    return ready.groupBy(block).applyInPandasWithState(step, "item_id string, story_id string", "clusters string", "append", GroupStateTimeout.NoTimeout)
+    ready = described(articles.withColumn("item_id", F.col("item_id").cast("string")).withWatermark("published_at", late), block)
+    return ready.groupBy(block).transformWithStateInPandas(_Clusters(hours), outputStructType=SCHEMA, outputMode="append", timeMode="EventTime")

@@ -178,16 +178,24 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
 
 
 def test_clustering_a_stream_equals_the_batch(spark, tmp_path):
+    """Two blocks over nine days: clusters open and end while the stream runs."""
     rng = random.Random(4)
     names = ["Acme Corp", "Blue River", "North Bank"]
-    rows = [(str(k), f"{rng.choice(names)} unveils {rng.choice(['giant', 'small'])} {rng.choice(['battery', 'solar'])} plant", [rng.choice(["A", "B"])], rng.choice(["a.com", "b.com"]), f"2024-01-0{1 + k // 12} {k % 12:02d}:00:00") for k in range(60)]
-    df = spark.createDataFrame(rows, "item_id string, title string, categories array<string>, publisher string, at string").select("*", F.to_timestamp("at").alias("published_at"), F.lit("x").alias("block"))
+    rows = [(str(k), f"{rng.choice(names)} unveils {rng.choice(['giant', 'small'])} {rng.choice(['battery', 'solar'])} plant", [rng.choice(["A", "B"])], rng.choice(["a.com", "b.com", None]), f"2024-01-0{1 + k // 12} {2 * (k % 12):02d}:00:00" if k % 25 else None, rng.choice(["x", "y"])) for k in range(108)]
+    df = spark.createDataFrame(rows, "item_id string, title string, categories array<string>, publisher string, at string, block string").select("*", F.to_timestamp("at").alias("published_at"))
     batch = {(r.item_id, r.story_id) for r in clustering.cluster_stories(df, ["block"]).collect()}
-    for day in range(5):
-        df.filter(F.dayofmonth("published_at") == day + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = jobs.drained(clusters.cluster_stream(stream, "block"), f"{tmp_path}/out", f"{tmp_path}/c")
-    assert {(r.item_id, r.story_id) for r in got.collect()} == batch
+    for day in range(9):
+        df.filter(F.coalesce(F.dayofmonth("published_at"), F.lit(1)) == day + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        got = jobs.drained(clusters.cluster_stream(stream, "block"), f"{tmp_path}/out", f"{tmp_path}/c")
+        assert {(r.item_id, r.story_id) for r in got.collect()} == batch and len(batch) == 108
+        left = spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "live").load()
+        # Only clusters of the last window are still there, each in a row of its own.
+        assert 0 < left.count() < len({s for _, s in batch}) / 2
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_subject_survival_reads_the_whole_seed(spark, tmp_path):
