@@ -9,23 +9,44 @@ from ..functions import text
 from .gates import relationship
 
 
-def similar_titles(queries: DataFrame, recent: DataFrame, query_id: str, recent_id: str, query_title: Column, recent_title: Column, least: float = 0.10) -> DataFrame:
+def _keys(n: int | Column, words: Column, least: float, frequent: int) -> Column:
+    """Keys under which a word set, rare words first with their counts, can meet a partner."""
+    rare, hot = F.filter(words, lambda x: x["n"] <= frequent), F.transform(F.filter(words, lambda x: x["n"] > frequent), lambda x: x["word"])
+    prefix = F.slice(words, F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)
+    single = F.transform(F.array_intersect(prefix, rare), lambda x: F.concat(F.lit("1 "), x["word"]))
+    sorted_hot = F.array_sort(hot)
+    pairs = F.flatten(F.transform(sorted_hot, lambda w, i: F.transform(F.slice(sorted_hot, i + 2, F.size(hot)), lambda v: F.concat(F.lit("2 "), w, F.lit(" "), v))))
+    small = F.when(n < int((1 + least) / least + 1e-9), F.transform(hot, lambda w: F.concat(F.lit("0 "), w))).otherwise(F.array().cast("array<string>"))
+    return F.concat(single, pairs, small)
+
+
+def similar_titles(queries: DataFrame, recent: DataFrame, query_id: str, recent_id: str, query_title: Column, recent_title: Column, least: float = 0.10, frequent: int = 1000) -> DataFrame:
     """Pairs whose word sets reach ``least`` by Jaccard.
 
-    Words are ordered from rare to frequent.  A set of n words must share one of
-    its first ``n - ceil(least n) + 1`` with a partner, so pairs meet through
-    these alone and the most frequent words never bring all titles together.
+    Sets of q and r words reach it only with ``least (q + r) / (1 + least)``
+    words in common, and only if neither is shorter than ``least`` of the other.
+    A pair meets through
+
+    * a word that at most ``frequent`` titles hold, among the first
+      ``n - ceil(least n) + 1`` of its n words from rare to frequent: sets that
+      reach the bar share one of these;
+    * or, if all common words are frequent, two of them: so no frequent word by
+      itself brings its titles together, and its rows are split by the others;
+    * or one frequent word, where that alone reaches the bar: only sets of
+      ``q + r <= (1 + least) / least`` words, all of which are results.
     """
     q = queries.select(F.col(query_id).alias("id"), text.similarity_words(query_title).alias("w"), F.lit(True).alias("asks"))
     r = recent.select(F.col(recent_id).alias("id"), text.similarity_words(recent_title).alias("w"), F.lit(False).alias("asks"))
     every = q.unionByName(r).filter("size(w) > 0")
     words = every.select("id", "asks", F.explode("w").alias("word"))
-    ordered = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id", "asks").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("w"))
-    first = ordered.withColumn("word", F.explode(F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least - 1e-9).cast("int") + 1)))
-    asked = first.filter("asks").select(F.col("id").alias("query_id"), F.col("w").alias("q"), "word")
-    known = first.filter("not asks").select(F.col("id").alias("recent_id"), F.col("w").alias("r"), "word")
+    ordered = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id", "asks").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("x"))
+    keyed = ordered.select("id", "asks", F.transform("x", lambda x: x["word"]).alias("w"), F.explode(_keys(F.size("x"), F.col("x"), least, frequent)).alias("key"))
+    asked = keyed.filter("asks").select(F.col("id").alias("query_id"), F.col("w").alias("q"), "key")
+    known = keyed.filter("not asks").select(F.col("id").alias("recent_id"), F.col("w").alias("r"), "key")
+    sizes = F.least(F.size("q"), F.size("r")) >= least * F.greatest(F.size("q"), F.size("r")) - 1e-9
+    one = ~F.col("key").startswith("0") | (F.size("q") + F.size("r") <= (1 + least) / least + 1e-9)
     shared = F.size(F.array_intersect("q", "r"))
-    scored = asked.join(known, "word").select("query_id", "recent_id", (shared / (F.size("q") + F.size("r") - shared)).alias("score")).filter(F.col("score") >= least).distinct()
+    scored = asked.join(known, "key").filter(sizes & one).select("query_id", "recent_id", (shared / (F.size("q") + F.size("r") - shared)).alias("score")).filter(F.col("score") >= least).distinct()
     return scored.select("query_id", "recent_id", F.round("score", 6).alias("score"), relationship(F.col("score")).alias("relationship"))
 
 
@@ -59,6 +80,28 @@ def coverage(sentences: DataFrame, claims: DataFrame, least: float = 0.85) -> Da
     return s.select("sentence_id").join(best, "sentence_id", "left").select("sentence_id", F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"), (F.coalesce("coverage", F.lit(0.0)) >= least).alias("passes"))
 
 
+def gate(sentences: DataFrame, claims: DataFrame, least: float = 0.85) -> DataFrame:
+    """(sentence_id, claim_id, coverage) of sentences of which one claim holds ``least`` of the tokens: the claim that holds most (ties: smallest id).
+
+    A claim that holds k of n tokens holds one of any n - k + 1, so sentences
+    look only for their n - ceil(least n) + 1 tokens that the fewest claims
+    have; a frequent token meets no claims unless a sentence has no rarer ones.
+    Sentences and claims without tokens meet nothing.
+    """
+    s = sentences.select("sentence_id", text.claim_tokens(F.col("sentence")).alias("s_tokens")).filter("size(s_tokens) > 0")
+    c = claims.select("claim_id", text.claim_tokens(F.col("claim")).alias("c_tokens"))
+    held = c.select("claim_id", "c_tokens", F.explode("c_tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = s.select("sentence_id", "s_tokens", F.explode("s_tokens").alias("token")).join(counts, "token", "left").groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("x"), F.first("s_tokens").alias("s_tokens"))
+    size = F.size("x")
+    asked = ranked.select("sentence_id", "s_tokens", F.explode(F.slice("x", F.lit(1), size - F.ceil(size * least - 1e-9).cast("int") + 1)).alias("p")).filter("p.n > 0").select("sentence_id", "s_tokens", F.col("p.token").alias("token"))
+    share = F.size(F.array_intersect("s_tokens", "c_tokens")) / F.size("s_tokens")
+    met = asked.join(held, "token").select("sentence_id", "claim_id", share.alias("coverage")).filter(F.col("coverage") >= least)
+    # The smallest id among the largest shares: the maximum of (share, id reversed) has no form for all types, so two steps.
+    best = met.groupBy("sentence_id").agg(F.max("coverage").alias("coverage"))
+    return met.join(best, ["sentence_id", "coverage"]).groupBy("sentence_id").agg(F.min("claim_id").alias("claim_id"), F.round(F.first("coverage"), 6).alias("coverage")).select("sentence_id", "claim_id", "coverage")
+
+
 def share_ngram(left: DataFrame, right: DataFrame, left_text: Column, n: int, right_text: Column) -> DataFrame:
     """Rows of ``left`` that share a word n-gram with any row of ``right``."""
     grams = right.select(F.explode(text.word_ngrams(right_text, n)).alias("gram")).distinct()

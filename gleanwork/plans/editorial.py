@@ -188,6 +188,13 @@ def p03(s, d):
     return similar.coverage(asked, claims)
 
 
+def p03_gate(s, d):
+    """Sentences of all documents against the benchmark's texts as claims."""
+    claims = read(s, d, "benchmark").select(C("item_id").alias("claim_id"), C("text").alias("claim"))
+    parts = read(s, d, "documents").select("doc_id", F.posexplode(text.plain_sentences(C("text"))).alias("pos", "sentence"))
+    return similar.gate(parts.select(F.concat_ws("-", "doc_id", "pos").alias("sentence_id"), "sentence"), claims)
+
+
 _DISTINCT = "(SELECT DISTINCT claim_text FROM {})"
 
 
@@ -296,6 +303,7 @@ QUERIES = {
     "a17_claim_sets": (a17, f"SELECT story_id, coalesce(string_agg(claim_id, ',' ORDER BY claim_id) FILTER ({OK}), '') AS supported, coalesce(string_agg(claim_id, ',' ORDER BY claim_id) FILTER (NOT {OK}), '') AS unsupported FROM {VE} GROUP BY 1"),
     "a21_all_claims_supported": (a21, f"SELECT story_id, coalesce(bool_and({OK}), false) AND NOT bool_or(story_id % 4 = 0 AND claim_id = 'c1') AS all_supported FROM {VE} GROUP BY 1"),
     "a22_post_claim_ids": (a22, f"{_DOC}, h AS (SELECT a.story_id, list_transform(list_filter(claims, lambda q: len(t) > 0 AND list_contains(draft_claim_ids, q.id) AND len(list_filter(t, lambda w: NOT list_contains(q.t, w))) = 0), lambda q: q.id) AS ids FROM a JOIN p USING (story_id)) SELECT p.story_id, coalesce(array_to_string(list_sort(list_distinct(flatten(x))), ','), '') AS claim_ids FROM p LEFT JOIN (SELECT story_id, list(ids) AS x FROM h GROUP BY 1) USING (story_id)"),
+    "p03_gate": (p03_gate, None),
     "p03_similarity_gate": (p03, f"WITH c AS (SELECT {claim_tokens_sql('claim_text')} AS ct FROM {_DISTINCT.format(CL)}), s AS (SELECT story_id, {claim_tokens_sql('post')} AS t FROM {PO}) SELECT story_id AS sentence_id, round(max(len(list_intersect(t, ct)) / len(t)), 6) AS coverage, max(len(list_intersect(t, ct)) / len(t)) >= 0.85 AS passes FROM s, c WHERE len(t) > 0 GROUP BY 1"),
     "p05_claim_support": (p05, f"WITH a AS (SELECT story_id, source_id, max({_RANK}) AS rank FROM {AS} GROUP BY 1, 2), l AS (SELECT story_id, claim_id, unnest(evidence_ids) AS evidence_id FROM {CL}), m AS (SELECT c.story_id, c.claim_id, avg(coalesce(rank, 0) / 4) AS strength, count(DISTINCT e.source_id) AS diversity, date_diff('day', max(published_at)::DATE, DATE '2002-01-01') AS recency_days FROM {CL} c LEFT JOIN l ON l.story_id = c.story_id AND l.claim_id = c.claim_id LEFT JOIN {EV} e ON e.story_id = c.story_id AND e.evidence_id = l.evidence_id LEFT JOIN a ON a.story_id = e.story_id AND a.source_id = e.source_id GROUP BY 1, 2), v AS (SELECT story_id, claim_id, avg(({OK})::INT) AS agreement, avg((upper(status) = 'CONTRADICTED')::INT) AS contradiction FROM {VE} GROUP BY 1, 2) SELECT story_id, claim_id, round(strength, 6) AS strength, agreement, contradiction, diversity, recency_days::INT AS recency_days FROM m JOIN v USING (story_id, claim_id)"),
 }
