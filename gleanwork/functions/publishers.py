@@ -46,7 +46,7 @@ def _unwrapped(code: str | None) -> str | None:
         for m in _ADDRESS.finditer(raw):
             found = m.group().decode("ascii")
             host = found.split("/")[2].lower()
-            if host and not host.endswith("google.com"):
+            if host and host != "google.com" and not host.endswith(".google.com"):
                 return found
     return None
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, taxonomy, text, urls
-from ..operators import clustering, dedup, gates, html, similar, tables
+from ..operators import clustering, dedup, gates, html, search, similar, tables
 from .scalars import CANONICAL, CLEAN, HOST, SIGNALS, SIGNATURE, TITLED, as_of, categories_sql, read, titled
 
 C = F.col
@@ -269,6 +269,44 @@ def a14(s, d):
     return one.groupBy("l_orderkey").agg(F.array_join(suppliers, ",").alias("suppliers"), F.min("first").alias("first"), F.sum("n").alias("n"))
 
 
+def dated_documents(s, d):
+    """documents as articles with times of events of the same id; those without an event have none."""
+    event = read(s, d, "events").select(C("event_id").alias("doc_id"), C("ts").alias("published_at"))
+    return titled(s, d).select("doc_id", "title", "text", "lang", "source").join(event, "doc_id", "left")
+
+
+DATED = f"(SELECT t.doc_id, t.title, t.text, t.lang, t.source, e.ts AS published_at FROM {TITLED} t LEFT JOIN events e ON e.event_id = t.doc_id)"
+_NAMES = {"id": "doc_id", "language": "lang"}
+
+
+def f26_span(s, d):
+    return search.Search(language="en", span="36h", as_of="2024-01-03 12:00:00", columns=_NAMES).run(dated_documents(s, d)).select("doc_id")
+
+
+def f27_search(s, d):
+    wanted = search.Search(include_domains=("example.org", "example.com"), exclude_domains=("blog.example.org", "shop.example.com"), columns={"id": "page_id", "text": "html", "title": "url", "published_at": "page_id"})
+    return wanted.run(read(s, d, "pages")).select("page_id")
+
+
+def f28_top(s, d):
+    return search.Search(text='the "of the" is', order="TOP", limit=40, columns=_NAMES).run(dated_documents(s, d)).select("doc_id", "score")
+
+
+def f28_tag(s, d):
+    tagged = dated_documents(s, d).withColumn("tags", F.array("source", F.concat(F.lit("lang "), "lang")))
+    return search.Search(tag="#SRC3", since="2024-01-01 06:00:00", until="2024-01-02 18:00:00", columns=_NAMES).run(tagged).select("doc_id")
+
+
+def _has(term):
+    return lambda c: f"regexp_matches(lower({c}), '(?:^|[^\\p{{L}}\\p{{N}}_]){term}(?:[^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+_TERMS = [_has("the"), _has("of\\s+the"), _has("is")]
+_SCORE = " + ".join(f"CASE WHEN {t('title')} THEN 2 ELSE 0 END + CASE WHEN {t('text')} THEN 1 ELSE 0 END" for t in _TERMS)
+_BOTH = " AND ".join(t("concat_ws(chr(10), title, text)") for t in _TERMS)
+F28_TOP = f"SELECT doc_id, ({_SCORE})::INT AS score FROM {DATED} WHERE {_BOTH} ORDER BY score DESC, published_at DESC NULLS LAST, doc_id LIMIT 40"
+
+
 def a18(s, d):
     return read(s, d, "documents").groupBy("lang").agg(F.sum(F.length("text")).alias("characters"), F.count("*").alias("n"))
 
@@ -412,6 +450,10 @@ QUERIES = {
     "f17_subject_survival": (f17, None),
     "f20_eligibility": (f20, "SELECT l_orderkey, concat_ws(',', CASE WHEN NOT count(DISTINCT l_suppkey) >= 2 THEN 'domains' END, CASE WHEN NOT bool_and(l_discount <= 0.1) THEN 'supported' END, CASE WHEN max(l_shipdate) < '1998-01-01' THEN 'fresh' END) AS failed, count(DISTINCT l_suppkey) >= 2 AND bool_and(l_discount <= 0.1) AND max(l_shipdate) >= '1998-01-01' AS eligible FROM lineitem GROUP BY 1"),
     "f26_search_predicates": (f26, "SELECT doc_id FROM documents WHERE lang = 'fr' AND n_chars BETWEEN 500 AND 3000"),
+    "f26_search_span": (f26_span, f"SELECT doc_id FROM {DATED} WHERE lang = 'en' AND published_at BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-03 12:00:00'"),
+    "f27_search_domains": (f27_search, f"SELECT page_id FROM pages WHERE regexp_matches({HOST}, '(^|\\.)example\\.(org|com)$') AND NOT regexp_matches({HOST}, '(^|\\.)(blog\\.example\\.org|shop\\.example\\.com)$')"),
+    "f28_search_top": (f28_top, F28_TOP),
+    "f28_search_tag": (f28_tag, f"SELECT doc_id FROM {DATED} WHERE source = 'src3' AND published_at >= TIMESTAMP '2024-01-01 06:00:00' AND published_at < TIMESTAMP '2024-01-02 18:00:00'"),
     "f27_domains": (f27, f"SELECT page_id FROM pages WHERE regexp_matches({HOST}, '(^|\\.)example\\.org$') AND NOT starts_with({HOST}, 'blog.')"),
     "f28_keyword_search": (f28, "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND contains(text, 'the ') ORDER BY conv_id DESC, turn DESC LIMIT 50"),
     "j01_story_items": (j01, "SELECT o_orderpriority, p_type, count(*) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"),

@@ -133,10 +133,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def latest_table(spark: SparkSession, root: str) -> DataFrame:
-    """The newest snapshot folder under ``root`` that carries its success mark; names sort by time."""
+    """The newest snapshot folder under ``root`` that carries its success mark: the largest number among numbered folders, else the last name."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     marked = [s.getPath() for s in fs.listStatus(fs_path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     if not marked:
         raise FileNotFoundError(f"no finished snapshot under {root}")
-    return spark.read.parquet(max(p.toString() for p in marked))
+    newest = max(marked, key=lambda p: (p.getName().isdigit(), int(p.getName()) if p.getName().isdigit() else 0, p.getName()))
+    return spark.read.parquet(newest.toString())
