@@ -11,8 +11,9 @@ least shared pivot, by cosine in double precision.
 
 The length of descriptions is ``PREFIX`` or more: links of ``TRIALS`` sampled
 vectors with all others, and pairs made to lie just at the threshold, must be
-candidates at a rate of ``RECALL``.  Vectors of a length that ``BLOCK`` or fewer
-share need no pivots: they are one list, and so all candidates of each other.
+candidates at a rate of ``RECALL``; where the sample is the whole table, so that
+its links are all there are, each of them must.  This holds at every size: a
+small table has fewer pivots and goes the same way.
 
 A list may be very long (a third of all rows may be near copies): lists are
 cut into blocks of ``BLOCK`` members and pairs of blocks become tasks of their
@@ -44,11 +45,13 @@ SHARED = 2
 BLOCK = 2048
 FEWEST_PIVOTS = 64
 RECALL = 0.995
-TRIALS = 256
+TRIALS = 512
 #: Of the links that a batch of rows has with the sampled vectors, so many are looked at.
 LINKS_AT_ONCE = 512
 ROUNDS = 8
 PIVOTS_AT_ONCE = 1024
+#: Similarities of so many pairs of a row and a pivot are in memory at a time.
+CELLS_AT_ONCE = 1 << 21
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -58,11 +61,26 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _blocks(rows: int, pivots: int) -> list[slice]:
+    step = max(1, CELLS_AT_ONCE // max(1, pivots))
+    return [slice(k, k + step) for k in range(0, rows, step)]
+
+
 def describe(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
     """The nearest pivots of each unit vector, nearest first; ties go to the lower pivot."""
-    near = vectors @ pivots.T
     take = min(prefix, len(pivots))
-    return np.argsort(-near, axis=1, kind="stable")[:, :take].astype(np.int32)
+    out = np.empty((len(vectors), take), np.int32)
+    for rows in _blocks(len(vectors), len(pivots)):
+        far = -(vectors[rows] @ pivots.T)
+        # The furthest of those taken; what lies nearer is in, and of those at that distance the lowest.
+        last = np.partition(far, take - 1, axis=1)[:, take - 1 : take]
+        room = take - (far < last).sum(axis=1, keepdims=True)
+        level = far == last
+        held = (far < last) | level & (np.cumsum(level, axis=1) <= room)
+        names = np.nonzero(held)[1].reshape(-1, take)
+        order = np.argsort(np.take_along_axis(far, names, axis=1), axis=1, kind="stable")
+        out[rows] = np.take_along_axis(names, order, axis=1)
+    return out
 
 
 def number_of_pivots(n: int) -> int:
@@ -90,9 +108,12 @@ def thinned(kept: np.ndarray, drawn: np.ndarray, most: float, wanted: int) -> np
 
 def needed_prefix(x: np.ndarray, y: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The shortest descriptions with which x_i and y_i are candidates."""
-    rank = [np.argsort(np.argsort(-(v @ pivots.T), axis=1, kind="stable"), axis=1) for v in (x, y)]
     shared = min(SHARED, len(pivots)) - 1
-    return np.partition(np.maximum(*rank), shared, axis=1)[:, shared] + 1
+    out = np.empty(len(x), np.int64)
+    for rows in _blocks(len(x), len(pivots)):
+        rank = [np.argsort(np.argsort(-(v[rows] @ pivots.T), axis=1, kind="stable"), axis=1) for v in (x, y)]
+        out[rows] = np.partition(np.maximum(*rank), shared, axis=1)[:, shared] + 1
+    return out
 
 
 def enough(needed: np.ndarray, weight: np.ndarray, target: float = RECALL) -> int:
@@ -120,15 +141,17 @@ def _draw(classes: DataFrame, n: int, dim: int, least: float) -> np.ndarray:
             for batch in batches:
                 if batch.num_rows and len(shared.value):
                     x = unit_rows(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, dim))
-                    batch = batch.filter(pa.array((x @ shared.value.T).max(axis=1) < most))
+                    near = [(x[rows] @ shared.value.T).max(axis=1) for rows in _blocks(len(x), len(shared.value))]
+                    batch = batch.filter(pa.array(np.concatenate(near) < most))
                 yield batch
 
         left = spots.mapInArrow(far, spots.schema)
     return kept
 
 
-def _prefix_for_recall(classes: DataFrame, pivots: np.ndarray, dim: int, least: float) -> int:
+def _prefix_for_recall(classes: DataFrame, n: int, pivots: np.ndarray, dim: int, least: float) -> int:
     """Prefix that makes links candidates at the target rate: of all sampled links, of a sampled vector on average, and at the threshold."""
+    whole = n <= TRIALS
     labels = classes.withColumn("h", F.xxhash64("label"))
     trials = labels.select("cid", "h", "v").orderBy(F.xxhash64("bits", F.lit(1))).limit(TRIALS).collect()
     q = unit_rows(np.array([r["v"] for r in trials]))
@@ -150,7 +173,7 @@ def _prefix_for_recall(classes: DataFrame, pivots: np.ndarray, dim: int, least:
             same = (batch.column("h").to_numpy()[:, None] == h) & (batch.column("cid").to_numpy()[:, None] != cid)
             i, j = np.nonzero((x @ q.T >= least) & same)
             if len(i):
-                take = np.linspace(0, len(i) - 1, min(len(i), LINKS_AT_ONCE)).astype(int)
+                take = np.arange(len(i)) if whole else np.linspace(0, len(i) - 1, min(len(i), LINKS_AT_ONCE)).astype(int)
                 needed = needed_prefix(x[i[take]], q[j[take]], pivots)
                 yield pa.RecordBatch.from_arrays([pa.array(j[take], pa.int64()), pa.array(needed, pa.int64()), pa.array(np.full(len(take), len(i) / len(take)))], names=["q", "needed", "weight"])
 
@@ -158,7 +181,7 @@ def _prefix_for_recall(classes: DataFrame, pivots: np.ndarray, dim: int, least:
     if found:
         q, needed, weight = np.array([tuple(r) for r in found]).T
         each = weight / np.bincount(q.astype(int), weight)[q.astype(int)]
-        prefix = max(prefix, enough(needed, weight), enough(needed, each))
+        prefix = max(prefix, int(needed.max())) if whole else max(prefix, enough(needed, weight), enough(needed, each))
     return prefix
 
 
@@ -207,10 +230,10 @@ def near_duplicates(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id",
     same = good.groupBy("bits").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = materialize(same.select(F.monotonically_increasing_id().alias("cid"), "bits", "rep", "weight", "label", "v", F.size("v").alias("dim")), "vector-classes")
     plan: dict[int, tuple[np.ndarray, int]] = {}
-    for dim, n in classes.groupBy("dim").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).collect():
+    for dim, n in classes.groupBy("dim").agg(F.count("*").alias("n")).collect():
         mine = classes.filter(F.col("dim") == dim)
         drawn = _draw(mine, n, dim, least)
-        plan[dim] = drawn, _prefix_for_recall(mine, drawn, dim, least)
+        plan[dim] = drawn, _prefix_for_recall(mine, n, drawn, dim, least)
     pivots = spark.sparkContext.broadcast(plan)
     kind = dict(classes.dtypes)["label"]
 
@@ -222,7 +245,7 @@ def near_duplicates(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id",
             for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
                 x = unit_rows(flat[(stop[own] - dim)[:, None] + np.arange(dim)])
-                near = np.sort(describe(x, *plan_of[dim]), axis=1) if dim in plan_of else np.zeros((len(own), 1), np.int32)
+                near = np.sort(describe(x, *plan_of[dim]), axis=1)
                 rows = batch.take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("label", "dim", "cid", "weight")), pa.array(list(near), pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())], names=["label", "dim", "cid", "weight", "near", "x"])
 
@@ -240,8 +263,7 @@ def near_duplicates(df: DataFrame, least: float = 0.93, vec_id: str = "vec_id",
         own, flat = table.column("own").to_numpy(), np.asarray(table.column("near").combine_chunks().flatten())
         near = flat.reshape(len(own), -1)
         a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        shared = min(SHARED, len(pivots.value[dim][0])) if dim in pivots.value else 1
-        pair = candidates(near[a], near[b], pivot, shared)
+        pair = candidates(near[a], near[b], pivot, min(SHARED, len(pivots.value[dim][0])))
         if low == high:
             pair &= ~np.eye(len(a), dtype=bool)
         return a, b, pair, own

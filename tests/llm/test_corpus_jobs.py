@@ -118,6 +118,34 @@ def test_pivot_index_with_a_third_of_the_vectors_in_one_group(spark):
     assert sum(got.values()) >= 0.99 * alike.sum()
 
 
+def test_descriptions_are_the_nearest_pivots_in_order(monkeypatch):
+    monkeypatch.setattr(pivot_index, "CELLS_AT_ONCE", 50)
+    rng = np.random.default_rng(4)
+    x, pivots = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (17, 3)).astype(float)
+    for take in (1, 5, 17, 30):
+        expected = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, : min(take, 17)]
+        assert (pivot_index.describe(x, pivots, take) == expected).all()
+
+
+def test_registered_pivot_query_draws_pivots_at_every_size(spark, tmp_path, monkeypatch):
+    from gleanwork.llm import queries
+
+    drawn = []
+    draw = pivot_index._draw
+    monkeypatch.setattr(pivot_index, "_draw", lambda *a: drawn.append(len(made := draw(*a))) or made)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 64))
+    x = centres[rng.integers(0, 150, 2600)] + rng.normal(size=(2600, 64)) * rng.choice([0.1, 0.2, 0.27], size=(2600, 1))
+    for n in (1, 2, 60, 2600):
+        spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x[:n])], "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got = {r.vec_id: r.n_links for r in queries.QUERIES["op2_pivot_index"](spark, f"{tmp_path}/{n}").collect()}
+        unit, label = pivot_index.unit_rows(x[:n].astype(np.float32)), np.arange(n) % 2
+        alike = ((unit @ unit.T >= 0.93) & (label[:, None] == label)).sum(axis=1) - 1
+        assert all(got[i] <= k for i, k in enumerate(alike.tolist()))
+        assert sum(got.values()) == alike.sum() if n <= pivot_index.TRIALS else sum(got.values()) >= 0.98 * alike.sum()
+    assert len(drawn) == 4 and min(drawn) >= 1
+
+
 def test_pivot_index_where_all_vectors_are_near(spark):
     x = np.random.default_rng(3).normal(size=(60, 16)) * 0.01 + 1
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
