@@ -1,26 +1,22 @@
 """Article extraction by scored containers, in a cascade, and its merge into landed items.
 
-One pass over a page's tags notes where containers, paragraphs, links and text
-begin and end; what a container holds is then a matter of running sums, however
-deep containers nest.
+Pages become trees (``pagetree``), and every choice is one between nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import publishers, text, urls
-from .html import BOILERPLATE
+from .pagetree import Node, measures, parsed
 
 # Hints that a container holds the article, and how much text counts as enough.
 HINTS = ["article", "main", "content", "post", "story", "entry", "body"]
 SEMANTIC_LEAST, ENOUGH, THIN = 400, 200, 500
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def node_score(length: Column, paragraphs: Column, linked: Column) -> Column:
@@ -28,150 +24,76 @@ def node_score(length: Column, paragraphs: Column, linked: Column) -> Column:
     return length * (1 + 0.1 * paragraphs) * (1 - F.least(linked / F.greatest(length, F.lit(1)), F.lit(0.9)))
 
 
-class _Page(HTMLParser):
-    """Text pieces outside boilerplate, and the spans of containers and paragraphs over them."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.pieces: list[str] = []
-        self.linked: list[bool] = []
-        self.spans: list[list] = []  # tag, hint or role, first piece, piece after the last
-        self.paragraphs: list[list] = []
-        self.open: list[tuple[str, list | None]] = []
-        self.skip = self.link = 0
-        self.meta: dict[str, str] = {}
-        self.head_title: list[str] = []
-        self.in_title = False
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "html" and a.get("lang"):
-            self.meta.setdefault("language", a["lang"])
-        elif tag == "meta" and a.get("content"):
-            self.meta.setdefault(a.get("property") or a.get("name") or "", a["content"].strip())
-        elif tag == "link" and "canonical" in a.get("rel", "").split() and a.get("href"):
-            self.meta.setdefault("canonical", a["href"].strip())
-        self.in_title = self.in_title or tag == "title"
-        if tag in VOID:
-            return
-        span = None
-        if tag == "p":
-            # An open paragraph ends where the next one begins.
-            self._end_paragraph()
-            span = [len(self.pieces), None]
-            self.paragraphs.append(span)
-        elif tag in ("article", "main", "section", "div", "body") or a.get("role") == "main":
-            hint = f"{a.get('class', '')} {a.get('id', '')}".lower()
-            span = [tag if a.get("role") != "main" else "main", any(h in hint for h in HINTS) and tag in ("article", "section", "div"), len(self.pieces), None]
-            self.spans.append(span)
-        self.skip += tag in BOILERPLATE
-        self.link += tag == "a"
-        self.open.append((tag, span))
-
-    def _end_paragraph(self):
-        if self.paragraphs and self.paragraphs[-1][-1] is None:
-            self.paragraphs[-1][-1] = len(self.pieces)
-
-    def _leave(self, tag: str, span: list | None):
-        self.skip -= tag in BOILERPLATE
-        self.link -= tag == "a"
-        if span is not None and span[-1] is None:
-            span[-1] = len(self.pieces)
-
-    def handle_endtag(self, tag):
-        self.in_title = self.in_title and tag != "title"
-        if any(t == tag for t, _ in self.open):
-            while True:
-                t, span = self.open.pop()
-                self._leave(t, span)
-                if t == tag:
-                    break
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.head_title.append(data)
-        elif not self.skip and (said := " ".join(data.split())):
-            self.pieces.append(said)
-            self.linked.append(self.link > 0)
-
-    def finish(self):
-        self.close()
-        while self.open:
-            self._leave(*self.open.pop())
-        self.size, self.links = [0], [0]
-        for piece, link in zip(self.pieces, self.linked, strict=True):
-            self.size.append(self.size[-1] + len(piece) + 1)
-            self.links.append(self.links[-1] + len(piece) * link)
-        self.starts = sorted(s for s, e in self.paragraphs)
-
-
-def _parsed(html: str | None) -> _Page:
-    page = _Page()
-    page.feed(html or "")
-    page.finish()
-    return page
-
-
-def _containers(page: _Page) -> list[tuple[str, bool, int, int, int, int, int]]:
-    """(tag, hinted, length, paragraphs, linked characters, first piece, piece after the last) of each container."""
-    from bisect import bisect_left
-
-    out = []
-    for tag, hinted, a, b in page.spans:
-        out.append((tag, bool(hinted), max(0, page.size[b] - page.size[a] - 1), bisect_left(page.starts, b) - bisect_left(page.starts, a), page.links[b] - page.links[a], a, b))
+def _hinted(node: Node) -> bool:
+    named = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
+    return node.tag in ("article", "section", "div") and any(h in named for h in HINTS)
+
+
+def _containers(root: Node) -> list[dict]:
+    """Every container in the order of the page; ``leads``: the first article, main element or main role, which alone may stand for its kind."""
+    out, seen, of = [], set(), measures(root)
+    for node in root.walk():
+        if isinstance(node, str) or not (node.tag in ("article", "main", "section", "div", "body") or node.attrs.get("role") == "main"):
+            continue
+        kinds = {node.tag} & {"article", "main"} | ({"role"} if node.attrs.get("role") == "main" else set())
+        letters, pieces, paragraphs, linked = of[node]
+        length = letters + max(0, pieces - 1)
+        out.append({"node": node, "tag": node.tag, "hinted": _hinted(node), "length": length, "paragraphs": paragraphs, "linked": linked, "leads": next((k for k in ("article", "main", "role") if k in kinds - seen and letters > SEMANTIC_LEAST), None)})
+        seen |= kinds
     return out
 
 
 def containers(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, tag, hinted, length, paragraphs, linked, score) of every container of every page."""
+    """(key, pos, tag, hinted, leads, length, paragraphs, linked, score) of every container of every page."""
     kind = dict(pages.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, n, *c[:5]) for k, h in zip(frame[key], frame[html], strict=True) for n, c in enumerate(_containers(_parsed(h)))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "tag", "hinted", "length", "paragraphs", "linked"])
+            names = ["tag", "hinted", "leads", "length", "paragraphs", "linked"]
+            rows = [(k, n, *(c[x] for x in names)) for k, h in zip(frame[key], frame[html], strict=True) for n, c in enumerate(_containers(parsed(h)[0]))]
+            yield pd.DataFrame(rows, columns=[key, "pos", *names])
 
-    found = pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, tag string, hinted boolean, length long, paragraphs long, linked long")
+    found = pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, tag string, hinted boolean, leads string, length long, paragraphs long, linked long")
     return found.withColumn("score", node_score(F.col("length"), F.col("paragraphs"), F.col("linked")))
 
 
 def chosen_containers(found: DataFrame, key: str = "page_id") -> DataFrame:
-    """The container of each page: the first article, else main, of over 400 characters; else the best hinted one; else the best div, else the body.
+    """The container of each page: its first article, else its first main element, else its first main role, if of over 400 letters; else the best hinted one; else the best div, else the body.
 
-    Of equal scores the first counts.
+    Only the first of a kind counts: a short first article does not pass its
+    place to a longer second one.  Of equal scores the first counts.
     """
-    semantic = F.col("tag").isin("article", "main") & (F.col("length") > SEMANTIC_LEAST)
-    tier = F.when(semantic & (F.col("tag") == "article"), 4).when(semantic, 3).when(F.col("hinted"), 2).when(F.col("tag") == "div", 1).otherwise(0)
+    tier = F.when(F.col("leads") == "article", 5).when(F.col("leads") == "main", 4).when(F.col("leads") == "role", 3).when(F.col("hinted"), 2).when(F.col("tag") == "div", 1).otherwise(0)
+    # A section or short article without a hint is never chosen.
+    able = (tier > 0) | (F.col("tag") == "body")
     rank = F.struct(tier.alias("tier"), F.when(tier >= 3, 0.0).otherwise(F.col("score")).alias("score"), (-F.col("pos")).alias("place"))
-    return found.groupBy(key).agg(F.max_by(F.struct("pos", "tag", "length", "paragraphs", "linked", "score"), rank).alias("c")).select(key, "c.*")
+    return found.filter(able).groupBy(key).agg(F.max_by(F.struct("pos", "tag", "length", "paragraphs", "linked", "score"), rank).alias("c")).select(key, "c.*")
 
 
-def _best(found: list[tuple]) -> tuple | None:
-    first = [c for tag in ("article", "main") for c in found if c[0] == tag and c[2] > SEMANTIC_LEAST]
-    if first:
-        return first[0]
+def _best(root: Node) -> Node:
+    found = _containers(root)
+    for kind in ("article", "main", "role"):
+        for c in found:
+            if c["leads"] == kind:
+                return c["node"]
 
-    def score(c):
-        return c[2] * (1 + 0.1 * c[3]) * (1 - min(c[4] / max(c[2], 1), 0.9))
+    def score(c: dict) -> float:
+        return c["length"] * (1 + 0.1 * c["paragraphs"]) * (1 - min(c["linked"] / max(c["length"], 1), 0.9))
 
-    pool = [c for c in found if c[1]] or [c for c in found if c[0] == "div"] or [c for c in found if c[0] == "body"]
-    return max(pool, key=score) if pool else None
+    pool = [c for c in found if c["hinted"]] or [c for c in found if c["tag"] == "div"] or [c for c in found if c["tag"] == "body"]
+    return max(pool, key=score)["node"] if pool else root
 
 
 def parsed_article(html: str | None) -> dict[str, str | None]:
     """Title, author, date, canonical address, language and text (paragraphs of the chosen container, else its raw text) of one page."""
-    page = _parsed(html)
-    m = page.meta
-    best = _best(_containers(page)) or (None, False, 0, 0, 0, 0, len(page.pieces))
-    a, b = best[5], best[6]
-    own = [" ".join(page.pieces[s:e]) for s, e in page.paragraphs if a <= s < b]
-    body = "\n\n".join(p for p in own if p) or "\n".join(page.pieces[a:b])
-    whole = "\n".join(page.pieces)
+    root, m = parsed(html)
+    best = _best(root)
+    own = "\n\n".join(said for p in best.all("p") if (said := p.text()))
     return {
-        "title": m.get("og:title") or m.get("twitter:title") or " ".join("".join(page.head_title).split()) or None,
+        "title": m.get("og:title") or m.get("twitter:title") or m.get("<title>") or None,
         "author": m.get("author") or m.get("article:author"),
         "published": m.get("article:published_time") or m.get("pubdate") or m.get("publishdate") or m.get("date"),
-        "canonical": m.get("canonical"), "language": m.get("language"), "text": body, "paragraph_text": "\n\n".join(p for p in own if p), "whole": whole,
+        "canonical": m.get("canonical"), "language": m.get("language"), "text": own or best.text("\n"), "paragraph_text": own, "whole": root.text("\n"),
     }
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOILERPLATE = {"script", "style", "noscript", "template", "nav", "aside", "footer", "header", "form", "iframe", "svg"}
+from .pagetree import Node, parsed
+
+#: Tags that begin a line of their own.
+LINES = ("p", "br", "div", "h1", "h2", "h3", "li", "article", "main")
 
 
 def title(html: Column) -> Column:
@@ -20,49 +22,30 @@ def language(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\blang=\"([^\"]*)\"", 1), F.lit(""))
 
 
-class _Blocks(HTMLParser):
-    """Text of paragraphs and of links, outside boilerplate, and of articles apart."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip, self.inside, self.link = 0, 0, 0
-        self.article: list[list[str]] = [[]]
-        self.all: list[list[str]] = [[]]
-        self.linked = 0
-
-    def handle_starttag(self, tag, attrs):
-        self.skip += tag in BOILERPLATE
-        self.inside += tag in ("article", "main")
-        self.link += tag == "a"
-        if tag in ("p", "br", "div", "h1", "h2", "h3", "li", "article", "main"):
-            self.article.append([])
-            self.all.append([])
-
-    def handle_endtag(self, tag):
-        self.skip = max(0, self.skip - (tag in BOILERPLATE))
-        self.inside = max(0, self.inside - (tag in ("article", "main")))
-        self.link = max(0, self.link - (tag == "a"))
-
-    def handle_data(self, data):
-        if self.skip or not data.strip():
-            return
-        self.all[-1].append(data)
-        self.linked += len(data) * bool(self.link)
-        if self.inside:
-            self.article[-1].append(data)
-
-
-def _joined(blocks: list[list[str]]) -> str:
+def _lines(top: Node | None) -> str:
+    """Text of a node, a line for each block."""
+    blocks: list[list[str]] = [[]]
+    for n in top.walk() if top is not None else ():
+        if isinstance(n, str):
+            blocks[-1].append(n)
+        elif n.tag in LINES:
+            blocks.append([])
     return "\n".join(s for s in (" ".join("".join(b).split()) for b in blocks) if s)
 
 
 def extract_one(html: str | None) -> tuple[str, str, float]:
-    """(text, method, share of linked text): the semantic container if it holds 400 characters, else all blocks."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    article, whole = _joined(parser.article), _joined(parser.all)
-    share = min(1.0, parser.linked / max(1, len(whole)))
+    """(text, method, share of linked text): the articles and main elements if they hold 400 characters, else all blocks."""
+    root, _ = parsed(html)
+    outer, waiting = Node("", {}, None), [root]
+    while waiting:
+        n = waiting.pop()
+        if isinstance(n, Node):
+            if n.tag in ("article", "main"):
+                outer.children.append(n)
+            else:
+                waiting.extend(reversed(n.children))
+    article, whole = _lines(outer), _lines(root)
+    share = min(1.0, sum(len(n) for link in root.all("a") for n in link.walk() if isinstance(n, str)) / max(1, len(whole)))
     return (article, "container", share) if len(article) > 400 else (whole, "blocks" if whole else "none", share)
 
 
