@@ -25,8 +25,12 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def story_claims(claims: DataFrame, evidence: DataFrame, verifications: DataFrame) -> DataFrame:
-    """One row for each story: its claims with tokens, whether they are verified and backed by addresses, and the addresses."""
+def story_claims(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """One row for each story: its claims with tokens, whether they are verified and backed by addresses, and the addresses.
+
+    Addresses are those of evidence and of linked ``sources`` (story_id,
+    canonical_url, url), of which the canonical one counts if there is one.
+    """
     checks = verifications.groupBy("story_id", "claim_id").agg(F.bool_or(F.upper("status").isin(SUPPORTED)).alias("verified"))
     links = claims.select("story_id", "claim_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("story_id", "evidence_id", "url"), ["story_id", "evidence_id"], "left")
     backed = links.groupBy("story_id", "claim_id").agg(F.bool_and(F.coalesce(F.col("url").rlike("^https?://"), F.lit(False))).alias("backed"))
@@ -35,7 +39,11 @@ def story_claims(claims: DataFrame, evidence: DataFrame, verifications: DataFram
     no = F.lit(False)
     own = F.struct("claim_id", "tokens", "anchor", F.coalesce("verified", no).alias("verified"), F.coalesce("backed", no).alias("backed"))
     by_story = full.groupBy("story_id").agg(F.array_sort(F.collect_list(own)).alias("claims"))
-    addresses = evidence.filter("url is not null").groupBy("story_id").agg(F.collect_set(F.regexp_replace("url", TRAILING, "")).alias("urls"))
+    known = evidence.select("story_id", "url")
+    if sources is not None:
+        blank = F.lit("")
+        known = known.union(sources.select("story_id", F.coalesce(F.nullif("canonical_url", blank), F.nullif("url", blank))))
+    addresses = known.filter("url is not null").groupBy("story_id").agg(F.collect_set(F.regexp_replace("url", TRAILING, "")).alias("urls"))
     return by_story.join(addresses, "story_id", "left")
 
 
@@ -67,14 +75,14 @@ def _walk(sentences: Column, approved: Column) -> Column:
     return F.aggregate(sentences, start, step)
 
 
-def validated(posts: DataFrame, claims: DataFrame, evidence: DataFrame, verifications: DataFrame, limit: int = 500) -> DataFrame:
+def validated(posts: DataFrame, claims: DataFrame, evidence: DataFrame, verifications: DataFrame, limit: int = 500, sources: DataFrame | None = None) -> DataFrame:
     """``posts`` plus errors (codes in order), mapped_claim_ids and state (PASS or BLOCK).
 
     posts: story_id, post, claim_ids, draft_claim_ids, allowed_claim_ids,
-    seed_title, seed_summary.  The repetition rule stands by itself here: it
+    seed_title, seed_summary; ``sources``: see ``story_claims``.  The repetition rule stands by itself here: it
     looks at every post and not only at posts without other errors.
     """
-    facts = story_claims(claims, evidence, verifications)
+    facts = story_claims(claims, evidence, verifications, sources)
     rows = posts.join(facts, "story_id", "left").withColumns({"claims": F.coalesce("claims", F.array().cast(facts.schema["claims"].dataType)), "urls": F.coalesce("urls", _none()), "post": F.coalesce("post", F.lit(""))})
     rows = rows.withColumns({
         "verified_ids": F.transform(F.filter("claims", lambda c: c["verified"]), lambda c: c["claim_id"]),
@@ -91,7 +99,8 @@ def validated(posts: DataFrame, claims: DataFrame, evidence: DataFrame, verifica
     low, said = F.lower("post"), F.trim("post") != ""
     anchors = F.filter(F.transform(F.filter("claims", lambda c: F.array_contains("allowed_claim_ids", c["claim_id"])), lambda c: c["anchor"]), lambda a: a.isNotNull())
     places = F.sequence(F.lit(0), F.size("sentence_tokens") - 1)
-    again = (F.size("sentence_tokens") > 1) & F.exists(places, lambda i: F.exists(places, lambda j: (i < j) & text.repetitive(F.get("sentence_tokens", i), F.get("sentence_tokens", j))))
+    # Each sentence against those behind it.
+    again = (F.size("sentence_tokens") > 1) & F.exists(places, lambda i: F.exists(F.slice("sentence_tokens", i + 2, F.size("sentence_tokens")), lambda later: text.repetitive(F.get("sentence_tokens", i), later)))
     rules = [
         ("EMPTY_TEXT", ~said),
         ("NOT_UTF8", ~F.is_valid_utf8("post")),

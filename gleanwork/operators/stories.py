@@ -248,11 +248,13 @@ def warnings(similar: DataFrame) -> DataFrame:
     return similar.groupBy("query_id").agg(F.transform(ranked, lambda x: x["line"]).alias("warnings"), F.bool_or(bad).alias("unresolved"))
 
 
-def memory(stories: DataFrame, similar: DataFrame, publications: DataFrame, recent: DataFrame, distribution: DataFrame) -> DataFrame:
+def memory(stories: DataFrame, similar: DataFrame, publications: DataFrame, recent: DataFrame, distribution: DataFrame, most: int = 100) -> DataFrame:
     """One row for each story (id): its similar stories (query_id, id, title, relationship, score), warnings, and the recent publications, stories and category counts that all share.
 
-    The shared parts are as short as their limits; each is one row.
+    The shared parts hold at most ``most`` entries each (of more, the smallest
+    ids or names), so the one row of them that goes to all tasks stays small.
     """
+    publications, recent, distribution = publications.orderBy("id").limit(most), recent.orderBy("id").limit(most), distribution.orderBy("category").limit(most)
     shared = publications.agg(F.collect_list(F.struct("id", "story_id")).alias("recent_publications"))
     shared = shared.join(recent.agg(F.collect_list(F.struct("id", "title")).alias("recent_stories")))
     shared = shared.join(distribution.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_distribution")))
@@ -262,6 +264,28 @@ def memory(stories: DataFrame, similar: DataFrame, publications: DataFrame, rece
     return rows.withColumns({"warnings": F.coalesce("warnings", none), "unresolved": F.coalesce("unresolved", F.lit(False))}).join(F.broadcast(shared))
 
 
+def audit(links: DataFrame, items: DataFrame, order: list[str]) -> DataFrame:
+    """One row for each story (story_id) of its linked items: publishers, providers and queries in the order in which they first appear, the first time, and how many items.
+
+    links: story_id, item_id and the columns of ``order``; items: item_id,
+    publisher_domain, publisher_name, provider, query, published_at.  A
+    publisher is its domain, else its name; blank values are left out; links to
+    unknown items count as sources without facts.  A value is one row for each
+    story before it is gathered, so a story holds its distinct values only.
+    """
+    blank = F.lit("")
+    named = items.select("item_id", F.coalesce(F.nullif("publisher_domain", blank), F.nullif("publisher_name", blank)).alias("publishers"), F.nullif("provider", blank).alias("providers"), F.nullif("query", blank).alias("queries"), "published_at")
+    rows = links.select("story_id", "item_id", F.struct(*order, "item_id").alias("place")).join(named, "item_id", "left")
+    kinds = ["publishers", "providers", "queries"]
+    values = rows.select("story_id", "place", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds])).alias("x")).filter("x.value is not null")
+    firsts = values.groupBy("story_id", "x.kind", "x.value").agg(F.min("place").alias("place"))
+    lists = firsts.groupBy("story_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "value")))), lambda v: v["value"]).alias(k) for k in kinds])
+    dated = F.when(F.col("published_at").isNotNull(), F.struct("place", "published_at"))
+    facts = rows.groupBy("story_id").agg(F.min(dated)["published_at"].alias("published_at"), F.count("*").alias("sources"))
+    none = F.array().cast("array<string>")
+    return facts.join(lists, "story_id", "left").select("story_id", *[F.coalesce(k, none).alias(k) for k in kinds], "published_at", "sources")
+
+
 def replay_attempts(results: DataFrame, group: str, order: list[str], wanted: int) -> DataFrame:
     """Attempts in order, each ATTEMPTED or SKIPPED: they end with a system failure, an unclear publication, or the wanted number of posts."""
     before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -26,6 +26,19 @@ def f15(s, d):
     return done.select("story_id", F.array_join("errors", ",").alias("errors"), F.array_join("mapped_claim_ids", ",").alias("mapped"), "state")
 
 
+def _linked(s, d):
+    p = derived.table(s, d, "posts").select("story_id")
+    first = p.select("story_id", F.when(C("story_id") % 3 == 0, "https://www.pub3.org/a/3.").alias("canonical_url"), F.lit("https://other.org/x").alias("url"))
+    return first.union(p.filter("story_id % 2 = 0").select("story_id", F.lit(""), F.when(C("story_id") % 4 == 0, "https://www.pub1.org/a/1")))
+
+
+def f15_linked(s, d):
+    """All rules, where addresses of a story's linked sources may be named as well."""
+    c, e, v, _ = _all(s, d)
+    done = p_ops.validated(derived.table(s, d, "posts"), c, e, v, 150, _linked(s, d))
+    return done.select("story_id", F.array_join("errors", ",").alias("errors"), "state")
+
+
 def _anchors(ids: str) -> str:
     """The longest word of forecasts' attributions, as the derived table has them."""
     return "CASE WHEN is_forecast AND attribution = 'the Finance Ministry' THEN 'ministry' WHEN is_forecast AND attribution = 'aides' THEN 'aides' END"
@@ -72,6 +85,8 @@ def _errors(names: list[str], limit: int) -> str:
 
 
 _F15 = _errors(list(_RULES), 150)
+_LINKED = f"SELECT story_id, CASE WHEN story_id % 3 = 0 THEN 'https://www.pub3.org/a/3' ELSE 'https://other.org/x' END AS url FROM {PO} UNION ALL SELECT story_id, 'https://www.pub1.org/a/1' FROM {PO} WHERE story_id % 4 = 0"
+_DOC_LINKED = _DOC.replace(f"list(DISTINCT url) AS urls FROM {EV} WHERE url IS NOT NULL GROUP BY 1)", f"list(DISTINCT url) AS urls FROM (SELECT story_id, url FROM {EV} UNION ALL {_LINKED}) WHERE url IS NOT NULL GROUP BY 1)")
 
 
 def f16(s, d):
@@ -282,6 +297,7 @@ SIM = f"""q AS (SELECT id AS query_id, {_TW} AS w FROM {derived.sql('wire')} WHE
  x AS (SELECT query_id, id, len(list_intersect(q.w, k.w)) / len(list_distinct(q.w || k.w)) AS score FROM q, k)"""
 
 QUERIES = {
+    "f15_linked_sources": (f15_linked, f"{_DOC_LINKED} SELECT story_id, {_F15} AS errors, CASE WHEN {_F15} = '' THEN 'PASS' ELSE 'BLOCK' END AS state FROM f"),
     "f15_full_validation": (f15, f"{_DOC} SELECT story_id, {_F15} AS errors, array_to_string(mapped, ',') AS mapped, CASE WHEN {_F15} = '' THEN 'PASS' ELSE 'BLOCK' END AS state FROM f"),
     "f16_simple_validation": (f16, f"{_DOC} SELECT story_id, {_F16} AS errors FROM f"),
     "f18_attribution_survival": (f18, f"SELECT c.story_id, claim_id, CASE attribution WHEN 'the Finance Ministry' THEN contains(lower(post), 'ministry') WHEN 'aides' THEN contains(lower(post), 'aides') ELSE true END AS survives FROM {CL} c JOIN {PO} USING (story_id)"),

@@ -397,6 +397,25 @@ def a23(s, d):
     return stories.restricted_coverage(w, "news.google.com")
 
 
+def a14_audit(s, d):
+    """Orders as stories, their lines as links to wire articles."""
+    links = read(s, d, "lineitem").select(C("l_orderkey").alias("story_id"), C("l_partkey").alias("item_id"), "l_linenumber", "l_suppkey")
+    items = wire(s, d).select(C("id").alias("item_id"), C("source_domain").alias("publisher_domain"), C("source_name").alias("publisher_name"), "provider", F.when(C("id") % 3 != 0, C("raw_category")).alias("query"), "published_at").filter("item_id % 17 <> 0")
+    a = stories.audit(links, items, ["l_linenumber", "l_suppkey"])
+    return a.select("story_id", *[F.array_join(k, ",").alias(k) for k in ("publishers", "providers", "queries")], "published_at", "sources")
+
+
+def _first_seen_list(value: str, name: str) -> str:
+    return f"(SELECT story_id, string_agg(v, ',' ORDER BY place) AS {name} FROM (SELECT story_id, {value} AS v, min(row(l_linenumber, l_suppkey, item_id)) AS place FROM x WHERE {value} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"
+
+
+_A14 = f"""WITH i AS (SELECT id AS item_id, coalesce(nullif(source_domain, ''), nullif(source_name, '')) AS publisher, nullif(provider, '') AS provider, nullif(CASE WHEN id % 3 <> 0 THEN raw_category END, '') AS query, published_at FROM {derived.sql('wire')} WHERE id % 17 <> 0),
+ x AS (SELECT l_orderkey AS story_id, l_partkey AS item_id, l_linenumber, l_suppkey, publisher, provider, query, published_at FROM lineitem LEFT JOIN i ON i.item_id = l_partkey)
+SELECT f.story_id, coalesce(publishers, '') AS publishers, coalesce(providers, '') AS providers, coalesce(queries, '') AS queries, published_at, sources FROM
+ (SELECT story_id, arg_min(published_at, row(l_linenumber, l_suppkey, item_id)) FILTER (published_at IS NOT NULL) AS published_at, count(*) AS sources FROM x GROUP BY 1) f
+ LEFT JOIN {_first_seen_list('publisher', 'publishers')} p USING (story_id) LEFT JOIN {_first_seen_list('provider', 'providers')} q USING (story_id) LEFT JOIN {_first_seen_list('query', 'queries')} r USING (story_id)"""
+
+
 def r16(s, d):
     e = read(s, d, "events").select("event_id", "user_id", "ts", F.when(C("event_type") == "click", "CANDIDATE_REJECTED").when(C("event_type") == "view", "PUBLISHED").otherwise("SYSTEM_ERROR").alias("outcome"))
     return stories.replay_attempts(e, "user_id", ["ts", "event_id"], 2).select("event_id", "state")
@@ -557,6 +576,7 @@ QUERIES = {
     "f08_qualified_candidates": (f08, f"SELECT id, array_to_string(list_filter(t, lambda c: c <> 'SPORTS'), ',') AS categories FROM (SELECT *, list_sort(list_distinct(list_filter([{c01_sql('raw_category', False)}, {c01_sql('other_category', False)}], lambda c: c IS NOT NULL))) AS t FROM {W}) WHERE len(list_filter(t, lambda c: c <> 'SPORTS')) > 0 AND id % 9 > 0 AND published_at <= {MOMENT} + INTERVAL 1 DAY AND published_at >= {MOMENT} - INTERVAL 30 DAY AND CASE WHEN topic_fit IS NOT NULL AND newsworthiness IS NOT NULL THEN topic_fit AND newsworthiness ELSE len({_ALL}) > 0 AND {_NEWSY} END AND NOT list_has_any(list_transform(string_split(title, ' '), lambda w: upper(w)), {_LIST(taxonomy.REJECTED)}) AND NOT list_has_any(list_transform([coalesce(raw_category, ''), coalesce(other_category, '')], lambda w: replace(replace(upper(trim(w)), ' ', '_'), '-', '_')), {_LIST(taxonomy.REJECTED)})"),
     "f25_run_outcome": (f25, f"SELECT id, CASE o WHEN 'PASS' THEN CASE WHEN id % 4 = 0 THEN 'DRY_RUN' ELSE 'SYSTEM_ERROR' END WHEN 'BLOCKED' THEN CASE WHEN id % 4 = 1 THEN 'RECOVERY_REQUIRED' ELSE 'SYSTEM_ERROR' END WHEN 'ESCALATE' THEN 'SYSTEM_ERROR' ELSE o END AS outcome FROM (SELECT id, (['PASS', 'BLOCKED', 'ESCALATE', 'PUBLISHED', 'CANDIDATE_REJECTED', 'SYSTEM_ERROR'])[(id % 6 + 1)::INT] AS o FROM {W})"),
     "f29_recency_buckets": (f29, "SELECT event_type, " + ", ".join(f"count(*) FILTER (ts <= {MOMENT} AND ts >= {MOMENT} - INTERVAL {n} DAY) AS last_{b}" for b, n in (("d", 1), ("w", 7), ("m", 30), ("y", 365))) + " FROM events GROUP BY 1"),
+    "a14_ingest_audit": (a14_audit, _A14),
     "h04_containers": (h04, None),
     "h06_cascade": (h06, None),
     "h07_enriched_items": (h07, None),
