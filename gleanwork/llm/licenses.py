@@ -14,9 +14,13 @@ first of its last one (words outside add nothing), so the stretches that start
 with one bigram never overlap, and a text costs its length times the number of
 a template's bigrams at most, however often it repeats itself.
 
+Templates of one family hold much of each other, so one stretch may match
+several: of matches that overlap, the one of highest Dice stands (ties: the
+longest, then the first template), and one stretch has one licence.
+
 Templates are those in ``TEMPLATES`` and the texts beside this file; others can
 be given.  Defined results: null and empty texts match nothing, an empty table
-gives an empty one; one row for each document and template, with the best
+gives an empty one; one row for each document and template that stands, with its best
 stretch (of equals the one that starts first; places count the words of the
 text without copyright lines, unless only the text with them matches as well);
 repeated rows give repeated rows; other columns are not read.
@@ -147,6 +151,16 @@ class LicenseMatcher:
                     found[m[0]] = m
         return [found[name] for name in self.names if name in found]
 
+    def identify(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """The matches of ``match_anywhere`` that stand: none overlaps a better one that does."""
+        found = self.match_anywhere(text)
+        place = {name: k for k, name in enumerate(self.names)}
+        standing: list[tuple[str, float, int, int]] = []
+        for m in sorted(found, key=lambda m: (-m[1], m[2] - m[3], place[m[0]])):
+            if all(m[3] <= s[2] or s[3] <= m[2] for s in standing):
+                standing.append(m)
+        return sorted(standing, key=lambda m: place[m[0]])
+
     def match(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, Dice, first word, word after the last) of the best stretch of whole lines for each template that matches."""
         return self._match(normalized(text) if text else [], whole_lines=True)
@@ -253,13 +267,13 @@ def _best_anywhere(text: _Repeats, place: np.ndarray, size: int, few: int, need:
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, license, dice, word_start and word_end of every match."""
+    """doc_id, license, dice, word_start and word_end of every match that stands."""
     shared = df.sparkSession.sparkContext.broadcast(LicenseMatcher(templates, least))
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d, *m) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in shared.value.match_anywhere(t)]
+            found = [(d, *m) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in shared.value.identify(t)]
             columns = list(zip(*found, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "license", "dice", "word_start", "word_end"])

@@ -75,7 +75,7 @@ def test_op2(spark, sf_dir, got):
 
 def test_op3(texts, got):
     matcher = licenses.LicenseMatcher()
-    expected = {(i, name): dice for i, t in texts.items() for name, dice, _, _ in matcher.match_anywhere(t)}
+    expected = {(i, name): dice for i, t in texts.items() for name, dice, _, _ in matcher.identify(t)}
     assert {(r.doc_id, r.license): r.dice for r in got("op3_license_scan")} == pytest.approx(expected)
 
 

@@ -359,3 +359,30 @@ def test_licenses_in_documents_without_line_breaks(spark):
     rows = [(1, f"{filler} Released under the MIT License. {filler}"), (2, f"{filler} {mit} {filler}"), (3, f"Copyright (c) 2020 A {mit}"), (4, "Copyright 2020 A. Released under the MIT License."), (5, f"{filler} under the license {filler}")]
     got = {(r.doc_id, r.license, r.dice) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT notice", 1.0), (2, "MIT", 1.0), (3, "MIT", 1.0), (4, "MIT notice", 1.0)}
+
+
+@pytest.mark.parametrize("name", list(licenses.all_templates()))
+def test_one_template_is_one_licence(name):
+    """Each template's own text, alone and in a sentence, is that licence and no other of its family."""
+    matcher, text = licenses.LicenseMatcher(), licenses.all_templates()[name]
+    for shown in (text, "words of our own come first, " + text + " and others follow here"):
+        assert [(m[0], m[1]) for m in matcher.identify(shown)] == [(name, 1.0)]
+
+
+def test_two_licences_in_one_text_stand_beside_each_other():
+    matcher, t = licenses.LicenseMatcher(), licenses.all_templates()
+    for pair in (("GPL-3.0 header", "MIT"), ("BSD-2-Clause", "ISC"), ("BSD-3-Clause", "GPL-3.0 header")):
+        got = matcher.identify(t[pair[0]] + "\nThe second part of this work has terms of its own, as follows below.\n" + t[pair[1]])
+        assert {(m[0], m[1]) for m in got} == {(n, 1.0) for n in pair}
+
+
+def test_matches_that_stand_against_brute_force():
+    """None overlaps a better one; each that does not stand overlaps one at least as good that does."""
+    matcher = licenses.LicenseMatcher()
+    texts = [*licenses.all_templates().values()]
+    for k in range(0, len(texts) - 1, 3):
+        shown = texts[k][: len(texts[k]) * 4 // 5] + " and then " + texts[k + 1]
+        every, standing = matcher.match_anywhere(shown), matcher.identify(shown)
+        meets = lambda a, b: a[2] < b[3] and b[2] < a[3]
+        assert set(standing) <= set(every) and not any(meets(a, b) for a in standing for b in standing if a is not b)
+        assert all(m in standing or any(meets(m, s) and s[1] >= m[1] for s in standing) for m in every)
