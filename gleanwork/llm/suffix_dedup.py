@@ -11,8 +11,10 @@ ever sorted, and no task holds more than its share of it:
    their bytes) are one context with a weight: if it is above one, all starts
    of its run repeat.
 2. Contexts of an anchor that has several, one of each kind, are gathered by
-   anchor, in as many buckets as their bytes ask for.  Each task sorts the
-   suffixes of its contexts, one bucket of leading bytes after another; suffixes
+   anchor, in as many buckets as the bytes of these contexts ask for (they are
+   known by then).  Each task takes whole anchors, about ``SORTED_BYTES`` of text
+   at a time, so the sorter's memory does not grow with a bucket, and sorts their
+   suffixes, one bucket of leading bytes after another; suffixes
    that tie on the cover's period are ordered by the ranks of a
    difference-cover sample, computed beforehand, so a tie of any depth costs one
    look-up.  Neighbours whose ``LENGTH`` bytes agree repeat.
@@ -49,6 +51,9 @@ ROWS_AT_ONCE = 400_000
 LEAST_HOT = 512
 MOST_HOT = 1 << 22
 BUCKET_BYTES = 48 << 20
+#: Text of the contexts that go to one task, and that are sorted at a time: whole anchors, so up to one anchor's text more.
+TASK_BYTES = 24 << 20
+SORTED_BYTES = 2 << 20
 PERIOD = 32
 SUFFIXES_AT_ONCE = 1 << 18
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -385,11 +390,10 @@ def _judge(table: pa.Table) -> pa.Table:
     kinds = rows[one]
     group = np.cumsum(np.concatenate([[True], kinds["anchor"][1:] != kinds["anchor"][:-1]])) if len(kinds) else np.zeros(0, int)
     asked = kinds[np.bincount(group)[group] > 1] if len(kinds) else kinds
-    bucket = table.column("bucket")[0].as_py()
-    n, m = len(whole), len(asked)
+    n = len(whole)
     return pa.table({
         "key": pa.array(np.concatenate([whole["key"], asked["key"]])), "lo": pa.array(np.concatenate([whole["lo"], asked["lo"]]).astype(np.int64)), "span": pa.array(np.concatenate([whole["span"], asked["span"]]).astype(np.int64)),
-        "anchor": pa.array([*[None] * n, *asked["anchor"].view(np.int64).tolist()], pa.int64()), "bucket": pa.array([None] * n + [bucket] * m, pa.int32()),
+        "anchor": pa.array([*[None] * n, *asked["anchor"].view(np.int64).tolist()], pa.int64()),
     })
 
 
@@ -402,21 +406,32 @@ def _count_strings(table: pa.Table) -> pa.Table:
 
 
 def _sort_contexts(table: pa.Table) -> pa.Table:
-    """Ranges of starts in one bucket's contexts that repeat, by suffix sorting."""
-    facts = np.column_stack([table.column(c).to_numpy() for c in ("key", "lo", "span")])
-    # The same context may have come more than once (copies of a text): it counts once.
+    """Ranges of starts in one bucket's contexts that repeat, by suffix sorting, some anchors at a time."""
+    facts = np.column_stack([table.column(c).to_numpy() for c in ("anchor", "key", "lo", "span")])
+    # The same context may have come more than once (copies of a text): it counts once.  In order of anchors.
     _, one = np.unique(facts, axis=0, return_index=True)
+    anchor, key, lo, span = facts[one].T
     texts = table.column("text")
-    key, lo, span = facts[one].T
-    pieces = [texts[int(k)].as_py() for k in one]
+    edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]])) if len(anchor) else np.zeros(1, int)
+    size = np.concatenate([[0], np.cumsum(span + LENGTH)])[edges]
+    found, at = [], 0
+    while at < len(edges) - 1:
+        # Whole anchors: what repeats has one anchor, so nothing is lost between slices.
+        end = max(at + 1, int(np.searchsorted(size, size[at] + SORTED_BYTES, "right")) - 1)
+        own = slice(int(edges[at]), int(edges[end]))
+        found.append(_sorted_slice([texts[int(k)].as_py() for k in one[own]], key[own], lo[own], span[own]))
+        at = end
+    k, start, length = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    return pa.table({"key": pa.array(k, pa.int64()), "lo": pa.array(start, pa.int64()), "span": pa.array(length, pa.int64())})
+
+
+def _sorted_slice(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)
-    owner = np.repeat(np.arange(len(one)), span + 1)
+    owner = np.repeat(np.arange(len(pieces)), span + 1)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
-    sorter = SuffixSorter(b"".join(pieces))
-    again = np.sort(sorter.repeated(at[owner] + inside))
+    again = np.sort(SuffixSorter(b"".join(pieces)).repeated(at[owner] + inside))
     own = np.searchsorted(at, again, "right") - 1
-    k, start, length = _ranges(key[own], lo[own] + again - at[own])
-    return pa.table({"key": pa.array(k, pa.int64()), "lo": pa.array(start, pa.int64()), "span": pa.array(length, pa.int64())})
+    return _ranges(key[own], lo[own] + again - at[own])
 
 
 def repeated_starts(rows: DataFrame) -> DataFrame:
@@ -438,9 +453,12 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
         yield chunk.flush()
 
     first = materialize(long_rows.select("key", "data").mapInArrow(collect, "key long, lo long, span long, kind int, bucket int, packed binary"), "anchors")
-    judged = materialize(first.filter("kind = 0").select("bucket", "packed").groupBy("bucket").applyInArrow(_judge, "key long, lo long, span long, anchor long, bucket int"), "contexts")
+    judged = materialize(first.filter("kind = 0").select("bucket", "packed").groupBy("bucket").applyInArrow(_judge, "key long, lo long, span long, anchor long"), "contexts")
     strings = first.filter("kind = 1").select("bucket", "packed").groupBy("bucket").applyInArrow(_count_strings, "key long, lo long, span long")
-    asked = materialize(judged.filter("anchor is not null").groupBy("key").agg(F.collect_list(F.struct("lo", "span", "bucket")).alias("asked")), "asked")
+    to_sort = judged.filter("anchor is not null")
+    bytes_asked = to_sort.agg(F.sum(F.col("span") + LENGTH)).first()[0] or 0
+    tasks = max(8, partitions(spark), -(-bytes_asked // TASK_BYTES))
+    asked = materialize(to_sort.groupBy("key").agg(F.collect_list(F.struct("lo", "span", "anchor")).alias("asked")), "asked")
     # One text of each key, found by its least row id: copies carry no text of their own.
     texts = asked.join(rows.groupBy("key").agg(F.min("row_id").alias("row_id")), "key")
     texts = materialize(texts, "asked-texts").join(rows.select("row_id", "data", F.col("key").alias("own")), "row_id").filter("key = own")
@@ -449,12 +467,14 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for key, asked_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = data.as_py()
+                anchors = np.array([a["anchor"] for a in asked_], dtype=np.int64)
+                bucket = (_mix(anchors.view(np.uint64)) % np.uint64(tasks)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a["bucket"] for a in asked_], pa.int32()), pa.array([key] * len(asked_), pa.int64()), pa.array([a["lo"] for a in asked_], pa.int64()), pa.array([a["span"] for a in asked_], pa.int64()), pa.array([raw[a["lo"] : a["lo"] + a["span"] + LENGTH] for a in asked_], pa.binary())],
-                    names=["bucket", "key", "lo", "span", "text"],
+                    [pa.array(bucket), pa.array(anchors), pa.array([key] * len(asked_), pa.int64()), pa.array([a["lo"] for a in asked_], pa.int64()), pa.array([a["span"] for a in asked_], pa.int64()), pa.array([raw[a["lo"] : a["lo"] + a["span"] + LENGTH] for a in asked_], pa.binary())],
+                    names=["bucket", "anchor", "key", "lo", "span", "text"],
                 )
 
-    contexts = texts.select("key", "asked", "data").mapInArrow(cut, "bucket int, key long, lo long, span long, text binary")
+    contexts = texts.select("key", "asked", "data").mapInArrow(cut, "bucket int, anchor long, key long, lo long, span long, text binary")
     sorted_ = contexts.groupBy("bucket").applyInArrow(_sort_contexts, "key long, lo long, span long")
     known = first.filter("kind is null").select("key", "lo", "span").union(judged.filter("anchor is null").select("key", "lo", "span"))
     return known.union(strings).union(sorted_)

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -437,3 +438,31 @@ def test_archives_of_other_writers_and_of_tasks_that_ran_twice(spark, tmp_path):
     assert first.join(second, "archive").count() == 0
     assert sorted(r.page_id for r in warc.read_arc(spark, folder, second).collect()) == [1, 2, 3]
     assert sorted(r.page_id for r in warc.read_arc(spark, folder).collect()) == [1, 1, 2, 2, 3, 3]
+
+
+def test_suffix_dedup_of_variants_in_slices_of_anchors(spark, monkeypatch):
+    """Half of all text stands in two slightly different forms; contexts are sorted a few anchors at a time."""
+    sorted_bytes = []
+    whole = suffix_dedup._sorted_slice
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 3000)
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, rng.integers(3, 9), dtype=np.uint8)).decode() for _ in range(300)]
+    texts = []
+    for _ in range(12):
+        own = [words[k] for k in rng.integers(0, len(words), 400)]
+        other = list(own)
+        for k in rng.integers(0, len(own), 6):
+            other[k] = "changed"
+        texts += [" ".join(own), " ".join(other), " ".join(words[k] for k in rng.integers(0, len(words), 400))]
+    docs = list(enumerate(texts))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    truth = brute_removed(docs)
+    assert got == {i: tuple(truth[i]) for i, _ in docs} and sum(n for _, n, _, _ in got.values()) > 20_000
+
+    # The slices of one table, measured: none holds more than the bound and one anchor's contexts.
+    monkeypatch.setattr(suffix_dedup, "_sorted_slice", lambda pieces, *facts: sorted_bytes.append(sum(map(len, pieces))) or whole(pieces, *facts))
+    n = 400
+    pieces = [bytes(rng.integers(97, 123, 240, dtype=np.uint8)) for _ in range(n)]
+    table = pa.table({"anchor": pa.array(np.arange(n) // 2 - n), "key": pa.array(np.arange(n)), "lo": pa.array(np.zeros(n, np.int64)), "span": pa.array(np.full(n, 40)), "text": pa.array(pieces)})
+    assert suffix_dedup._sort_contexts(table).num_rows == 0 and suffix_dedup._sort_contexts(table.slice(0, 0)).num_rows == 0
+    assert sum(sorted_bytes) == 240 * n and max(sorted_bytes) <= 3000 + 480
