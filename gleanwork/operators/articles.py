@@ -84,16 +84,23 @@ def _best(root: Node) -> Node:
     return max(pool, key=score)["node"] if pool else root
 
 
+def named(m: dict[str, str]) -> dict[str, str | None]:
+    """A page's own metadata: the first name that says something counts."""
+    return {
+        "title": m.get("og:title") or m.get("twitter:title") or m.get("<title>") or None,
+        "author": m.get("author") or m.get("article:author"),
+        "published": m.get("article:published_time") or m.get("pubdate") or m.get("publishdate") or m.get("date"),
+        "canonical": m.get("canonical"), "language": m.get("language"),
+    }
+
+
 def parsed_article(html: str | None) -> dict[str, str | None]:
     """Title, author, date, canonical address, language and text (paragraphs of the chosen container, else its raw text) of one page."""
     root, m = parsed(html)
     best = _best(root)
     own = "\n\n".join(said for p in best.all("p") if (said := p.text()))
     return {
-        "title": m.get("og:title") or m.get("twitter:title") or m.get("<title>") or None,
-        "author": m.get("author") or m.get("article:author"),
-        "published": m.get("article:published_time") or m.get("pubdate") or m.get("publishdate") or m.get("date"),
-        "canonical": m.get("canonical"), "language": m.get("language"), "text": own or best.text("\n"), "paragraph_text": own, "whole": root.text("\n"),
+        **named(m), "text": own or best.text("\n"), "paragraph_text": own, "whole": root.text("\n"),
     }
 
 
@@ -158,3 +165,23 @@ def enriched(items: DataFrame, extracted: DataFrame, key: str = "id", title_meth
         F.when(hit & (F.length("x_content") > F.length(F.coalesce("content", F.lit("")))), c("x_content")).otherwise(c("content")).alias("content"), filled("author", "x_author"), filled("published_at", "x_published"), filled("language", "x_language"),
         F.when(hit & wrapped & nameless, host).otherwise(c("publisher_name")).alias("publisher_name"), F.when(hit & wrapped, host).otherwise(F.coalesce(F.nullif("publisher_domain", F.lit("")), F.when(hit, host))).alias("publisher_domain"),
     )
+
+
+def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` without its HTML, plus title, author, published, canonical address and language as the page names them.
+
+    The first name that says something counts: og, twitter, then the title
+    element; author by name, then by property; four names of the date.  What a
+    page lacks is null, as everything of a null or empty page.  Names that
+    ``pages`` has already are replaced.
+    """
+    names = ["title", "author", "published", "canonical", "language"]
+    kept = [c for c in pages.columns if c != html and c.lower() not in names]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [named(parsed(h)[1]) for h in frame[html]]
+            yield frame[kept].assign(**{n: [f[n] for f in found] for n in names})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(kept).schema)
+    return pages.select(*kept, html).mapInPandas(run, f"{fields}, " + ", ".join(f"{n} string" for n in names))

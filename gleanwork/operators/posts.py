@@ -154,3 +154,15 @@ def retry_target(errors: Column, writer_attempts: Column, editorial_fixes: Colum
     editorial = F.arrays_overlap(errors, F.array(*[F.lit(e) for e in EDITORIAL_ERRORS]))
     writer = F.arrays_overlap(errors, F.array(*[F.lit(e) for e in WRITER_ERRORS]))
     return F.when(editorial & (editorial_fixes < MOST_EDITORIAL_FIXES), "editorial").when(writer & (writer_attempts < MOST_WRITER_ATTEMPTS), "writer")
+
+
+def repetitive_sentences(posts: DataFrame, key: list[str], body: str = "body") -> DataFrame:
+    """Pairs of sentences of a post that say the same, by their places from 0.
+
+    Pairs are formed inside the row, each once, so nothing is shuffled; posts are
+    short.  A sentence without telling words is like no other.
+    """
+    tokens = F.transform(text.plain_sentences(F.coalesce(body, F.lit(""))), text.claim_tokens)
+    rows = posts.select(*key, tokens.alias("t"))
+    later = F.transform("t", lambda a, i: F.filter(F.transform("t", lambda b, j: F.when((j > i) & text.repetitive(a, b), F.struct(i.alias("first"), j.alias("second")))), lambda p: p.isNotNull()))
+    return rows.select(*key, F.explode(F.flatten(later)).alias("p")).select(*key, "p.first", "p.second")

@@ -5,9 +5,9 @@ import datetime
 import duckdb
 import pytest
 
-from gleanwork.plans import editorial, evidence, newsroom, relational, scalars
+from gleanwork.plans import editorial, evidence, intake, newsroom, relational, scalars
 
-QUERIES = scalars.QUERIES | relational.QUERIES | evidence.QUERIES | newsroom.QUERIES | editorial.QUERIES
+QUERIES = scalars.QUERIES | relational.QUERIES | evidence.QUERIES | newsroom.QUERIES | editorial.QUERIES | intake.QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -42,7 +42,7 @@ def test_query(spark, sf_dir, db, name):
 def test_registry():
     import __spark_entry__ as entry
 
-    parts = (scalars, relational, evidence, newsroom, editorial)
+    parts = (scalars, relational, evidence, newsroom, editorial, intake)
     assert len(QUERIES) == sum(len(p.QUERIES) for p in parts)
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
