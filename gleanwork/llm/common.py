@@ -35,11 +35,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gleanwork-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+def materialize(df: DataFrame, name: str, **options: int | str) -> DataFrame:
+    """Write ``df`` to the shared folder, with options of the writer, and read it back: lineage ends here."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.gleanwork_path = path
     return out

@@ -14,16 +14,17 @@ n words.
    table grows with the vocabulary.  For items of each size class walks are
    added until stretches with as many edits as allowed share a key at the
    target rate, over ``TRIALS`` simulated edits however few the items are; an
-   index that cannot reach it is an error.
-3. Windows that share a key with the item, and those that an end of the text
-   cuts, are verified by exact edit distance.
+   index that cannot reach it is an error.  Items of every length have keys, one
+   word too; before its start and behind its end a text goes on with unknown
+   words, so windows that an end cuts are no case of their own.
+3. Windows that share a key with the item are verified by exact edit distance.
+   Items of up to three words must be there exactly.
 
 Items are dealt by hash into blocks of about ``BLOCK_WORDS`` words; Spark tasks
-build each block's index and write it to the shared folder.  Documents are read
-once: a task holds some texts and takes one block's index after another, so its
-memory depends on neither table.  Items of fewer than ``KEYED_WORDS`` words need
-no keys: what the lemma leaves is verified at once, and up to three words must
-be there exactly.
+build each block's index and write it to the shared folder, a file for each.
+Documents are read once: a task numbers the words of ``CHARS_AT_ONCE``
+characters of texts and takes one block's index after another, back and forth,
+so its memory depends on neither table and a single block is loaded once.
 
 Defined results: null or empty texts hold nothing and null or empty items are
 in no text; an item found several times in a document is one row, with its best
@@ -36,7 +37,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 from itertools import repeat
@@ -50,9 +51,9 @@ from pyspark.sql import types as T
 from .common import materialize
 
 BLOCK_WORDS = 200_000
-CHARS_AT_ONCE = 4 << 20
+CHARS_AT_ONCE = 16 << 20
+CELLS_AT_ONCE = 1 << 21
 LEAST_WORDS = 1
-KEYED_WORDS = 5
 SAMPLED = 2
 KEYS_A_WALK = 8
 MOST_WALKS = 512
@@ -72,6 +73,11 @@ def most_edits(n: int) -> int:
     return n // 4
 
 
+def size_class(n: int) -> int:
+    """Items of one class share their number of walks: lengths within a factor of 2 ** 0.25."""
+    return int(4 * np.log2(n))
+
+
 def gram_size(n: int) -> tuple[int, int]:
     """(q, how many q-grams must stay) for items of n words: the largest q up to 3 with a useful bound."""
     k = most_edits(n)
@@ -126,15 +132,15 @@ class ItemIndex:
                 self.grams[q] = keys[order], owner[order], offset[order], present
         by_class: dict[int, list[np.ndarray]] = {}
         for item in self.items:
-            if len(item) >= KEYED_WORDS:
-                by_class.setdefault(len(item).bit_length(), []).append(item)
+            by_class.setdefault(size_class(len(item)), []).append(item)
         self.walks = {c: self._needed(items, rng) for c, items in sorted(by_class.items())}
-        self.item_codes: list[list[np.ndarray]] = [[] for _ in self.items]
+        self.slots = np.zeros(len(self.items), np.int64)
+        self.item_codes: dict[int, list[np.ndarray]] = {}
         for size in self.sizes:
             alike = [k for k, i in enumerate(self.items) if len(i) == size]
-            for walk in range(self.walks.get(size.bit_length(), 0)):
-                for k, own in zip(alike, self.codes(np.stack([self.items[k] for k in alike]), walk), strict=True):
-                    self.item_codes[k].append(own)
+            self.slots[alike] = np.arange(len(alike))
+            stacked = np.stack([self.items[k] for k in alike])
+            self.item_codes[size] = [self.codes(stacked, walk) for walk in range(self.walks[size_class(size)])]
 
     def _gram_keys(self, words: np.ndarray, q: int) -> np.ndarray:
         n = len(words) - q + 1
@@ -155,9 +161,31 @@ class ItemIndex:
             at = np.minimum(at + _moves(symbol, walk, step), n)
         return out
 
-    def shares_key(self, windows: np.ndarray, item: int) -> bool:
-        """Whether some window shares a key with the item; one walk after another."""
-        return any((self.codes(windows, w) == own).any() for w, own in enumerate(self.item_codes[item]))
+    def _keyed(self, doc: np.ndarray, zones: list[tuple[int, int, int]]) -> np.ndarray:
+        """Which zones (item, first and last start) have a window that shares a key with their item."""
+        hit = np.zeros(len(zones), dtype=bool)
+        items, lows, highs = np.array(zones, np.int64).reshape(-1, 3).T
+        lengths = np.array([len(self.items[n]) for n in items], np.int64)
+        for size in np.unique(lengths):
+            beyond = np.zeros(size, doc.dtype)
+            padded = np.concatenate([beyond, doc, beyond])
+            every = np.flatnonzero(lengths == size)
+            cells = np.cumsum((highs - lows + 1)[every] * size) // CELLS_AT_ONCE
+            for first, last in _runs(cells):
+                own = every[first:last]
+                count = highs[own] - lows[own] + 1
+                zone = np.repeat(own, count)
+                starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lows[own], count)
+                windows = padded[size + starts[:, None] + np.arange(size)]
+                for walk, codes in enumerate(self.item_codes[int(size)]):
+                    shared = (self.codes(windows, walk) == codes[self.slots[items[zone]]]).any(axis=1)
+                    hit[zone[shared]] = True
+                    # A zone that shares a key by now needs no further walk.
+                    left = ~hit[zone]
+                    zone, windows = zone[left], windows[left]
+                    if not len(zone):
+                        break
+        return hit
 
     def _needed(self, items: list[np.ndarray], rng: np.random.Generator) -> int:
         """Walks after which simulated stretches with the most edits allowed share a key, at the target rate."""
@@ -203,24 +231,26 @@ class ItemIndex:
 
     def find(self, words: list[str]) -> list[tuple[int, int, int, int, float]]:
         """(item id, start, end, edits, similarity) of each item that a document holds; places count words."""
-        if not words or not self.items:
+        return self.find_numbered(self.symbols(words))
+
+    def find_numbered(self, doc: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """As ``find``, of a document whose words are symbols of this index."""
+        if not len(doc) or not self.items:
             return []
-        doc = self.symbols(words)
-        best: dict[int, tuple[int, int, int]] = {}
+        zones = []
         for n, first, last in self._diagonals(doc):
-            item = self.items[n]
-            size, k = len(item), most_edits(len(item))
+            k = most_edits(len(self.items[n]))
             # All diagonals are below -k: less than n - k words of the item are in the text.
-            if last < 0 or n in best and not best[n][0]:
+            if last >= 0:
+                zones.append((n, max(first - k, 1 - len(self.items[n])), min(last + k, len(doc) - 1)))
+        best: dict[int, tuple[int, int, int]] = {}
+        for (n, low, high), keyed in zip(zones, self._keyed(doc, zones), strict=True):
+            if not keyed or n in best and not best[n][0]:
                 continue
-            low = max(0, first - k)
-            high = min(last + k, len(doc) - 1)
-            # Windows that the text's ends cut are few and far from what the keys were tuned on: verified at once.
-            if size >= KEYED_WORDS and first >= k and high + size <= len(doc):
-                windows = np.lib.stride_tricks.sliding_window_view(doc[low : high + size], size)
-                if not self.shares_key(windows, n):
-                    continue
-            edits, start, end = best_stretch(item, doc[low : high + size + k])
+            item = self.items[n]
+            k = most_edits(len(item))
+            low = max(0, low)
+            edits, start, end = best_stretch(item, doc[low : high + len(item) + k])
             if edits <= k and (n not in best or edits < best[n][0]):
                 best[n] = edits, low + start, low + end
         return [(self.ids[n], s, e, d, 1 - d / len(self.items[n])) for n, (d, s, e) in sorted(best.items())]
@@ -279,56 +309,73 @@ def _index_files(items: DataFrame) -> list[str]:
         return pa.table({"index": pa.array([pickle.dumps(index)], pa.large_binary())}).cast(pa.schema([("index", pa.binary())]))
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    return materialize(dealt.groupBy("block").applyInArrow(build, "index binary"), "item-indexes").inputFiles()
+    return sorted(materialize(dealt.groupBy("block").applyInArrow(build, "index binary"), "item-indexes", maxRecordsPerFile=1).inputFiles())
 
 
 @lru_cache(maxsize=1)
-def _loaded(path: str, row: int) -> ItemIndex:
-    return pickle.loads(_blobs(path)[row])
-
-
-@lru_cache(maxsize=1)
-def _blobs(path: str) -> list[bytes]:
+def _loaded(path: str) -> ItemIndex | None:
+    """A block's index; files of tasks without a block have none."""
     from pyarrow import parquet
     from pyarrow.fs import FileSystem
 
     fs, place = FileSystem.from_uri(path)
-    return parquet.read_table(place, filesystem=fs, columns=["index"]).column("index").to_pylist()
+    blobs = parquet.read_table(place, filesystem=fs, columns=["index"]).column("index").to_pylist()
+    return pickle.loads(blobs[0]) if blobs else None
+
 
+def _numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """(all words once, each text as their numbers)."""
+    known: dict[str, int] = {}
+    rows = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)) for words in map(words_of, texts)]
+    return list(known), rows
 
-def _finder(files: list[str]) -> Callable[[list[str | None]], list[list[tuple]]]:
-    """What each text of a batch holds; some texts at a time meet one block after another."""
 
-    def find(texts: list[str | None]) -> list[list[tuple]]:
-        out: list[list[tuple]] = []
+def _groups(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches, or slices of large ones, together until they have ``CHARS_AT_ONCE`` bytes of text or one row."""
+    group: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        lengths = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(text)], np.int64)
+        at = np.cumsum(lengths) + size
         start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= CHARS_AT_ONCE):
-                size += len(texts[stop] or "")
-                stop += 1
-            words = [words_of(t) for t in texts[start:stop]]
-            found: list[list[tuple]] = [[] for _ in words]
-            for path in files:
-                for row in range(len(_blobs(path))):
-                    index = _loaded(path, row)
-                    for own, w in zip(found, words, strict=True):
-                        own += index.find(w)
-            out += found
+        while start < batch.num_rows:
+            stop = max(int(np.searchsorted(at, CHARS_AT_ONCE, "right")), start + (not group))
+            group.append(batch.slice(start, stop - start))
+            if stop < batch.num_rows:
+                yield group
+                group, at = [], at - at[stop - 1] if stop else at
             start = stop
-        return out
-
-    return find
+        size = int(at[-1]) if batch.num_rows else size
+    if group:
+        yield group
+
+
+def _found(files: list[str], batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+    """Batches with what each of their texts holds; texts together meet one block after another, back and forth."""
+    order = files
+    for group in _groups(batches, text):
+        known, rows = _numbered([t for b in group for t in b.column(text).to_pylist()])
+        found: list[list[tuple]] = [[] for _ in rows]
+        for path in order:
+            if (index := _loaded(path)) is not None:
+                symbols = index.symbols(known)
+                for own, row in zip(found, rows, strict=True):
+                    own += index.find_numbered(symbols[row])
+        order = order[::-1]
+        start = 0
+        for batch in group:
+            yield batch, found[start : start + batch.num_rows]
+            start += batch.num_rows
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds, over whole texts."""
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    find = _finder(_index_files(benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))))
+    files = _index_files(benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(d, *m) for d, own in zip(batch.column(0).to_pylist(), find(batch.column(1).to_pylist()), strict=True) for m in own]
+        for batch, held in _found(files, batches, 1):
+            found = [(d, *m) for d, own in zip(batch.column(0).to_pylist(), held, strict=True) for m in own]
             columns = list(zip(*found, strict=True)) or [[] for _ in range(6)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=[f.split()[0] for f in MATCH_SCHEMA.split(", ")])
 
@@ -337,13 +384,12 @@ def matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``documents`` plus boolean ``contaminated``: the text holds some benchmark item.  No document is shuffled."""
-    find = _finder(_index_files(benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))))
+    files = _index_files(benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")))
     kept = [c for c in documents.columns if c.lower() != "contaminated"]
     source = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__gw_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [bool(own) for own in find(batch.column(len(kept)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.bool_())], names=[*kept, "contaminated"])
+        for batch, held in _found(files, batches, len(kept)):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([bool(own) for own in held], pa.bool_())], names=[*kept, "contaminated"])
 
     return source.mapInArrow(run, T.StructType([source.schema[c] for c in kept] + [T.StructField("contaminated", T.BooleanType())]))

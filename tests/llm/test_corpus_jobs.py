@@ -334,7 +334,7 @@ def test_decontamination_by_short_items_and_scripts_without_blanks(spark):
     assert {r.doc_id for r in decontam.contaminated(docs, bench).collect() if r.contaminated} == {d for d, _ in found}
 
 
-@pytest.mark.parametrize(("count", "size"), [(1, 6), (1, 13), (1, 40), (3, 40), (20, 25)])
+@pytest.mark.parametrize(("count", "size"), [(1, 4), (1, 5), (1, 6), (1, 13), (1, 40), (3, 40), (20, 25)])
 def test_recall_on_planted_stretches_at_the_edit_limit(count, size):
     rng = random.Random(count * size)
     items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(size))) for i in range(count)]
@@ -360,6 +360,55 @@ def test_decontamination_in_many_blocks_with_long_texts_and_clashing_columns(spa
     assert {r.doc_id for r in marked.collect() if r.contaminated} == set(texts) and "edits" in marked.columns
 
 
+def test_all_candidates_share_a_key_with_their_item(monkeypatch):
+    """Short items and windows at the ends of a text too: without keys nothing is found."""
+    items = [(1, "blue"), (2, "blue whale"), (3, "where is the hotel"), (4, "one small step for a man")]
+    index = decontam.build_index(items)
+    text = "where is that hotel one small step for man blue whale".split()
+    assert {m[0] for m in index.find(text)} == {1, 2, 3, 4}
+    monkeypatch.setattr(decontam.ItemIndex, "_keyed", lambda self, doc, zones: [False] * len(zones))
+    assert not index.find(text)
+
+
+def test_zones_are_keyed_alike_however_many_go_together(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([4, 9, 30])))) for i in range(30)]
+    index = decontam.build_index(items)
+    text = [f"w{rng.randrange(60)}" for _ in range(500)] + " ".join(t for _, t in items[::3]).split()
+    whole = index.find(text)
+    monkeypatch.setattr(decontam, "CELLS_AT_ONCE", 1)
+    assert index.find(text) == whole and {m[0] for m in whole} >= {i for i, _ in items[::3]}
+
+
+@pytest.mark.parametrize("limit", [1, 7, 50, 10**6])
+def test_texts_are_grouped_whole_and_in_order(monkeypatch, limit):
+    monkeypatch.setattr(decontam, "CHARS_AT_ONCE", limit)
+    texts = [None, "", "abc", "x" * 40, "", "defghij", None, "é" * 9, "kl"] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a:b], pa.string())], names=["t"]) for a, b in ((0, 5), (5, 5), (5, 6), (6, 27))]
+    groups = [[t for b in g for t in b.column(0).to_pylist()] for g in decontam._groups(iter(batches), 0)]
+    assert [t for g in groups for t in g] == texts
+    assert all(len(g) == 1 or sum(len((t or "").encode()) for t in g) <= limit for g in groups)
+    assert limit < 10**6 or len(groups) == 1
+
+
+def test_blocks_are_loaded_back_and_forth(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(decontam, "CHARS_AT_ONCE", 400)
+    items = {k: " ".join(f"item{k}word{j}" for j in range(7)) for k in range(30)}
+    files = decontam._index_files(spark.createDataFrame(list(items.items()), "i long, t string"))
+    held = [f for f in files if decontam._loaded(f) is not None]
+    assert len(held) > 3
+    batch = pa.RecordBatch.from_arrays([pa.array([items[k] for k in range(30)])], names=["t"])
+    groups = len(list(decontam._groups(iter([batch]), 0)))
+    decontam._loaded.cache_clear()
+    found = [own for _, rows in decontam._found(held, iter([batch]), 0) for own in rows]
+    assert [[m[0] for m in own] for own in found] == [[k] for k in range(30)]
+    assert decontam._loaded.cache_info().misses == len(held) + (groups - 1) * (len(held) - 1)
+    decontam._loaded.cache_clear()
+    list(decontam._found(held[:1], iter([batch]), 0))
+    assert decontam._loaded.cache_info().misses == 1
+
+
 # -- suffixes
 
 
