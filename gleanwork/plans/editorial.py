@@ -271,23 +271,47 @@ _F22 = "WITH h AS (SELECT CASE WHEN event_id < 400 THEN event_id ELSE event_id *
 # -- memory
 
 
-def _similar(s, d):
-    asked = derived.table(s, d, "wire").filter("id % 20 = 0").select("id", "title")
+def f22_all(s, d):
+    """As f22, over all orders and all events: posts that repeat an order's text once, twice or never."""
+    o = read(s, d, "orders").select(C("o_orderkey").alias("id"), F.concat(F.lit("Post "), C("o_orderkey")).alias("content"), "o_orderstatus", "o_orderpriority")
+    live = o.filter("o_orderstatus <> 'P'").select(C("id").alias("story_id"), F.when(C("o_orderstatus") == "O", "publishing").otherwise("published").alias("status"), F.to_timestamp(F.lit("2024-01-10")).alias("started_at"))
+    made = read(s, d, "events").select(F.concat(F.lit("Post "), F.when(C("event_id") % 2 == 0, C("event_id")).otherwise(F.expr("event_id div 2"))).alias("text"), F.to_timestamp(F.lit("2024-01-12")).alias("created_at"))
+    return stories.publication_step(live, made, o.select("id", "content"))
+
+
+_F22_ALL = "WITH h AS (SELECT CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id // 2 END AS t, count(*) AS n FROM events GROUP BY 1) SELECT o_orderkey AS story_id, CASE o_orderstatus WHEN 'P' THEN 'PUBLISH' WHEN 'O' THEN CASE WHEN n = 1 THEN 'RECOVERED' ELSE 'RECOVERY_REQUIRED' END ELSE 'DUPLICATE' END AS step FROM orders LEFT JOIN h ON t = o_orderkey"
+
+
+def f24_all(s, d):
+    """As f24, with every supplier as a documented source."""
+    key = F.concat(F.lit("s"), C("s_suppkey") * 2)
+    doc = read(s, d, "supplier").select(key.alias("source_id"), F.concat(F.lit("https://d.org/"), C("s_suppkey") * 2).alias("source_url"), F.when(C("s_suppkey") % 2 == 0, C("s_name")).alias("source_name"), F.when(C("s_suppkey") % 3 == 0, "PRIMARY").alias("source_type"), F.lit(None).cast("string").alias("authority"))
+    none = F.lit(None).cast("string")
+    got = derived.table(s, d, "assessments").select("story_id", "source_id", none.alias("source_url"), F.lit("Own").alias("source_name"), "source_type", F.lit("high").alias("authority"), none.alias("independence"), F.lit(None).cast("array<string>").alias("conflicts"), F.lit(None).cast("array<string>").alias("uncertainty"))
+    return c_ops.repaired_assessments(got, doc).select("story_id", "source_id", "source_url", "source_name", "source_type", "authority", "independence", F.size("conflicts").alias("conflicts"))
+
+
+def _similar(s, d, only="id % 20 = 0"):
+    asked = derived.table(s, d, "wire").filter(only).select("id", "title")
     known = read(s, d, "nation").select(C("n_nationkey").alias("id"), F.element_at(F.array(*[F.lit(t) for t in derived.TITLES]), (C("n_nationkey") % len(derived.TITLES) + 1).cast("int")).alias("title"))
     pairs = similar.similar_titles(asked, known, "id", "id", C("title"), C("title"), 0.10)
     return pairs.join(F.broadcast(known), C("recent_id") == C("id")).select("query_id", "id", "title", "relationship", "score")
 
 
+def a16_all(s, d):
+    return stories.warnings(_similar(s, d, "true")).select("query_id", F.size("warnings").alias("warnings"), "unresolved")
+
+
 def a16(s, d):
     return stories.warnings(_similar(s, d)).select("query_id", F.size("warnings").alias("warnings"), "unresolved")
 
 
-def a15(s, d):
-    near = _similar(s, d)
+def a15(s, d, only="id % 20 = 0"):
+    near = _similar(s, d, only)
     pubs = read(s, d, "events").select(C("event_id").alias("id"), C("user_id").alias("story_id"), F.lit("threads").alias("platform"), F.lit("published").alias("status"), C("ts").alias("published_at"))
     recent = read(s, d, "orders").select(C("o_orderkey").alias("id"), F.lit("t").alias("title"), C("o_orderdate").alias("last_seen_at"), C("o_orderdate").alias("first_seen_at"))
     counts = read(s, d, "documents").groupBy(F.upper("lang").alias("category")).agg(F.count("*").alias("n"))
-    rows = stories.memory(derived.table(s, d, "wire").filter("id % 20 = 0"), near, stories.recent_publications(pubs, "threads", 10), stories.recent_stories(recent, as_of(), 48, 15), counts)
+    rows = stories.memory(derived.table(s, d, "wire").filter(only), near, stories.recent_publications(pubs, "threads", 10), stories.recent_stories(recent, as_of(), 48, 15), counts)
     return rows.select("id", F.coalesce(F.size("similar_stories"), F.lit(0)).alias("similar"), "unresolved", F.size("recent_publications").alias("publications"), F.size("recent_stories").alias("stories"), F.size("category_distribution").alias("categories"))
 
 
@@ -296,6 +320,9 @@ _T = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in derived.TITLES) +
 SIM = f"""q AS (SELECT id AS query_id, {_TW} AS w FROM {derived.sql('wire')} WHERE id % 20 = 0), k AS (SELECT id, {_TW} AS w FROM (SELECT n_nationkey AS id, {_T}[(n_nationkey % {len(derived.TITLES)} + 1)::INT] AS title FROM nation)),
  x AS (SELECT query_id, id, len(list_intersect(q.w, k.w)) / len(list_distinct(q.w || k.w)) AS score FROM q, k)"""
 
+_SIM_ALL = SIM.replace(" WHERE id % 20 = 0", "")
+_A15 = "SELECT query_id AS id, count(*) FILTER (score >= 0.1)::INT AS similar, coalesce(bool_or(score >= 0.35), false) AS unresolved, 10 AS publications, (SELECT least(15, count(*))::INT FROM orders WHERE o_orderdate >= TIMESTAMP '2024-01-18') AS stories, (SELECT count(DISTINCT upper(lang))::INT FROM documents) AS categories FROM x GROUP BY 1"
+
 QUERIES = {
     "f15_linked_sources": (f15_linked, f"{_DOC_LINKED} SELECT story_id, {_F15} AS errors, CASE WHEN {_F15} = '' THEN 'PASS' ELSE 'BLOCK' END AS state FROM f"),
     "f15_full_validation": (f15, f"{_DOC} SELECT story_id, {_F15} AS errors, array_to_string(mapped, ',') AS mapped, CASE WHEN {_F15} = '' THEN 'PASS' ELSE 'BLOCK' END AS state FROM f"),
@@ -314,7 +341,11 @@ QUERIES = {
     "j15_traceability": (j15, f"SELECT c.story_id, c.claim_id, l.evidence_id, source_id, list_contains(allowed_claim_ids, c.claim_id) AS allowed, list_contains(claim_ids, c.claim_id) AS in_post FROM {CL} c JOIN {PO} p USING (story_id) LEFT JOIN (SELECT story_id, claim_id, unnest(evidence_ids) AS evidence_id FROM {CL}) l ON l.story_id = c.story_id AND l.claim_id = c.claim_id LEFT JOIN {EV} e ON e.story_id = c.story_id AND e.evidence_id = l.evidence_id"),
     "j17_supported_domains": (j17, f"SELECT story_id, array_to_string(domains, ',') AS domains FROM ({J17})"),
     "j18_claim_remap": (j18, f"SELECT sha256(story_id || '-' || claim_id) AS claim_id, unnest(evidence_ids) AS evidence_id FROM {CL} WHERE story_id % 3 <> 0"),
-    "a15_editorial_memory": (a15, f"WITH {SIM} SELECT query_id AS id, count(*) FILTER (score >= 0.1)::INT AS similar, coalesce(bool_or(score >= 0.35), false) AS unresolved, 10 AS publications, (SELECT least(15, count(*))::INT FROM orders WHERE o_orderdate >= TIMESTAMP '2024-01-18') AS stories, (SELECT count(DISTINCT upper(lang))::INT FROM documents) AS categories FROM x GROUP BY 1"),
+    "a15_editorial_memory": (a15, f"WITH {SIM} {_A15}"),
+    "a15_memory_of_all": (lambda s, d: a15(s, d, "true"), f"WITH {_SIM_ALL} {_A15}"),
+    "a16_warnings_of_all": (a16_all, f"WITH {_SIM_ALL} SELECT query_id, count(*) FILTER (score >= 0.35)::INT AS warnings, bool_or(score >= 0.35) AS unresolved FROM x WHERE score >= 0.1 GROUP BY 1"),
+    "f22_step_of_all": (f22_all, _F22_ALL),
+    "f24_repaired_by_all": (f24_all, f"SELECT story_id, source_id, CASE WHEN k THEN 'https://d.org/' || n ELSE '' END AS source_url, CASE WHEN k THEN CASE WHEN n % 4 = 0 THEN s_name ELSE '' END ELSE 'Own' END AS source_name, CASE WHEN k AND n // 2 % 3 = 0 THEN 'PRIMARY' ELSE coalesce(source_type, 'UNKNOWN') END AS source_type, CASE WHEN k THEN '' ELSE 'high' END AS authority, 'UNKNOWN' AS independence, 0 AS conflicts FROM (SELECT a.*, substr(source_id, 2)::INT AS n, s_suppkey IS NOT NULL AS k, s_name FROM {AS} a LEFT JOIN supplier ON 's' || (s_suppkey * 2) = source_id)"),
     "a16_repetition_warnings": (a16, f"WITH {SIM} SELECT query_id, count(*) FILTER (score >= 0.35)::INT AS warnings, bool_or(score >= 0.35) AS unresolved FROM x WHERE score >= 0.1 GROUP BY 1"),
     "a17_claim_sets": (a17, f"SELECT story_id, coalesce(string_agg(claim_id, ',' ORDER BY claim_id) FILTER ({OK}), '') AS supported, coalesce(string_agg(claim_id, ',' ORDER BY claim_id) FILTER (NOT {OK}), '') AS unsupported FROM {VE} GROUP BY 1"),
     "a21_all_claims_supported": (a21, f"SELECT story_id, coalesce(bool_and({OK}), false) AND NOT bool_or(story_id % 4 = 0 AND claim_id = 'c1') AS all_supported FROM {VE} GROUP BY 1"),

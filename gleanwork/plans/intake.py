@@ -225,6 +225,12 @@ _SIDE = "coalesce(list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber % 2
 U05 = f"SELECT l_orderkey, {_SIDE.format(k=0)} = {_SIDE.format(k=1)} AS equal, bool_or(l_linenumber = 7) AS seven FROM lineitem GROUP BY 1"
 U06 = "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) || CASE WHEN bool_or(l_linenumber = 7) THEN ',Z' ELSE '' END AS members FROM lineitem GROUP BY 1"
 
+def j02(s, d):
+    """Lines with the whole nation table as sources; most name none of them."""
+    known = read(s, d, "nation").select(C("n_nationkey").cast("long").alias("l_suppkey"), "n_name")
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(known, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "n_name")
+
+
 QUERIES = {
     "s02_gdelt_landing": (s02, S02),
     "s03_ddgs_landing": (s03, S03),
@@ -239,6 +245,7 @@ QUERIES = {
     "r13_page_caps": (r13, R13),
     "a04_last_published": (a04, A04),
     "d10_day_start": (d10, D10),
+    "j02_item_with_source": (j02, "SELECT l_orderkey, l_linenumber, n_name FROM lineitem LEFT JOIN nation ON n_nationkey = l_suppkey"),
     "u02_unlinked": (u02, U02),
     "u05_same_members": (u05, U05),
     "u06_all_members": (u06, U06),
