@@ -232,8 +232,9 @@ def ranked_for_extraction(items: DataFrame, budget: int, signals: dict[str, str]
     """
     words = F.trim(F.concat_ws(" ", F.nullif(F.trim("description"), F.lit("")), F.nullif(F.trim("snippet"), F.lit(""))))
     thin = (F.length(F.trim(F.coalesce("content", F.lit("")))) < 500) & (F.length(words) < 500)
-    made = taxonomy.classify(F.col("title"), F.concat_ws(" ", "description", "snippet", "content"), signals)
-    rows = items.withColumns({"thin": thin, "useful": made["topic_fit"] & made["newsworthiness"]})
+    body = F.concat_ws(" ", "description", "snippet", "content")
+    useful = taxonomy.is_newsworthy(F.col("title"), body) & (F.size(taxonomy.infer_categories(F.concat_ws(" ", "title", body), signals)) > 0)
+    rows = items.withColumns({"thin": thin, "useful": useful})
     return rows.orderBy(F.desc_nulls_last("published_at"), F.coalesce("feed_priority", F.lit(1000)), F.desc("thin"), F.desc("useful"), "provider", "pos").limit(budget)
 
 

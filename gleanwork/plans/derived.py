@@ -140,9 +140,15 @@ def sql(name: str) -> str:
     return "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in spec(True).items()) + f" FROM {source})"
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all tasks: a table of few bytes and many rows is one file and so one task, whatever is computed for each row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     spec, source, _ = SPECS[name]
     for t in ("part", "lineitem"):
         source = source.replace(f"FROM {t} ", f"FROM parquet.`{d}/{t}.parquet` ").replace(f"FROM {t})", f"FROM parquet.`{d}/{t}.parquet`)")
-    rows = read(spark, d, "part") if source == "part" else spark.sql(f"SELECT * FROM {source}")
+    rows = spread(read(spark, d, "part"), "p_partkey") if source == "part" else spark.sql(f"SELECT * FROM {source}")
     return rows.selectExpr(*[f"{e} AS {n}" for n, e in spec(False).items()])

@@ -206,8 +206,8 @@ def c02(s, d):
 
 
 def c07(s, d):
-    k = taxonomy.classify(C("title"), C("body"))
-    return wire(s, d).select("id", F.array_join(k["categories"], ",").alias("categories"), k["primary_category"].alias("primary_category"), k["topic_fit"].alias("topic_fit"), k["newsworthiness"].alias("newsworthiness"))
+    rows = wire(s, d).select("id", taxonomy.classify(C("title"), C("body")).alias("k"))
+    return rows.select("id", F.array_join("k.categories", ",").alias("categories"), "k.primary_category", "k.topic_fit", "k.newsworthiness")
 
 
 def c09(s, d):
@@ -255,8 +255,9 @@ F02 = f"""SELECT id, CASE WHEN coalesce(trim(url), '') = '' OR trim(title) = ''
 
 
 def f03(s, d):
-    k = taxonomy.classify(C("title"), C("body"))
-    return wire(s, d).select("id", stories.build_gate(k["categories"], k["topic_fit"], k["newsworthiness"]).alias("reason"))
+    found = taxonomy.infer_categories(F.concat_ws(" ", "title", "body"))
+    news = taxonomy.is_newsworthy(C("title"), C("body"))
+    return wire(s, d).select("id", text.let(found, lambda k: stories.build_gate(k, F.size(k) > 0, news)).alias("reason"))
 
 
 def f08(s, d):

@@ -1,8 +1,11 @@
 """Expressions that are computed once, and work that is spread, whatever the input's files."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from gleanwork.functions import text
+from gleanwork.functions import taxonomy, text
+from gleanwork.plans import derived, newsroom
 
 
 def plan(df) -> str:
@@ -13,3 +16,21 @@ def test_sentences_are_chosen_once(spark):
     df = spark.createDataFrame([("One. Two.",)], "x string").select(text.compress_to_limit(F.col("x"), 40).alias("post"))
     assert plan(df).count("aggregate(") == 1
     assert plan(df).count("array_sort(") <= 2
+
+
+def test_a_text_is_classified_once(spark, sf_dir):
+    once = sum(p.count("semiconductor") for p in taxonomy.SIGNALS.values())
+    # Both texts together, and the title and the body for the primary category.
+    assert plan(newsroom.c07(spark, sf_dir)).count("semiconductor") == 3 * once
+    assert plan(newsroom.f03(spark, sf_dir)).count("semiconductor") == once
+
+
+def test_a_small_file_is_many_tasks(spark, sf_dir):
+    assert derived.table(spark, sf_dir, "wire").rdd.getNumPartitions() >= 4
+
+
+def test_word_boundaries_in_front_change_nothing():
+    said = ["a war", "warm", "new chip set", "telecoms", "the intel unit will launch a device", "front line.", "data centre", "ai", "said", "peace talks", "airstrikes", "", "who is who", "nvidia chips"]
+    for pattern in [*taxonomy.SIGNALS.values(), r"\ba|b", r"x\|\by", r"(?:\bq|r)s"]:
+        own = taxonomy._at_words(pattern)
+        assert [bool(re.search(own, s)) for s in said + derived.TITLES] == [bool(re.search(pattern, s)) for s in said + derived.TITLES]
