@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from gleanwork.functions import taxonomy, text
+from gleanwork.operators.pagetree import parsed
 from gleanwork.plans import derived, newsroom
 
 
@@ -34,3 +35,10 @@ def test_word_boundaries_in_front_change_nothing():
     for pattern in [*taxonomy.SIGNALS.values(), r"\ba|b", r"x\|\by", r"(?:\bq|r)s"]:
         own = taxonomy._at_words(pattern)
         assert [bool(re.search(own, s)) for s in said + derived.TITLES] == [bool(re.search(pattern, s)) for s in said + derived.TITLES]
+
+
+def test_an_unfinished_reference_is_text():
+    """As lxml has it and as the SQL of h02 says: a title cut off in a reference keeps what there is of it."""
+    assert parsed("<title>a &amp;&amp</title>")[1]["<title>"] == "a &&amp"
+    assert parsed("<p>&lt;b&gt; &#38; AT&T</p>")[0].text() == "<b> & AT&T"
+    assert parsed('<link rel="canonical" href="https://a.org/?x=1&copy=2&amp;y=3">')[1]["canonical"] == "https://a.org/?x=1&copy=2&y=3"
