@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import taxonomy, text
 from gleanwork.operators.pagetree import parsed
-from gleanwork.plans import derived, newsroom
+from gleanwork.plans import derived, editorial, newsroom
 
 
 def plan(df) -> str:
@@ -42,3 +42,11 @@ def test_an_unfinished_reference_is_text():
     assert parsed("<title>a &amp;&amp</title>")[1]["<title>"] == "a &&amp"
     assert parsed("<p>&lt;b&gt; &#38; AT&T</p>")[0].text() == "<b> & AT&T"
     assert parsed('<link rel="canonical" href="https://a.org/?x=1&copy=2&amp;y=3">')[1]["canonical"] == "https://a.org/?x=1&copy=2&y=3"
+
+
+def test_sentences_are_not_shuffled_word_by_word(spark, sf_dir):
+    assert "collect_list" not in plan(editorial.p03_gate(spark, sf_dir))
+
+
+def test_pages_are_read_in_slices(spark, sf_dir):
+    assert "MapInPandas" not in plan(newsroom.h06(spark, sf_dir))
