@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from .pagetree import Node, measures, parsed
 # Hints that a container holds the article, and how much text counts as enough.
 HINTS = ["article", "main", "content", "post", "story", "entry", "body"]
 SEMANTIC_LEAST, ENOUGH, THIN = 400, 200, 500
+#: Pages whose trees and texts are held at a time.
+SLICE = 64
 
 
 def node_score(length: Column, paragraphs: Column, linked: Column) -> Column:
@@ -116,13 +119,17 @@ def cascade(pages: DataFrame, html: str = "html", enough: int = ENOUGH) -> DataF
     """
     kept = [c for c in pages.columns if c != html]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [parsed_article(h) for h in frame[html]]
-            yield frame[kept].assign(**{f"x_{n}": [f[n] for f in found] for n in PARSED})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(html)
+            # A few pages at a time: their texts, three of each, leave before the next are read.
+            for start in range(0, len(batch), SLICE):
+                part = batch.slice(start, SLICE)
+                found = [parsed_article(h) for h in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [pa.array([f[n] for f in found], pa.string()) for n in PARSED], names=[*kept, *[f"x_{n}" for n in PARSED]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(kept).schema)
-    raw = pages.mapInPandas(run, f"{fields}, " + ", ".join(f"x_{n} string" for n in PARSED))
+    raw = pages.mapInArrow(run, f"{fields}, " + ", ".join(f"x_{n} string" for n in PARSED))
     state = F.struct(F.lit("").alias("content"), F.lit("empty").alias("method"))
     for name, column in (("paragraphs", "x_paragraph_text"), ("container", "x_text"), ("page", "x_whole")):
         better, now = text.clean_text(F.coalesce(column, F.lit(""))), state
