@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import urls
+from . import text, urls
 
 # The aggregator, its wrapper path and the markers before a wrapped address.
 WRAPPER_HOST = "news.google.com"
@@ -100,7 +100,8 @@ def documented_source_type(name: Column, domain: Column) -> Column:
 
 
 def is_aggregator(host: Column) -> Column:
-    return F.exists(F.array(*[F.lit(a) for a in AGGREGATORS]), lambda a: (host == a) | host.endswith(F.concat(F.lit("."), a)))
+    # Named once: for each aggregator the address would be taken apart again.
+    return text.let(host, lambda h: h.isin(AGGREGATORS) | h.rlike(r"\.(?:" + "|".join(re.escape(a) for a in AGGREGATORS) + ")$"))
 
 
 def article_key(url: Column) -> Column:

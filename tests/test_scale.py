@@ -50,3 +50,19 @@ def test_sentences_are_not_shuffled_word_by_word(spark, sf_dir):
 
 def test_pages_are_read_in_slices(spark, sf_dir):
     assert "MapInPandas" not in plan(newsroom.h06(spark, sf_dir))
+
+
+def test_a_host_is_taken_from_its_address_once_for_all_aggregators(spark):
+    from gleanwork.functions import publishers, urls
+
+    shown = str(publishers.is_aggregator(urls.host(F.col("url")))._jc.toString())
+    assert shown.count("regexp_extract") <= 2
+    hosts = spark.createDataFrame([("bing.com", True), ("a.bing.com", True), ("nobing.com", False), ("bingxcom", False), ("", False), (None, None)], "h string, want boolean")
+    assert all(r.got == r.want for r in hosts.select("want", publishers.is_aggregator(F.col("h")).alias("got")).collect())
+
+
+def test_lines_are_dealt_by_story_once(spark, sf_dir):
+    from gleanwork.plans import derived
+
+    rows = derived.table(spark, sf_dir, "claims").groupBy("story_id").agg(F.max("claim_id"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
