@@ -64,12 +64,14 @@ def _walk(sentences: Column, approved: Column) -> Column:
     start = F.struct(F.lit(False).alias("thin"), F.lit(False).alias("loose"), _none().alias("mapped"))
 
     def step(acc: Column, tokens: Column) -> Column:
-        ids = grounding(tokens, approved)
+        def found(ids: Column) -> Column:
+            loose = F.size(ids) == 0
+            return F.struct(acc["thin"].alias("thin"), loose.alias("loose"), F.when(loose, acc["mapped"]).otherwise(F.array_union(acc["mapped"], ids)).alias("mapped"))
+
         return (
             F.when(acc["loose"], acc)
             .when(F.size(tokens) < 2, F.struct(F.lit(True).alias("thin"), acc["loose"].alias("loose"), acc["mapped"].alias("mapped")))
-            .when(F.size(ids) == 0, F.struct(acc["thin"].alias("thin"), F.lit(True).alias("loose"), acc["mapped"].alias("mapped")))
-            .otherwise(F.struct(acc["thin"].alias("thin"), acc["loose"].alias("loose"), F.array_union(acc["mapped"], ids).alias("mapped")))
+            .otherwise(text.let(grounding(tokens, approved), found))
         )
 
     return F.aggregate(sentences, start, step)
@@ -92,11 +94,12 @@ def validated(posts: DataFrame, claims: DataFrame, evidence: DataFrame, verifica
         "sentence_tokens": F.transform(F.filter(text.sentences(F.col("post")), lambda s: ~text.is_source_reference(s, F.col("urls"))), text.claim_tokens),
         "post_urls": F.regexp_extract_all("post", F.lit(r"(https?://\S+)"), F.lit(1)),
         "subject": text.distinctive(F.col("seed_title"), F.col("seed_summary")),
+        "low": F.lower("post"),
     })
     # Without approved claims no sentence is looked at.
     judged = F.when(F.size("approved") > 0, F.col("sentence_tokens")).otherwise(F.array().cast("array<array<string>>"))
     rows = rows.withColumn("walk", _walk(judged, F.col("approved")))
-    low, said = F.lower("post"), F.trim("post") != ""
+    low, said = F.col("low"), F.trim("post") != ""
     anchors = F.filter(F.transform(F.filter("claims", lambda c: F.array_contains("allowed_claim_ids", c["claim_id"])), lambda c: c["anchor"]), lambda a: a.isNotNull())
     places = F.sequence(F.lit(0), F.size("sentence_tokens") - 1)
     # Each sentence against those behind it.
@@ -137,8 +140,9 @@ def simple_errors(post: Column, char_count: Column, claim_ids: Column, draft_ids
         ("COUNT_MISMATCH", char_count != F.length(post)),
         ("UNAPPROVED_CLAIM", F.size(F.array_except(claim_ids, allowed_ids)) > 0),
         ("DRAFT_UNAPPROVED", F.size(F.array_except(draft_ids, allowed_ids)) > 0),
-        ("LOST_SUBJECT", (F.size(subject) > 0) & ~F.exists(subject, lambda w: low.contains(w))),
-        ("LOST_ATTRIBUTION", F.exists(anchors, lambda a: a.isNotNull() & ~low.contains(a))),
+        # Each named once: the words of the subject are many expressions, and inside a lambda the post is lowered for each word.
+        ("LOST_SUBJECT", text.let(subject, lambda words: (F.size(words) > 0) & ~text.let(low, lambda said: F.exists(words, lambda w: said.contains(w))))),
+        ("LOST_ATTRIBUTION", text.let(low, lambda said: F.exists(anchors, lambda a: a.isNotNull() & ~said.contains(a)))),
         ("TOO_LONG", F.length(post) > limit),
     ]
     return F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), code) for code, hit in rules]))

@@ -66,3 +66,11 @@ def test_lines_are_dealt_by_story_once(spark, sf_dir):
 
     rows = derived.table(spark, sf_dir, "claims").groupBy("story_id").agg(F.max("claim_id"))
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_posts_subject_and_text_are_named_once(spark):
+    from gleanwork.operators import posts
+
+    none = F.array().cast("array<string>")
+    shown = str(F.array_join(posts.simple_errors(F.col("post"), F.length("post"), none, none, none, text.distinctive(F.col("title"), F.lit("")), none), ",")._jc.toString())
+    assert shown.count("split(") == 1
