@@ -58,8 +58,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = toxicity.fit(documents.filter(~held_out()), table(spark, sf_dir, "labels").filter(~held_out()))
-    return toxicity.classify(documents.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+    found = toxicity.fit_and_classify(documents, ~held_out(), table(spark, sf_dir, "labels").filter(~held_out()))
+    return found.select("doc_id", (~F.col("known")).alias("held_out"), "score", "predicted")
 
 
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

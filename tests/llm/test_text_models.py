@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanwork.llm import bpe, langid, licenses, pii, toxicity
 from gleanwork.llm import queries as q
@@ -127,6 +128,30 @@ def test_toxicity_edges(spark, odd):
     assert {r.score for r in toxicity.classify(odd, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_thresholds_come_from_all_labelled_rows(spark):
+    """Of 3,000 rows 40 train the filters; the threshold is the best of the others, and languages are counted over all."""
+    rng = random.Random(2)
+
+    def row(k):
+        bad = min(3, int(rng.expovariate(1.2)))
+        words = [rng.choice("one two three four five six seven".split()) for _ in range(12)] + rng.sample("bad idiot stupid".split(), bad)
+        rng.shuffle(words)
+        return k, " ".join(words), "aa" if k else "rare", int(bad + rng.gauss(0, 0.7) > 1.5)
+
+    made = spark.createDataFrame([row(k) for k in range(3000)], "doc_id long, text string, lang string, toxic int")
+    docs, labels = made.select("doc_id", "text", "lang").repartition(3), made.select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, per_class=20)
+    assert model.languages == ["aa", "rare"]
+    got = toxicity.classify(made, model).toPandas()
+    both = toxicity.fit_and_classify(docs, F.lit(True), labels, per_class=20).toPandas().set_index("doc_id")
+    assert np.allclose(both.score[got.doc_id], got.score) and (both.predicted[got.doc_id].to_numpy() == got.predicted.to_numpy()).all()
+
+    def f1(chosen):
+        return 2 * (got.toxic * chosen).sum() / (got.toxic.sum() + chosen.sum())
+
+    assert f1(got.predicted) >= max(f1((got.score >= t).astype(int)) for t in np.unique(got.score)) - 0.005
+
+
 def test_toxicity_blocks_equal_one_pass(monkeypatch):
     docs = [np.array([toxicity.word_parts(w) for w in t.split()]) for t in ["a bad idiot here"] * 20 + ["a nice friend here"] * 20]
     model = toxicity.train(docs, np.array([1] * 20 + [0] * 20), ["en"] * 40)
