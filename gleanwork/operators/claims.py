@@ -126,11 +126,22 @@ def support_measures(claims: DataFrame, evidence: DataFrame, verifications: Data
 
     The names are the policy's; it gives no formulas, these are ours.
     """
-    checks = verifications.groupBy("story_id", "claim_id").agg(F.avg(F.upper("status").isin(SUPPORTED).cast("int")).alias("agreement"), F.avg((F.upper("status") == "CONTRADICTED").cast("int")).alias("contradiction"))
-    ranks = assessments.groupBy("story_id", "source_id").agg(F.max(source_rank(F.col("source_type"))).alias("rank"))
-    links = claims.select("story_id", "claim_id", F.explode_outer("evidence_ids").alias("evidence_id")).join(evidence.select("story_id", "evidence_id", "source_id", "published_at"), ["story_id", "evidence_id"], "left").join(ranks, ["story_id", "source_id"], "left")
-    facts = links.groupBy("story_id", "claim_id").agg(F.avg(F.coalesce("rank", F.lit(0)) / 4).alias("strength"), F.countDistinct("source_id").alias("diversity"), F.datediff(as_of, F.max("published_at")).alias("recency_days"))
-    return facts.join(checks, ["story_id", "claim_id"], "left")
+    def by_story(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        return rows.filter(F.col(key).isNotNull()).groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+
+    # Tables meet by story alone, so rows that are dealt by story stay where they are: a story's few claims meet its evidence, and what is known of claims and sources comes as maps.
+    checks = by_story(verifications.groupBy("story_id", "claim_id").agg(F.avg(F.upper("status").isin(SUPPORTED).cast("int")).alias("agreement"), F.avg((F.upper("status") == "CONTRADICTED").cast("int")).alias("contradiction")), "claim_id", F.struct("agreement", "contradiction"), "checks")
+    ranks = by_story(assessments.groupBy("story_id", "source_id").agg(F.max(source_rank(F.col("source_type"))).alias("rank")), "source_id", F.col("rank"), "ranks")
+    found = evidence.join(ranks, "story_id", "left").select("story_id", F.col("evidence_id").alias("found_id"), "source_id", "published_at", F.coalesce(F.element_at("ranks", F.col("source_id")), F.lit(0)).alias("rank"))
+    own = claims.select("story_id", "claim_id", "evidence_ids")
+    links = own.join(found.withColumnRenamed("story_id", "of"), (F.col("story_id") == F.col("of")) & F.array_contains("evidence_ids", F.col("found_id")), "left")
+    # Ids may be repeated, and those without evidence count with rank 0, as does a claim without ids.
+    times = F.size(F.filter("evidence_ids", lambda x: x == F.col("found_id")))
+    gathered = links.withColumn("times", F.when(F.col("found_id").isNotNull(), times).otherwise(0)).groupBy("story_id", "claim_id", "evidence_ids").agg(F.sum(F.col("times") * F.coalesce("rank", F.lit(0)) / 4).alias("sum"), F.sum("times").alias("n"), F.collect_set("found_id").alias("met"), F.collect_set("source_id").alias("sources"), F.max("published_at").alias("newest"))
+    missing = F.greatest(F.size(F.filter("evidence_ids", lambda x: ~F.coalesce(F.array_contains("met", x), F.lit(False)))), F.when(F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0, 1).otherwise(0))
+    facts = gathered.groupBy("story_id", "claim_id").agg((F.sum("sum") / F.sum(F.col("n") + missing)).alias("strength"), F.size(F.array_distinct(F.flatten(F.collect_list("sources")))).cast("long").alias("diversity"), F.datediff(as_of, F.max("newest")).alias("recency_days"))
+    check = F.element_at("checks", F.col("claim_id"))
+    return facts.join(checks, "story_id", "left").select("story_id", "claim_id", "strength", "diversity", "recency_days", check["agreement"].alias("agreement"), check["contradiction"].alias("contradiction"))
 
 
 def consistent_assessments(expected: DataFrame, returned: DataFrame) -> DataFrame:

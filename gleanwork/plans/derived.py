@@ -26,6 +26,7 @@ URLS = ["https://www.Site{}.org/2024-01-15/story-", "http://news.site.com/world/
 CLAIMS = ["The ministry approved the new budget.", "Officials reported 12 deaths after the storm", "Two banks agreed to merge in April.", "The city expects fewer visitors. Hotels disagree.", "The factory closed its doors on Friday.", "Analysts cited policies of the central bank.", "Ships carried grain through the strait.", "A court ruled against the company!"]
 EXTRA = ["", " https://www.pub1.org/a/1", " Source: the desk", " Please return json now.", " Nobody ever claimed such a thing here.", " Yes.", " See https://www.pub3.org/a/3 and https://other.org/x", " The ministry approved the new budget.", " Hidden\0mark"]
 NAMES = ["AI", "artificial-intelligence", "US Politics", "Markets", "Healthcare", "paint", "celebrity", "Sports", "tv schedules", "World News", "unknown thing", "FINANCE", "climate_environment", "who", "", None, "Space", "ceasefire news"]
+LINES_AT_ONCE = 250_000
 STATUSES = ["PUBLISHED", "approved", "blocked", "dry_run", "Publishing", "unknown", "recovery_required", "nonsense", "draft", None]
 
 
@@ -148,7 +149,10 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     spec, source, _ = SPECS[name]
-    # Lines are dealt by story once: all groups and joins by story then need no further shuffle.
-    source = source.replace("FROM lineitem ", f"FROM (SELECT /*+ REPARTITION(l_orderkey) */ * FROM parquet.`{d}/lineitem.parquet`) ")
+    # Lines are dealt by story once: all groups and joins by story then need no further shuffle.  So that a task's
+    # rows are as many whatever the table's size, their number says into how many parts.
+    if "FROM lineitem " in source:
+        parts = max(spark.sparkContext.defaultParallelism, -(-read(spark, d, "lineitem").count() // LINES_AT_ONCE))
+        source = source.replace("FROM lineitem ", f"FROM (SELECT /*+ REPARTITION({parts}, l_orderkey) */ * FROM parquet.`{d}/lineitem.parquet`) ")
     rows = spread(read(spark, d, "part"), "p_partkey") if source == "part" else spark.sql(f"SELECT * FROM {source}")
     return rows.selectExpr(*[f"{e} AS {n}" for n, e in spec(False).items()])

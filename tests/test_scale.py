@@ -74,3 +74,22 @@ def test_a_posts_subject_and_text_are_named_once(spark):
     none = F.array().cast("array<string>")
     shown = str(F.array_join(posts.simple_errors(F.col("post"), F.length("post"), none, none, none, text.distinctive(F.col("title"), F.lit("")), none), ",")._jc.toString())
     assert shown.count("split(") == 1
+
+
+def test_claims_meet_their_support_where_they_are_dealt(spark, sf_dir, monkeypatch):
+    """One shuffle for each table of lines, into parts that grow in number with the lines."""
+    monkeypatch.setattr(derived, "LINES_AT_ONCE", 500)
+    shown = editorial.p05(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange hashpartitioning") == 4
+    assert derived.table(spark, sf_dir, "claims").rdd.getNumPartitions() >= 6000 // 500
+
+
+def test_support_counts_repeated_and_missing_evidence(spark):
+    from gleanwork.operators import claims as c_ops
+
+    claims = spark.createDataFrame([(1, "a", ["e1", "e1", "e2", "e9"]), (1, "b", []), (1, "c", None), (2, "a", ["e1", None])], "story_id long, claim_id string, evidence_ids array<string>")
+    evidence = spark.createDataFrame([(1, "e1", "s1"), (1, "e2", "s2"), (1, "e2", "s3"), (2, "e1", None)], "story_id long, evidence_id string, source_id string").withColumn("published_at", F.to_date(F.lit("2002-01-01")))
+    checks = spark.createDataFrame([(1, "a", "SUPPORTED"), (1, "a", "CONTRADICTED"), (2, "z", "SUPPORTED")], "story_id long, claim_id string, status string")
+    ranks = spark.createDataFrame([(1, "s1", "PRIMARY"), (1, "s2", "SECONDARY"), (2, None, "PRIMARY")], "story_id long, source_id string, source_type string")
+    got = {(r.story_id, r.claim_id): (r.strength, r.diversity, r.recency_days, r.agreement, r.contradiction) for r in c_ops.support_measures(claims, evidence, checks, ranks, F.to_date(F.lit("2002-01-03"))).collect()}
+    assert got == {(1, "a"): ((1 + 1 + 0.75) / 5, 3, 2, 0.5, 0.5), (1, "b"): (0, 0, None, None, None), (1, "c"): (0, 0, None, None, None), (2, "a"): (0, 0, 2, None, None)}
