@@ -265,7 +265,7 @@ def memory(stories: DataFrame, similar: DataFrame, publications: DataFrame, rece
     return rows.withColumns({"warnings": F.coalesce("warnings", none), "unresolved": F.coalesce("unresolved", F.lit(False))}).join(F.broadcast(shared))
 
 
-def audit(links: DataFrame, items: DataFrame, order: list[str]) -> DataFrame:
+def audit(links: DataFrame, items: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """One row for each story (story_id) of its linked items: publishers, providers and queries in the order in which they first appear, the first time, and how many items.
 
     links: story_id, item_id and the columns of ``order``; items: item_id,
@@ -273,18 +273,27 @@ def audit(links: DataFrame, items: DataFrame, order: list[str]) -> DataFrame:
     publisher is its domain, else its name; blank values are left out; links to
     unknown items count as sources without facts.  A value is one row for each
     story before it is gathered, so a story holds its distinct values only.
+    Links are dealt by item and then by story, each time into ``parts`` parts if
+    given, so that a task's links need not grow with the table.
     """
     blank = F.lit("")
     named = items.select("item_id", F.coalesce(F.nullif("publisher_domain", blank), F.nullif("publisher_name", blank)).alias("publishers"), F.nullif("provider", blank).alias("providers"), F.nullif("query", blank).alias("queries"), "published_at")
-    rows = links.select("story_id", "item_id", F.struct(*order, "item_id").alias("place")).join(named, "item_id", "left")
+    linked = links.select("story_id", "item_id", *[c for c in order if c not in ("story_id", "item_id")])
+    if parts:
+        linked, named = linked.repartition(parts, "item_id"), named.repartition(parts, "item_id").hint("merge")
+    rows = linked.join(named, "item_id", "left")
+    dealt = rows.repartition(parts, "story_id") if parts else rows.repartition("story_id")
+    # A link's place as a number: least places are then found by hash, without sorting a row for each value.
+    placed = dealt.withColumn("place", F.rank().over(Window.partitionBy("story_id").orderBy(*order, "item_id")))
     kinds = ["publishers", "providers", "queries"]
-    values = rows.select("story_id", "place", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds])).alias("x")).filter("x.value is not null")
-    firsts = values.groupBy("story_id", "x.kind", "x.value").agg(F.min("place").alias("place"))
-    lists = firsts.groupBy("story_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "value")))), lambda v: v["value"]).alias(k) for k in kinds])
-    dated = F.when(F.col("published_at").isNotNull(), F.struct("place", "published_at"))
-    facts = rows.groupBy("story_id").agg(F.min(dated)["published_at"].alias("published_at"), F.count("*").alias("sources"))
-    none = F.array().cast("array<string>")
-    return facts.join(lists, "story_id", "left").select("story_id", *[F.coalesce(k, none).alias(k) for k in kinds], "published_at", "sources")
+    undated = F.lit(None).cast(dict(named.dtypes)["published_at"])
+    facts = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), undated.alias("date")) for k in kinds]
+    link = F.struct(F.lit("link").alias("kind"), F.lit(None).cast("string").alias("value"), F.col("published_at").alias("date"))
+    values = placed.select("story_id", "place", F.explode(F.array(*facts, link)).alias("x")).filter("x.value is not null or x.kind = 'link'")
+    firsts = values.groupBy("story_id", "x.kind", "x.value", "x.date").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "value")))), lambda v: v["value"]).alias(k) for k in kinds]
+    first_date = F.min(F.when(F.col("date").isNotNull(), F.struct("place", "date")))["date"]
+    return firsts.groupBy("story_id").agg(*lists, first_date.alias("published_at"), F.sum(F.when(F.col("kind") == "link", F.col("n"))).alias("sources"))
 
 
 def replay_attempts(results: DataFrame, group: str, order: list[str], wanted: int) -> DataFrame:

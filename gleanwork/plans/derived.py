@@ -147,12 +147,15 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
 
 
+def parts_of_lines(spark: SparkSession, d: str) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-read(spark, d, "lineitem").count() // LINES_AT_ONCE))
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     spec, source, _ = SPECS[name]
     # Lines are dealt by story once: all groups and joins by story then need no further shuffle.  So that a task's
     # rows are as many whatever the table's size, their number says into how many parts.
     if "FROM lineitem " in source:
-        parts = max(spark.sparkContext.defaultParallelism, -(-read(spark, d, "lineitem").count() // LINES_AT_ONCE))
-        source = source.replace("FROM lineitem ", f"FROM (SELECT /*+ REPARTITION({parts}, l_orderkey) */ * FROM parquet.`{d}/lineitem.parquet`) ")
+        source = source.replace("FROM lineitem ", f"FROM (SELECT /*+ REPARTITION({parts_of_lines(spark, d)}, l_orderkey) */ * FROM parquet.`{d}/lineitem.parquet`) ")
     rows = spread(read(spark, d, "part"), "p_partkey") if source == "part" else spark.sql(f"SELECT * FROM {source}")
     return rows.selectExpr(*[f"{e} AS {n}" for n, e in spec(False).items()])

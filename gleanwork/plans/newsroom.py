@@ -402,7 +402,7 @@ def a14_audit(s, d):
     """Orders as stories, their lines as links to wire articles."""
     links = read(s, d, "lineitem").select(C("l_orderkey").alias("story_id"), C("l_partkey").alias("item_id"), "l_linenumber", "l_suppkey")
     items = wire(s, d).select(C("id").alias("item_id"), C("source_domain").alias("publisher_domain"), C("source_name").alias("publisher_name"), "provider", F.when(C("id") % 3 != 0, C("raw_category")).alias("query"), "published_at").filter("item_id % 17 <> 0")
-    a = stories.audit(links, items, ["l_linenumber", "l_suppkey"])
+    a = stories.audit(links, items, ["l_linenumber", "l_suppkey"], derived.parts_of_lines(s, d))
     return a.select("story_id", *[F.array_join(k, ",").alias(k) for k in ("publishers", "providers", "queries")], "published_at", "sources")
 
 

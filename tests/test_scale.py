@@ -93,3 +93,25 @@ def test_support_counts_repeated_and_missing_evidence(spark):
     ranks = spark.createDataFrame([(1, "s1", "PRIMARY"), (1, "s2", "SECONDARY"), (2, None, "PRIMARY")], "story_id long, source_id string, source_type string")
     got = {(r.story_id, r.claim_id): (r.strength, r.diversity, r.recency_days, r.agreement, r.contradiction) for r in c_ops.support_measures(claims, evidence, checks, ranks, F.to_date(F.lit("2002-01-03"))).collect()}
     assert got == {(1, "a"): ((1 + 1 + 0.75) / 5, 3, 2, 0.5, 0.5), (1, "b"): (0, 0, None, None, None), (1, "c"): (0, 0, None, None, None), (2, "a"): (0, 0, 2, None, None)}
+
+
+def test_audited_links_are_dealt_by_story_once(spark, sf_dir, monkeypatch):
+    """Links and items meet by item, and what is left happens where a story is dealt, without sorting a row for each value."""
+    monkeypatch.setattr(derived, "LINES_AT_ONCE", 500)
+    rows = newsroom.a14_audit(spark, sf_dir)
+    shown = rows._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(story_id", shown)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(item_id", shown)) == 2
+    assert "SortAggregate" not in shown
+    assert rows.rdd.getNumPartitions() >= 6000 // 500
+
+
+def test_an_audit_keeps_the_order_of_first_sight_and_every_story(spark):
+    from gleanwork.operators import stories
+
+    links = spark.createDataFrame([(1, 10, 2), (1, 11, 1), (1, 11, 3), (1, 99, 0), (2, 99, 1), (3, 12, 1), (3, 10, 1), (4, 13, 1)], "story_id long, item_id long, n int")
+    items = spark.createDataFrame([(10, "b.org", "B", "rss", "q", "2024-01-02"), (11, "", "A", "rss", None, None), (12, None, "", "", "z", "2024-01-05"), (13, "d", "", "ddgs", "", "2024-01-04"), (13, "c", "", "ddgs", "", "2024-01-03")], "item_id long, publisher_domain string, publisher_name string, provider string, query string, t string")
+    items = items.withColumn("published_at", F.to_date("t")).drop("t")
+    for parts in (None, 3):
+        got = {r.story_id: (r.publishers, r.providers, r.queries, str(r.published_at), r.sources) for r in stories.audit(links, items, ["n"], parts).collect()}
+        assert got == {1: (["A", "b.org"], ["rss"], ["q"], "2024-01-02", 4), 2: ([], [], [], "None", 1), 3: (["b.org"], ["rss"], ["q", "z"], "2024-01-02", 2), 4: (["c", "d"], ["ddgs"], [], "2024-01-03", 2)}
