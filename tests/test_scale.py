@@ -115,3 +115,14 @@ def test_an_audit_keeps_the_order_of_first_sight_and_every_story(spark):
     for parts in (None, 3):
         got = {r.story_id: (r.publishers, r.providers, r.queries, str(r.published_at), r.sources) for r in stories.audit(links, items, ["n"], parts).collect()}
         assert got == {1: (["A", "b.org"], ["rss"], ["q"], "2024-01-02", 4), 2: ([], [], [], "None", 1), 3: (["b.org"], ["rss"], ["q", "z"], "2024-01-02", 2), 4: (["c", "d"], ["ddgs"], [], "2024-01-03", 2)}
+
+
+def test_links_meet_where_their_keys_are_dealt(spark, sf_dir, monkeypatch):
+    from gleanwork.plans import relational
+
+    monkeypatch.setattr(derived, "LINES_AT_ONCE", 500)
+    rows = relational.m04(spark, sf_dir)
+    shown = rows._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", shown)
+    assert dealt and all(int(n) >= 6000 // 500 and how == "REPARTITION_BY_NUM" for n, how in dealt)
+    assert rows.count() == rows.distinct().count()
