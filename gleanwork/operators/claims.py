@@ -31,34 +31,61 @@ def _supported(verifications: DataFrame) -> DataFrame:
 
 
 def cited_sources(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, assessments: DataFrame) -> DataFrame:
-    """(story_id, claim_id, evidence_id, source_id, url, pos, rank) of the usable evidence of supported claims."""
-    own = claims.select("story_id", "claim_id", "evidence_ids").join(_supported(verifications), ["story_id", "claim_id"])
-    asked = own.select("story_id", "claim_id", F.explode(F.array_distinct(referenced(F.col("evidence_ids"), F.col("verified_ids")))).alias("evidence_id"))
-    known = evidence.filter(usable_url(F.col("url"))).select("story_id", "evidence_id", "source_id", "url", "pos")
-    ranks = assessments.groupBy("story_id", "source_id").agg(F.max(source_rank(F.col("source_type"))).alias("rank"))
-    return asked.join(known, ["story_id", "evidence_id"]).join(ranks, ["story_id", "source_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    """The usable evidence of supported claims: the claims' columns, status (the best of its verifications), evidence_id, source_id, url, pos, rank.
 
-
-def ranked_claims(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Supported claims that are no forecast, allegation or opinion, numbered by strength within their story.
-
-    By source quality, distinct sources, certainty, specificity (words, 100 at
-    most) and full support, all descending, then by claim id.
+    Tables meet by story alone, so rows that are dealt by story stay where they
+    are: a story's few claims meet its verifications, and go along with their
+    evidence, whose addresses are judged last, where a claim asks for them.
     """
-    sources = cited_sources(claims, evidence, verifications, assessments).groupBy("story_id", "claim_id").agg(F.max("rank").alias("quality"), F.countDistinct("source_id").alias("sources"))
+    def is_one(a: str, b: str) -> Column:
+        """Equal, but no key of the join: that would deal both tables by it."""
+        return F.array_contains(F.array(F.col(a)), F.col(b))
+
+    def of_story(rows: DataFrame, key: str) -> DataFrame:
+        return rows.withColumnsRenamed({"story_id": "of", key: f"of_{key}"})
+
+    checks = of_story(_supported(verifications), "claim_id")
+    own = claims.join(checks, (F.col("story_id") == F.col("of")) & is_one("claim_id", "of_claim_id"))
+    # Statuses in order of their names are in order of strength.
+    best = F.min("status").over(Window.partitionBy("story_id", "claim_id"))
+    asked = own.select(*claims.columns, best.alias("status"), referenced(F.col("evidence_ids"), F.col("verified_ids")).alias("asked"))
+    known = evidence.select(F.col("story_id").alias("of"), "evidence_id", "source_id", "url", "pos")
+    # In one condition with the rest, which is judged first.
+    met = asked.join(known, (F.col("story_id") == F.col("of")) & F.when(F.array_contains("asked", F.col("evidence_id")), usable_url(F.col("url")))).drop("of", "asked")
+    ranks = of_story(assessments.groupBy("story_id", "source_id").agg(F.max(source_rank(F.col("source_type"))).alias("rank")), "source_id")
+    ranked = met.join(ranks, (F.col("story_id") == F.col("of")) & is_one("source_id", "of_source_id"), "left")
+    return ranked.select(*claims.columns, "status", "evidence_id", "source_id", "url", "pos", F.coalesce("rank", F.lit(0)).alias("rank"))
+
+
+def _rated(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, assessments: DataFrame) -> tuple[DataFrame, Column]:
+    """Supported firm claims with their strength, a row for each source, and their place by strength within their story."""
     firm = claims.filter("not (coalesce(is_forecast, false) or coalesce(is_allegation, false) or coalesce(is_opinion, false))")
-    rows = firm.join(sources, ["story_id", "claim_id"]).join(_supported(verifications).drop("verified_ids"), ["story_id", "claim_id"])
+    same = Window.partitionBy("story_id", "claim_id")
+    links = cited_sources(firm, evidence, verifications, assessments)
+    rows = links.select(*claims.columns, "status", F.max("rank").over(same).alias("quality"), F.size(F.collect_set("source_id").over(same)).cast("long").alias("sources"))
     scored = rows.withColumns({
         "certainty": (F.trim(F.coalesce("uncertainty", F.lit(""))) == "").cast("int"),
         "specificity": F.least(F.size(F.regexp_extract_all("claim_text", F.lit(r"(\b[\w'-]+\b)"), F.lit(1))), F.lit(100)),
         "full": (F.col("status") == "SUPPORTED").cast("int"),
     })
     order = [F.desc(c) for c in ("quality", "sources", "certainty", "specificity", "full")]
-    return scored.withColumn("position", F.row_number().over(Window.partitionBy("story_id").orderBy(*order, "claim_id")))
+    return scored, F.row_number().over(Window.partitionBy("story_id").orderBy(*order, "claim_id"))
+
+
+def ranked_claims(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Supported claims that are no forecast, allegation or opinion, numbered by strength within their story.
+
+    By source quality, distinct sources, certainty, specificity (words, 100 at
+    most) and full support, all descending, then by claim id.
+    """
+    rated, position = _rated(claims, evidence, verifications, assessments)
+    return rated.distinct().withColumn("position", position)
 
 
 def strongest_claim(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, assessments: DataFrame) -> DataFrame:
-    return ranked_claims(claims, evidence, verifications, assessments).filter("position = 1")
+    """The first of the ranked claims: a claim's rows are alike, so any of them is it, and columns that nobody asks for are not read."""
+    rated, position = _rated(claims, evidence, verifications, assessments)
+    return rated.withColumn("position", position).filter("position = 1")
 
 
 def fallback_claim(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, assessments: DataFrame, editorial: DataFrame, limit: int) -> DataFrame:

@@ -126,3 +126,25 @@ def test_links_meet_where_their_keys_are_dealt(spark, sf_dir, monkeypatch):
     dealt = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", shown)
     assert dealt and all(int(n) >= 6000 // 500 and how == "REPARTITION_BY_NUM" for n, how in dealt)
     assert rows.count() == rows.distinct().count()
+
+
+def test_strongest_claims_meet_their_sources_where_they_are_dealt(spark, sf_dir, monkeypatch):
+    """One shuffle for each of claims, verifications, evidence and assessments, and one for posts where they are asked."""
+    monkeypatch.setattr(derived, "LINES_AT_ONCE", 500)
+    for query, tables in ((editorial.r06, 4), (editorial.r07, 5)):
+        shown = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert shown.count("Exchange hashpartitioning") == tables
+
+
+def test_claims_are_ranked_once_whatever_their_verifications(spark):
+    from gleanwork.operators import claims as c_ops
+
+    said = "story_id long, claim_id string, claim_text string, evidence_ids array<string>, is_forecast boolean, is_allegation boolean, is_opinion boolean, uncertainty string"
+    claims = spark.createDataFrame([(1, c, "It rained.", ids, None, False, False, None) for c, ids in (("a", ["e1", "e2"]), ("b", ["e1", "e3"]), ("c", []), ("d", None), ("e", ["e4"]), (None, ["e1"]))], said)
+    evidence = spark.createDataFrame([(1, "e1", "s1", "https://a.net/1", 1), (1, "e2", "s2", "https://b.net/1", 2), (1, "e3", None, "https://c.net/1", 3), (1, "e4", "s1", "nowhere", 4), (2, "e1", "s1", "https://a.net/1", 1)], "story_id long, evidence_id string, source_id string, url string, pos int")
+    # Two verifications of a: the stronger one names nothing that is there, so the other's evidence counts with its status.
+    checks = spark.createDataFrame([(1, "a", "SUPPORTED", ["e9"]), (1, "a", "supported_as_attributed", None), (1, "b", "SUPPORTED", []), (1, "c", "SUPPORTED", ["e1"]), (1, "d", "SUPPORTED", None), (1, "e", "SUPPORTED", None), (1, None, "SUPPORTED", None)], "story_id long, claim_id string, status string, evidence_ids array<string>")
+    ranks = spark.createDataFrame([(1, "s1", "SECONDARY"), (1, "s1", "PRIMARY"), (1, None, "PRIMARY"), (2, "s2", "PRIMARY")], "story_id long, source_id string, source_type string")
+    got = {r.claim_id: (r.position, r.quality, r.sources, r.status) for r in c_ops.ranked_claims(claims, evidence, checks, ranks).collect()}
+    assert got == {"a": (1, 4, 2, "SUPPORTED"), "b": (2, 4, 1, "SUPPORTED")}
+    assert [r.claim_id for r in c_ops.strongest_claim(claims, evidence, checks, ranks).collect()] == ["a"]
