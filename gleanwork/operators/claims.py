@@ -96,8 +96,9 @@ def fallback_claim(claims: DataFrame, evidence: DataFrame, verifications: DataFr
     said = F.trim("claim_text")
     whole = (F.length(said) > 0) & (F.length(said) <= limit) & said.rlike("[.!?][\"'”’)\\]]*$") & (F.size(text.sentences(said)) == 1)
     firm = "not (coalesce(is_forecast, false) or coalesce(is_allegation, false) or coalesce(is_opinion, false))"
-    able = claims.join(editorial, "story_id").filter(F.array_contains("allowed_claim_ids", F.col("claim_id"))).filter(firm).filter(whole)
-    near = F.size(F.array_intersect(text.claim_tokens(F.col("claim_text")), text.claim_tokens(F.coalesce("central_event", F.lit("")))))
+    events = editorial.select("story_id", "allowed_claim_ids", text.claim_tokens(F.coalesce("central_event", F.lit(""))).alias("event_tokens"))
+    able = claims.join(events, "story_id").filter(F.array_contains("allowed_claim_ids", F.col("claim_id"))).filter(firm).filter(whole)
+    near = F.size(F.array_intersect(text.claim_tokens(F.col("claim_text")), F.col("event_tokens")))
     central = F.rank().over(Window.partitionBy("story_id").orderBy(F.desc("near")))
     kept = able.withColumn("near", near).withColumn("central", central).filter("central = 1").select(claims.columns)
     return strongest_claim(kept, evidence, verifications, assessments)

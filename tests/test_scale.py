@@ -148,3 +148,7 @@ def test_claims_are_ranked_once_whatever_their_verifications(spark):
     got = {r.claim_id: (r.position, r.quality, r.sources, r.status) for r in c_ops.ranked_claims(claims, evidence, checks, ranks).collect()}
     assert got == {"a": (1, 4, 2, "SUPPORTED"), "b": (2, 4, 1, "SUPPORTED")}
     assert [r.claim_id for r in c_ops.strongest_claim(claims, evidence, checks, ranks).collect()] == ["a"]
+
+
+def test_a_central_event_is_read_once_a_story(spark, sf_dir):
+    assert re.search(r"Join .*\n(?:.*\n)*.* AS event_tokens", plan(editorial.r07(spark, sf_dir)))
